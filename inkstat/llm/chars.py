@@ -146,7 +146,8 @@ def consistent(text: str | None) -> str | None:
 
 def visible_with_offsets(text: str) -> tuple[str, list[int]]:
     """The text without unseen characters and with ordinary spaces, and for each of its characters the place in
-    the original. One character stands for one; nothing is decomposed."""
+    the original. One character stands for one: nothing is decomposed, full-width letters and digits become narrow,
+    and words of mixed scripts get one script."""
     if text.isascii():
         return text, list(range(len(text)))
     out, at = [], []
@@ -157,6 +158,8 @@ def visible_with_offsets(text: str) -> tuple[str, list[int]]:
         elif unseen(c):
             continue
         else:
-            out.append(" " if c.isspace() else c)
+            o = ord(c)
+            wide = 0xFF10 <= o <= 0xFF19 or 0xFF21 <= o <= 0xFF3A or 0xFF41 <= o <= 0xFF5A
+            out.append(" " if c.isspace() else chr(o - 0xFEE0) if wide else c)
             at.append(i)
-    return "".join(out), at
+    return _WORD.sub(_one_script, "".join(out)), at
