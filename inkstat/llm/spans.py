@@ -24,7 +24,7 @@ from inkstat.llm.arrays import code_points, gram_hashes, mix, sliding_min
 from inkstat.runtime import cut, spread
 
 Q = 16
-FUNCTIONS = 3
+FUNCTIONS = 4
 SECOND_BASE = 0x1B873593CC9E2D51
 SALT_ROWS = 1000
 
@@ -126,17 +126,17 @@ def shared_windows(docs: DataFrame, min_chars: int = 300, q: int = Q, k: int = F
     d = _texts(spread(docs.select("doc_id", "text"), "doc_id"), min_chars)
     kind = d.schema["doc_id"].dataType.simpleString()
     iv = cut(d.mapInArrow(_emit_intervals(min_chars, q, k), f"doc_id {kind}, t bigint, u int, sig bigint, s int, e int"))
-    # copies of one text fold into one before anything is joined; both aggregations combine on the map side
-    texts = iv.groupBy("sig", "t", "u", "s", "e").agg(F.min("doc_id").alias("rep"))
+    # intervals that only one text has leave first; then copies of one text fold into one, on the map side already
     hot = iv.groupBy("sig").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi").select("sig")
-    todo = texts.join(hot, "sig", "left_semi").groupBy("rep").agg(F.collect_set(F.struct("s", "e")).alias("todo"))
+    texts = iv.join(hot, "sig", "left_semi").groupBy("t", "u", "s", "e").agg(F.min("doc_id").alias("rep"))
+    todo = texts.groupBy("rep").agg(F.collect_set(F.struct("s", "e")).alias("todo"))
     w = d.select("doc_id", "text").join(todo, d["doc_id"] == todo["rep"]).select("rep", "text", "todo")
-    w = cut(w.mapInArrow(_emit_windows(min_chars), f"rep {kind}, h bigint, h2 int, at int").distinct())
-    held = w.groupBy("h", "h2").agg(
+    w = cut(w.mapInArrow(_emit_windows(min_chars), f"rep {kind}, h bigint, h2 int, at int"))
+    held = w.groupBy("h").agg(
         F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("holders"),
         F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).cast("double")).alias("mark"),
     )
-    return w.join(held.filter("lo < hi").drop("lo", "hi"), ["h", "h2"]).select("rep", "h", "h2", "at", "holders", "mark")
+    return w.join(held.filter("lo < hi").drop("lo", "hi"), "h").select("rep", "h", "h2", "at", "holders", "mark")
 
 
 def _text_pairs(w: DataFrame) -> DataFrame:
