@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstat.plans import comparison, documents, sequences
+from inkstat.plans import comparison, corpora, documents, sequences
 
-MODULES = (documents, sequences, comparison)
+MODULES = (documents, sequences, comparison, corpora)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
