@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstat.plans import comparison, corpora, documents, sequences
+from inkstat.plans import comparison, corpora, documents, files, sequences
 
-MODULES = (documents, sequences, comparison, corpora)
+MODULES = (documents, sequences, comparison, corpora, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
