@@ -123,18 +123,22 @@ def phrase_key(phrase: str) -> str:
     return "tell_" + re.sub(r"[^a-z0-9]+", "_", phrase.lower()).strip("_")
 
 
-def phrases(d: DataFrame) -> dict[str, Column]:
-    """Rates of stock phrases that are used, not quoted."""
-    low = F.lower("unquoted")
+def with_phrase_counts(d: DataFrame) -> DataFrame:
+    """Lower case and single spaces once for all phrases, then the count of each phrase once for all that is made of it."""
+    d = d.withColumns({"flat_low": F.regexp_replace(F.lower("unquoted"), f"{tx.WS}+", " "), "n_used": tx.n_tokens(F.col("unquoted"))})
+    flat = F.col("flat_low")
 
     def hits(p: str) -> Column:
-        # most phrases are not there: a plain search for the longest word spares the pattern
-        return F.when(F.contains(low, F.lit(max(p.split(), key=len))), tx.count(F.col("unquoted"), phrase_pattern(p))).otherwise(0)
+        # most phrases are not there: a plain search spares the pattern
+        return F.when(F.contains(flat, F.lit(p)), tx.count(flat, tx.bounded(re.escape(p).replace("\\-", "-").replace("\\ ", " ")))).otherwise(0)
+
+    return d.withColumn("phrase_counts", F.array(*[hits(p) for p in lx.STOCK_PHRASES]))
 
-    c = {p: hits(p) for p in lx.STOCK_PHRASES}
-    n = tx.n_tokens(F.col("unquoted"))
-    every = F.array(*c.values())
-    out = {phrase_key(p): nu.rate(v, n) for p, v in c.items()}
+
+def phrases(d: DataFrame) -> dict[str, Column]:
+    """Rates of stock phrases that are used, not quoted."""
+    n, every = F.col("n_used"), F.col("phrase_counts")
+    out = {phrase_key(p): nu.rate(every[i], n) for i, p in enumerate(lx.STOCK_PHRASES)}
     used = F.when(n > 0, F.size(F.filter(every, lambda x: x > 0))).otherwise(0)
     return out | {"tell_distinct_count": used.cast("double"), "tell_total_rate": nu.rate(F.aggregate(every, F.lit(0), lambda a, x: a + x), n)}
 
@@ -162,7 +166,7 @@ CONCESSIVE = "(?iu)" + tx.bounded("|".join(lx.CONCESSIVES))
 
 def register(d: DataFrame) -> dict[str, Column]:
     n, u = F.col("n"), F.col("unquoted")
-    balanced = F.size(F.filter("sents", lambda s: tx.drop_quoted(s).rlike(CONCESSIVE) | tx.drop_quoted(s).rlike("(?i)" + lx.COUNTERWEIGHT)))
+    balanced = F.size(F.filter(F.transform("sents", tx.drop_quoted), lambda s: s.rlike(CONCESSIVE) | s.rlike("(?i)" + lx.COUNTERWEIGHT)))
     out = {
         "concessive_rate": tx.count(u, CONCESSIVE),
         "counterweight_rate": tx.count(u, "(?i)" + lx.COUNTERWEIGHT),
@@ -183,6 +187,8 @@ def block(docs: DataFrame, name: str, keep: tuple[str, ...] = ("doc_id",)) -> Da
     d = prepared(docs, keep)
     if name == "surface":
         d = with_paragraphs(d)
+    if name == "tells":
+        d = with_phrase_counts(d)
     if name == "lexical":
         d = d.withColumn("low_up", F.array_sort("low"))
     return d.select(*keep, *[v.alias(k) for k, v in BLOCKS[name](d).items()])
