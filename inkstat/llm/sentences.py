@@ -122,8 +122,9 @@ def language(text: str) -> list[str]:
     words = re.findall(r"[a-zà-ÿ]+", head.lower())
     score = {k: sum(w in v for w in words) for k, v in _SMALL.items()}
     best = max(score, key=lambda k: score[k])
-    if score[best] and counts["latin"] * 3 > sum(counts.values()):
-        out += [k for k in sorted(score, key=lambda k: -score[k]) if score[k] * 4 >= score[best]]
+    if counts["latin"] * 3 > sum(counts.values()):
+        # few small words tell nothing: then the rules of all four
+        out += [k for k in sorted(score, key=lambda k: -score[k]) if score[best] < 4 or score[k] * 4 >= score[best]]
     return out or ["en"]
 
 
