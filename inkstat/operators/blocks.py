@@ -161,17 +161,18 @@ def specificity(d: DataFrame) -> dict[str, Column]:
     return {k: F.when(n > 0, F.lit(1000.0) * v / n) for k, v in c.items()}
 
 
-CONCESSIVE = "(?iu)" + tx.bounded("|".join(lx.CONCESSIVES))
+CONCESSIVE = tx.bounded("|".join(lx.CONCESSIVES))
 
 
 def register(d: DataFrame) -> dict[str, Column]:
-    n, u = F.col("n"), F.col("unquoted")
-    balanced = F.size(F.filter(F.transform("sents", tx.drop_quoted), lambda s: s.rlike(CONCESSIVE) | s.rlike("(?i)" + lx.COUNTERWEIGHT)))
+    n, u = F.col("n"), F.col("unquoted_low")  # patterns that need not fold case at every character
+    used = F.transform("sents", lambda s: F.lower(tx.drop_quoted(s)))
+    balanced = F.size(F.filter(used, lambda s: s.rlike(CONCESSIVE) | s.rlike(lx.COUNTERWEIGHT)))
     out = {
         "concessive_rate": tx.count(u, CONCESSIVE),
-        "counterweight_rate": tx.count(u, "(?i)" + lx.COUNTERWEIGHT),
-        "contrastive_rate": tx.count(u, "(?i)" + lx.CONTRASTIVE),
-        "attenuator_rate": tx.count(u, "(?iu)" + tx.bounded(lx.ATTENUATOR)),
+        "counterweight_rate": tx.count(u, lx.COUNTERWEIGHT),
+        "contrastive_rate": tx.count(u, lx.CONTRASTIVE),
+        "attenuator_rate": tx.count(u, tx.bounded(lx.ATTENUATOR)),
     }
     out = {k: F.when(n > 0, nu.rate(v, n)) for k, v in out.items()}
     return out | {"balanced_sentence_frac": F.when(n > 0, balanced / F.greatest(F.size("sents"), F.lit(1)))}
@@ -187,6 +188,8 @@ def block(docs: DataFrame, name: str, keep: tuple[str, ...] = ("doc_id",)) -> Da
     d = prepared(docs, keep)
     if name == "surface":
         d = with_paragraphs(d)
+    if name == "register":
+        d = d.withColumn("unquoted_low", F.lower("unquoted"))
     if name == "tells":
         d = with_phrase_counts(d)
     if name == "lexical":
