@@ -46,9 +46,19 @@ def admitted(requests: DataFrame, per_key: int = 3) -> DataFrame:
 
 
 def run_once(spark: SparkSession, df: DataFrame, checkpoint: str, table: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return its result as a table in memory."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    """Run a stream over what is there and return its result as a table in memory.
+
+    Batches without data are switched off meanwhile: a processing-time timeout would ask for them for ever, and such a run would
+    never end.
+    """
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        q = df.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return spark.table(table)
 
 
