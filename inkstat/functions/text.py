@@ -105,6 +105,7 @@ def normalise(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7f]"), _nfkc(text)).otherwise(text)
 
 
+# What cleaning takes out, in this order. White space and word edges are spelled out as above.
 URL = rf"https?://{NOT_WS}+|www\.{NOT_WS}+"
 DOI = rf"(?i)(?<!{WC})(?:doi:{WS}*)?10\.\d{{4,9}}/{NOT_WS}+"
 EMAIL = rf"(?<!{WC})[{WORD_CHARS}.+-]+@[{WORD_CHARS}-]+\.[{WORD_CHARS}.]+(?<={WC})"
@@ -144,6 +145,7 @@ def boilerplate_heading(heading: Column) -> Column:
     return F.regexp_replace(k, rf"\A\d+[.)]?{WS}*", "").isin(lx.BOILERPLATE_HEADINGS)
 
 
+# Mark-up and what it gives way to, in this order.
 MARKDOWN = [
     (r"(?s)```.*?```", " "), (r"(?s)~~~.*?~~~", " "), (r"`[^`]*`", " "), (rf"(?m)^{WS}*\|.*\|{WS}*$", " "), (rf"(?m)^{WS}{{0,3}}#{{1,6}}{WS}+.*$", " "),
     (rf"(?m)^{WS}*[-*+]{WS}+", ""), (rf"(?m)^{WS}*\d+[.)]{WS}+", ""), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), (r"[*_]{1,3}([^*_]+)[*_]{1,3}", "$1"), (r"\$[^$]*\$", " "),
@@ -164,6 +166,7 @@ def excerpt(text: Column, words: int, floor: int = 0) -> Column:
     return F.when(F.size(w) >= floor, F.array_join(F.slice(w, 1, words), " "))
 
 
+# The signs of notation, and the lines of a page that are no argued prose.
 MATH_CHARS = "=+<>∑∫∂∇√∞≈≠≤≥±×⋅→←⇒αβγδεζηθλμνξπρστφχψωΓΔΘΛΞΠΣΦΨΩ|^_{}[]\\"
 _MATH = "[" + "".join("\\" + c if c in "[]\\^{}|+" else c for c in MATH_CHARS) + "]"
 

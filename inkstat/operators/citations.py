@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkstat.functions import text as tx
+from inkstat.operators.statistics import order_statistics
 
 MARKER = r"\[(?:\d{1,3}|n)(?:[ ]?[,–-][ ]?\d{1,3})*\]"
 NAMED = r"(?<![\p{L}\p{N}_])[A-Z][a-z]+ (?:et al\.?|and (?:co-?workers|colleagues))"
@@ -39,10 +39,7 @@ def bands(docs: DataFrame) -> DataFrame:
     """``(measure, p05, p25, p50, p75, p95)`` by lower rank."""
     x = density(docs)
     long = x.select(F.explode(F.array(F.struct(F.lit("per_1000").alias("measure"), F.col("per_1000").alias("v")), F.struct(F.lit("citing_share").alias("measure"), F.col("citing_share").alias("v")))).alias("m")).select("m.*")
-    g = long.groupBy("measure").agg(F.count("*").alias("n"))
-    # the lower rank is an order statistic: the value at place floor(q (n - 1)), found by ranking the values of a measure
-    r = long.withColumn("i", F.row_number().over(W.partitionBy("measure").orderBy("v")) - 1).join(F.broadcast(g.select("measure", "n")), "measure")
-    return r.groupBy("measure").agg(*[F.max(F.when(F.col("i") == F.floor(F.lit(q) * (F.col("n") - 1)), F.col("v"))).alias(f"p{int(q * 100):02d}") for q in (0.05, 0.25, 0.5, 0.75, 0.95)])
+    return order_statistics(long, "measure", "v", {f"p{int(q * 100):02d}": q for q in (0.05, 0.25, 0.5, 0.75, 0.95)})
 
 
 def markers(docs: DataFrame) -> DataFrame:

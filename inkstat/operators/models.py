@@ -76,10 +76,13 @@ def permutation_null(long: DataFrame, rounds: int = 5, folds: int = 3, seed: int
     wide = cut(wide)
     observed = float(np.mean(cross_validated(wide, names, folds, seed)))
     null = []
-    labels = wide.select("label", F.row_number().over(W.orderBy("doc_id")).alias("i"))
+    # labels change places inside buckets of some thousand documents, so that no task orders all of them
+    wide = wide.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(max(1, wide.count() // 5000))))
+    labels = wide.select("label", "bucket", F.row_number().over(W.partitionBy("bucket").orderBy("doc_id")).alias("i"))
     for r in range(rounds):
-        deal = wide.select("doc_id", F.row_number().over(W.orderBy(F.xxhash64("doc_id", F.lit(1000 + r)))).alias("i")).join(labels, "i").select("doc_id", "label")
-        null.append(float(np.mean(cross_validated(cut(wide.drop("label").join(deal, "doc_id")), names, folds, r))))
+        place = F.row_number().over(W.partitionBy("bucket").orderBy(F.xxhash64("doc_id", F.lit(1000 + r)), "doc_id"))
+        deal = wide.select("doc_id", "bucket", place.alias("i")).join(labels, ["bucket", "i"]).select("doc_id", "label")
+        null.append(float(np.mean(cross_validated(cut(wide.drop("label", "bucket").join(deal, "doc_id")), names, folds, r))))
     a = np.array(null)
     row = (len(a), float(a.mean()), float(a.std(ddof=1)) if len(a) > 1 else 0.0, float(np.percentile(a, 95)), observed, float(((a >= observed).sum() + 1) / (len(a) + 1)))
     return long.sparkSession.createDataFrame([row], "n_perm int, null_mean double, null_sd double, null_p95 double, observed double, p_value double")

@@ -48,9 +48,10 @@ def formulas(docs: DataFrame, k: int = 60, tri: int = 4) -> DataFrame:
 
 def missing_formulas(drafts: DataFrame, docs: DataFrame, k: int = 60) -> DataFrame:
     """``(doc_id, gram, per_million)``: formulas each draft does not use. The list has at most ``k`` rows."""
-    f = formulas(docs, k).select("gram", "per_million")
+    f = formulas(docs, k).agg(F.collect_list(F.struct("gram", "per_million")).alias("forms"))  # one row of at most k
     d = drafts.filter("text IS NOT NULL").select("doc_id", F.array_distinct(grams(tx.lower_tokens(F.col("text")), 3)).alias("has"))
-    return d.crossJoin(F.broadcast(f)).filter(~F.array_contains("has", F.col("gram"))).select("doc_id", "gram", "per_million")
+    lacks = F.explode(F.filter("forms", lambda z: ~F.array_contains("has", z["gram"]))).alias("z")
+    return d.crossJoin(F.broadcast(f)).select("doc_id", lacks).select("doc_id", "z.gram", "z.per_million")
 
 
 def formula_coverage(drafts: DataFrame, docs: DataFrame, k: int = 60, low: float = 0.07) -> DataFrame:

@@ -37,25 +37,43 @@ def cohens_d(long: DataFrame, *by: str) -> DataFrame:
     return g.withColumn("cohens_d", d).drop("vh", "va")
 
 
-def rank_sums(long: DataFrame) -> DataFrame:
-    """``(feature, n1, n2, u, tie_sum, auc)``: the rank-sum statistic of the humans with ties shared, and the share of pairs in
-    which the machine side is larger.
+def counted_before(values: DataFrame, by: str, value: str, n: str, cells: int = 256) -> DataFrame:
+    """Adds ``before``: how many there are with a smaller value, for rows of distinct values with counts.
 
-    Equal values fold into one row before anything is ordered. The order over all values of a feature is not one window:
-    values are cut into ranges first, ranges are ranked by their counts, and the place inside a range is added.
+    The order over all values is not one window: values are cut into ranges, the ranges are counted and ordered, and the place
+    inside a range is added.
     """
+    edges = values.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    cell = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (cells - 1))).otherwise(0)
+    v = values.join(edges, by).withColumn("_cell", cell).drop("_lo", "_hi")
+    c = v.groupBy(by, "_cell").agg(F.sum(n).alias("_t"))
+    ahead = W.partitionBy(by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    c = c.withColumn("_ahead", F.coalesce(F.sum("_t").over(ahead), F.lit(0))).drop("_t")
+    inside = W.partitionBy(by, "_cell").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    v = v.withColumn("_within", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(c, [by, "_cell"])
+    return v.withColumn("before", F.col("_ahead") + F.col("_within")).drop("_cell", "_within", "_ahead")
+
+
+def order_statistics(long: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """For each group and share q the value at rank floor(q (n - 1)), an element of the data."""
+    v = long.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_k"))
+    n = v.groupBy(by).agg(F.sum("_k").alias("_n"))
+    v = counted_before(v, by, value, "_k").join(n, by)
+
+    def at(q: float) -> Column:
+        place = F.floor(F.lit(q) * (F.col("_n") - 1))
+        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("_k")), F.col(value)))
+
+    return v.groupBy(by).agg(*[at(q).alias(k) for k, q in shares.items()])
+
+
+def rank_sums(long: DataFrame) -> DataFrame:
+    """``(feature, n1, n2, u, tie_sum, auc)``: the rank-sum statistic of the humans with ties shared, and the share of pairs in
+    which the machine side is larger. Equal values fold into one row before anything is ordered."""
     v = long.filter("value IS NOT NULL").groupBy("feature", "value").agg(F.count(_h("value")).alias("h"), F.count(_a("value")).alias("a"))
-    v = v.filter("h + a > 0")
-    edges = v.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    v = v.join(edges, "feature").withColumn("cell", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255)).otherwise(0))
-    cells = v.groupBy("feature", "cell").agg(F.sum(F.col("h") + F.col("a")).alias("t"))
-    ahead = W.partitionBy("feature").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("t").over(ahead), F.lit(0))).drop("t")
-    inside = W.partitionBy("feature", "cell").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-    t = F.col("h") + F.col("a")
-    v = v.withColumn("within", F.coalesce(F.sum(t).over(inside), F.lit(0))).join(cells, ["feature", "cell"])
-    rank = F.col("before") + F.col("within") + (t + 1) / 2.0
-    g = v.withColumns({"rank": rank, "t": t}).groupBy("feature").agg(
+    v = counted_before(v.filter("h + a > 0").withColumn("t", F.col("h") + F.col("a")), "feature", "value", "t")
+    rank = F.col("before") + (F.col("t") + 1) / 2.0
+    g = v.withColumn("rank", rank).groupBy("feature").agg(
         F.sum("h").alias("n1"), F.sum("a").alias("n2"), F.sum(F.col("rank") * F.col("h")).alias("r1"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("tie_sum")
     )
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0

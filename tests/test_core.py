@@ -81,19 +81,23 @@ def test_specificity(spark):
     assert bl.block(docs(spark, " \n "), "specificity").first()["numeric_token_rate"] is None
 
 
-def plain_mtld(tokens):
-    def go(seq):
-        factors, types, n = 0.0, set(), 0
-        for t in seq:
-            types.add(t)
-            n += 1
-            if len(types) / n <= 0.72:
-                factors, types, n = factors + 1, set(), 0
-        if n:
-            factors += (1 - len(types) / n) / (1 - 0.72)
-        return len(seq) / factors if factors > 0 else float(len(seq))
-
-    return (go(tokens) + go(tokens[::-1])) / 2 if len(tokens) >= 50 else 0.0
+def plain_mtld(words):
+    """By looking at every prefix anew."""
+
+    def share(part):
+        return len(set(part)) / len(part)
+
+    def one_way(rest):
+        whole, runs = len(rest), 0.0
+        while rest:
+            k = next((k for k in range(1, len(rest) + 1) if share(rest[:k]) <= 0.72), None)
+            if k is None:
+                runs += (1 - share(rest)) / 0.28
+                break
+            runs, rest = runs + 1, rest[k:]
+        return whole / runs if runs else float(whole)
+
+    return (one_way(words) + one_way(words[::-1])) / 2
 
 
 def test_mtld():
