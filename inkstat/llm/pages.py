@@ -32,7 +32,7 @@ def _title_case(s: str) -> bool:
     if len(ws) < 3 or re.search(r"[.!?,;]\s*\Z", t):
         return False
     low = sum(not (w.lstrip("(\"'")[:1].isupper() or w[:1].isdigit()) for w in ws)
-    return low <= (1 if len(ws) >= 5 else 0) and sum(len(w) > 3 for w in ws) >= 2
+    return low <= (1 if len(ws) >= 5 else 0) and sum(len(w) > 3 for w in ws) >= (2 if len(ws) < 4 else 1)
 
 
 def _key(s: str) -> str:
@@ -46,7 +46,8 @@ def furniture(lines: list[str]) -> list[bool]:
     beside a page number, at either end of the text, carry a number themselves, or come again (nearly) alike.
     """
     out = [False] * len(lines)
-    text = [x.strip() for x in lines]
+    # a capital O or I at the head of a word is often misread
+    text = [re.sub(r"(?<![^\s/-])l(?=[b-df-hj-np-tv-xz][a-z]|n\b)", "I", re.sub(r"(?<![^\s/-])0(?=[a-z])", "O", x.strip())) for x in lines]
     weak: dict[int, str] = {}
     for i, s in enumerate(text):
         if not s or len(s) > 120:

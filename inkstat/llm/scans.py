@@ -39,7 +39,7 @@ CONFUSIONS = [
     ("li", "h", 0.01), ("h", "li", 0.01), ("nn", "m", 0.005), ("in", "m", 0.01), ("m", "in", 0.01), ("ri", "n", 0.01), ("n", "ri", 0.005), ("tl", "d", 0.005), (".", "", 0.01),
     ("fi", "fl", 0.005), ("y", "v", 0.005), ("v", "y", 0.005), ("q", "g", 0.005), ("g", "q", 0.005), ("ni", "m", 0.005), ("s", "a", 0.002),
 ]
-CASE_CHANCE, EDIT_CHANCE, UNKNOWN_LOWER, UNKNOWN_NAME = 0.01, 0.0004, 1e-9, 1e-4
+CASE_CHANCE, EDIT_CHANCE, UNKNOWN_LOWER, UNKNOWN_NAME = 0.01, 0.0004, 1e-9, 1e-7
 
 _TOKEN = re.compile(r"\S+")
 _EDGE = "()[]{}\"'“”„«»‘’,;:.!?"
