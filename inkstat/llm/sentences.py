@@ -92,7 +92,7 @@ SHARED = [
     rule(True, rf"[{_S}](?: ?[{_C}“])*", rf"\s*\Z|\s*\n[^\S\n]*\n"),
     rule(True, rf"[{_S}](?: ?[{_C}“])*", rf"\s+[{_OPEN}]"),
     # two sentences without a space between them
-    rule(True, rf"(?:[{_LOW}\d)%]|[{_UP}\d]{{2}}|[\d\s][{_UP}])[.!?][\"”’»)]*", rf"[{_OPEN}]*[{_UP}](?:[{_LOW}]|\s|[{_UP}\d]+-\d|\d|-)"),
+    rule(True, rf"(?:[{_LOW}\d)%]|[{_UP}\d]{{2}}|[\d\s][{_UP}])[.!?][\"”’»)]*", rf"[{_OPEN}]*[{_UP}](?:[{_LOW}]|\s|[{_UP}\d]+-\d|\d|-|\.\s+[{_UP}])"),
     rule(True, rf"[!?.][\"”»)]+", rf"[{_OPEN}]*[{_UP}]"),
     rule(True, rf"[{_LOW}]{{2}}[.!?]", r"\d+ |[\"“„«(¿¡]"),
     rule(True, rf"[{_LOW}]{{3}}[.!?]|\d [a-zA-Z]{{1,4}}[.!?]", rf"(?:pH|[a-z]-[A-Z]|[a-z]-[a-z]{{5}})"),
