@@ -83,23 +83,33 @@ def _emit_intervals(span: int, q: int, k: int):
     return run
 
 
+def _repeats(less: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Whether all but the last character of the windows at ``p`` (of one text) come again in these windows; ``less`` has the
+    hashes of so many characters."""
+    at = np.union1d(p, p + 1)  # where windows begin, and where the ends of those before them do
+    _, group, n = np.unique(less[at], return_inverse=True, return_counts=True)
+    return (n[group] > 1)[np.searchsorted(at, p)]
+
+
 def _emit_windows(span: int):
-    """Two hashes of all characters of every window whose start lies in a joined interval."""
+    """Two hashes of all characters of every window whose start lies in a joined interval, and whether it may be part of a loop."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(it):
             codes, bounds = code_points(b.column("text"))
             h, h2 = gram_hashes(codes, span), gram_hashes(codes, span, SECOND_BASE)
-            rows, places = [], []
+            less = gram_hashes(codes, span - 1)
+            rows, places, loops = [], [], []
             for i, todo in enumerate(b.column("todo").to_pylist()):
                 p = np.unique(np.concatenate([np.arange(x["s"], x["e"] + 1) for x in todo])) + bounds[i]
                 places.append(p)
                 rows.append(np.full(len(p), i))
+                loops.append(_repeats(less, p))
             if rows:
                 r, p = np.concatenate(rows), np.concatenate(places)
                 yield pa.record_batch(
-                    [b.column("rep").take(pa.array(r)), pa.array(h[p].view(np.int64)), pa.array((h2[p] >> np.uint64(33)).astype(np.int32)), pa.array((p - bounds[r]).astype(np.int32))],
-                    ["rep", "h", "h2", "at"],
+                    [b.column("rep").take(pa.array(r)), pa.array(h[p].view(np.int64)), pa.array((h2[p] >> np.uint64(33)).astype(np.int32)), pa.array((p - bounds[r]).astype(np.int32)), pa.array(np.concatenate(loops))],
+                    ["rep", "h", "h2", "at", "loops"],
                 )
 
     return run
@@ -120,9 +130,10 @@ def copies(docs: DataFrame, min_chars: int = 300) -> DataFrame:
 
 
 def shared_windows(docs: DataFrame, min_chars: int = 300, q: int = Q, k: int = FUNCTIONS) -> DataFrame:
-    """``(rep, h, h2, at, holders, mark)``: each window of ``min_chars`` characters, beginning at ``at``, that more than one
+    """``(rep, h, h2, at, holders, mark, loops)``: each window of ``min_chars`` characters, beginning at ``at``, that more than one
     text holds; ``rep`` stands for all copies of a text, ``holders`` is the number of texts (places) that hold the
-    window and ``mark`` a number that differs where the holders do."""
+    window and ``mark`` a number that differs where the holders do. ``loops`` is true where all but the last character of
+    the window come again in one of its holders."""
     d = _texts(spread(docs.select("doc_id", "text"), "doc_id"), min_chars)
     kind = d.schema["doc_id"].dataType.simpleString()
     iv = cut(d.mapInArrow(_emit_intervals(min_chars, q, k), f"doc_id {kind}, t bigint, u int, sig bigint, s int, e int"))
@@ -131,23 +142,26 @@ def shared_windows(docs: DataFrame, min_chars: int = 300, q: int = Q, k: int = F
     texts = iv.join(hot, "sig", "left_semi").groupBy("t", "u", "s", "e").agg(F.min("doc_id").alias("rep"))
     todo = texts.groupBy("rep").agg(F.collect_set(F.struct("s", "e")).alias("todo"))
     w = d.select("doc_id", "text").join(todo, d["doc_id"] == todo["rep"]).select("rep", "text", "todo")
-    w = cut(w.mapInArrow(_emit_windows(min_chars), f"rep {kind}, h bigint, h2 int, at int"))
+    w = cut(w.mapInArrow(_emit_windows(min_chars), f"rep {kind}, h bigint, h2 int, at int, loops boolean"))
     held = w.groupBy("h").agg(
         F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("holders"),
         F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).cast("double")).alias("mark"),
+        F.max("loops").alias("loops"),
     )
-    return w.join(held.filter("lo < hi").drop("lo", "hi"), "h").select("rep", "h", "h2", "at", "holders", "mark")
+    return w.drop("loops").join(held.filter("lo < hi").drop("lo", "hi"), "h").select("rep", "h", "h2", "at", "holders", "mark", "loops")
 
 
 def _text_pairs(w: DataFrame) -> DataFrame:
-    """Pairs of different texts. Of the windows two texts share in a row only the first is joined: there the set of
-    holders changes in both. Windows with many holders are salted."""
+    """Pairs of different texts. The leftmost window of text a that text b holds is first in its run, for b does not hold the
+    one before. In b it is first too, or the window before it has the same holders; then all of it but its first character
+    comes again in a, and the window loops. So first windows of a meet the first and the looping ones of b. Windows with
+    many holders are salted."""
     before = W.partitionBy("rep").orderBy("at")
     w = w.withColumns({"p_at": F.lag("at").over(before), "p_mark": F.lag("mark").over(before), "p_n": F.lag("holders").over(before)})
-    first = w.filter("p_at IS NULL OR p_at <> at - 1 OR p_mark <> mark OR p_n <> holders")
-    first = first.select("rep", "h", "h2", F.ceil(F.col("holders") / SALT_ROWS).cast("int").alias("salts")).distinct()
-    a = first.withColumn("salt", F.pmod(F.xxhash64("rep"), "salts").cast("int")).select("h", "h2", "salt", F.col("rep").alias("ra"))
-    b = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("h", "h2", "salt", F.col("rep").alias("rb"))
+    w = w.withColumn("first", F.expr("p_at IS NULL OR p_at <> at - 1 OR p_mark <> mark OR p_n <> holders")).filter("first OR loops")
+    w = w.groupBy("rep", "h", "h2").agg(F.max("first").alias("first"), F.ceil(F.max("holders") / SALT_ROWS).cast("int").alias("salts"))
+    a = w.filter("first").withColumn("salt", F.pmod(F.xxhash64("rep"), "salts").cast("int")).select("h", "h2", "salt", F.col("rep").alias("ra"))
+    b = w.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("h", "h2", "salt", F.col("rep").alias("rb"))
     return a.join(b, ["h", "h2", "salt"]).where("ra < rb").select("ra", "rb").distinct()
 
 

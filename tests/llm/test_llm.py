@@ -425,3 +425,18 @@ def test_spans_of_a_hot_passage(spark, monkeypatch):
     texts = [f"{k} {prose(rng, 5)} " + (hot if k % 3 == 0 else "") + prose(rng, 6) for k in range(90)]
     assert set(map(tuple, spans.sharing_pairs(documents(spark, texts), 80).collect())) == plain_pairs(texts, 80)
     assert spans.sharing_pairs(documents(spark, texts).limit(0), 80).count() == 0
+
+
+def test_spans_of_rotated_loops(spark):
+    """Two texts that are one loop at two phases, a looped notice among other words, and stretches that stand twice."""
+    rng = random.Random(3)
+    loop = prose(rng, 6) + " "
+    a, b, c = prose(rng, 30), prose(rng, 30), prose(rng, 30)
+    n = 80
+    size = n - 1 + 2 * len(loop)  # each phase of the loop begins two windows
+    whole, turned = (loop * 20)[:size], ((loop[7:] + loop[:7]) * 20)[:size]
+    texts = [("- " * 60)[: n + 39], (" -" * 60)[: n + 39], whole, turned, "Q1 " + whole + "#1", "Z2 " + turned + "%2"]
+    texts += [a + "1" + b + "2" + a, b + "3" + a + "4" + c, c + "5" + c, "none of these"]
+    for t in (texts, texts[::-1]):
+        got = spans.sharing_pairs(documents(spark, t), n).collect()
+        assert len(got) == len(set(got)) and set(map(tuple, got)) == plain_pairs(t, n)
