@@ -179,7 +179,7 @@ def discriminative_model(spark, d):
 
 
 def permutation_null(spark, d):
-    return _rounded(mo.permutation_null(labelled(spark, d), rounds=3))
+    return _rounded(mo.permutation_null(labelled(spark, d)))
 
 
 QUERIES = {

@@ -2,7 +2,9 @@
 
 import datetime
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,3 +311,28 @@ def test_streams(spark, tmp_path):
     a = qu.arriving(spark, str(tmp_path / "in"), "doc_id string, mirrors string")
     qu.upsert_shards(a, str(tmp_path / "out"), str(tmp_path / "c3")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/state-0")).count() == 2
+
+
+def test_permutation_null_of_separate_groups(spark):
+    from inkstat.operators import models as mo
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        label = ("human", "ai")[i % 3 == 0]
+        rows += [(f"d{i}", label, k, rng.gauss((i % 3 == 0) * s, 1.0)) for k, s in (("a", 2.0), ("b", 0.3), ("c", 0.0))]
+    long = spark.createDataFrame(rows, "doc_id string, label string, feature string, value double")
+    r = mo.permutation_null(long).first()
+    assert r["n_perm"] == 20 and r["p_value"] == 1 / 21 and abs(r["null_mean"] - 0.5) < 0.1 and r["null_sd"] > 0
+    assert r["observed"] == mo.discriminative(long).first()["auc_mean"]
+    # the fits made together are those made one by one, on the same labels and folds
+    wide, names = mo.matrix(long)
+    d = mo._dealt(wide, names, 1, 3).cache()
+    labels = {tuple(np.round(x["x"], 9)): x for x in d.collect()}
+    scaled = {x["doc_id"]: [x[k] for k in names] for x in wide.collect()}
+    z = np.array(list(scaled.values()))
+    z = (z - z.mean(0)) / z.std(0, ddof=1)
+    dealt = [(i, "ai" if labels[tuple(np.round(v, 9))]["y"][0] else "human", *scaled[i]) for i, v in zip(scaled, z)]
+    dealt = spark.createDataFrame(dealt, ["doc_id", "label", *names])
+    assert abs(mo.null_aucs(wide, names, 1, 3)[0] - np.mean(mo.cross_validated(dealt, names, 3, 0))) < 1e-3
+    assert mo.permutation_null(long.filter("label = 'ai'")).count() == 0
