@@ -194,11 +194,16 @@ def _suspect(w: _Word, m: Model) -> bool:
 
 def read(lines: list[str], out: list[bool], over: list[bool], m: Model) -> list[tuple[int, int, str, str]]:
     """Misread words: first and last line, the core as read, the word as printed."""
+    return [(*_where(w, printed), seen, printed) for w, seen, printed in _misread(lines, out, over, m)]
+
+
+def _misread(lines: list[str], out: list[bool], over: list[bool], m: Model) -> list[tuple[_Word, str, str]]:
+    """Misread words, their core as read and the word as printed."""
     words = _words_of(lines, out, over, m)
     plain = [w.core for w in words if w.core.isalpha()]
     if not plain or sum(m.known(c) for c in plain) < 0.5 * len(plain):
         return []  # another language than the vocabulary's
-    wrong: list[tuple[int, int, str, str]] = []
+    wrong: list[tuple[_Word, str, str]] = []
     i = 0
     suspects = [_suspect(w, m) for w in words]
     while i < len(words):
@@ -210,8 +215,7 @@ def read(lines: list[str], out: list[bool], over: list[bool], m: Model) -> list[
             j += 1
         for w, best in zip(words[i:j], _viterbi(words, i, j, m)):
             if best is not None:
-                a, b = _where(w, best)
-                wrong.append((a, b, w.core, best))
+                wrong.append((w, w.core, best))
         i = j
     return wrong
 
@@ -302,6 +306,18 @@ def repairs(text: str | None, source: str | None, year: float | None, m: Model)
     return sorted(got)
 
 
+def _cased(seen: str, printed: str) -> str:
+    return printed.capitalize() if seen[:1].isupper() else printed
+
+
+def _put_whole(head: str, s: str, seen: str, printed: str) -> tuple[str, str]:
+    """The parts of a carried word at the end of a line and at the start of the next, with the word as printed between what
+    stands before and after it."""
+    word, _, rest = s.partition(" ")
+    whole = (head + word).replace(seen, _cased(seen, printed), 1)
+    return whole, (" " + rest if rest else "")
+
+
 def repaired(text: str | None, source: str | None, year: float | None, m: Model) -> str | None:
     """Continuous paragraphs: without furniture, carried words whole, misread words as printed. A text that is no scan
     is returned as it is."""
@@ -310,34 +326,41 @@ def repaired(text: str | None, source: str | None, year: float | None, m: Model)
         return text
     lines, out, over = x
     fixes: dict[int, list[tuple[str, str]]] = {}
-    for a, b, seen, printed in read(lines, out, over, m):
-        if a == b:
-            fixes.setdefault(a, []).append((seen, printed))
+    joined: dict[int, tuple[str, str]] = {}  # words carried over the end of a line, by that line
+    for w, seen, printed in _misread(lines, out, over, m):
+        if w.line == w.line2:
+            fixes.setdefault(w.line, []).append((seen, printed))
+        else:
+            joined[w.line] = (seen, printed)
     body: list[str] = []
     width = max(map(len, lines))
-    glue = False
+    glue, end = False, None
     for i, s in enumerate(lines):
         if out[i]:
             continue
         s = re.sub(r"[ \t]+", " ", s.strip())
         for seen, printed in fixes.get(i, ()):
-            word = printed.capitalize() if seen[:1].isupper() else printed
+            word = _cased(seen, printed)
             pattern = re.escape(seen) if seen in s else r"\s?".join(map(re.escape, seen))
             s = re.sub(rf"(?<![^\W\d_]){pattern}(?![^\W\d_])", word, s, count=1)
         if not s or _HEADING.match(s) and len(s) < 0.85 * width and not s.endswith((".", "-")) and not glue:
             body += ["", s, ""] if s else [""]
-            glue = False
+            glue, end = False, None
             continue
         if glue and body:
             head = body[-1].rsplit(" ", 1)[-1]
             a, b = head.rstrip(HYPHENS).strip(_EDGE), s.split()[0].strip(_EDGE)
             keep = not m.known(a + b) and (b[:1].isdigit() or a[:1].isupper() and len(a) <= 3 or m.known(a) and m.known(b))
-            body[-1] = (body[-1] if keep else body[-1].rstrip(HYPHENS)) + s
+            if end in joined:
+                head, s = _put_whole(head.rstrip(HYPHENS), s, *joined[end])
+                body[-1] = body[-1][: len(body[-1]) - len(body[-1].rsplit(" ", 1)[-1])] + head + s
+            else:
+                body[-1] = (body[-1] if keep else body[-1].rstrip(HYPHENS)) + s
         elif body and body[-1]:
             body[-1] += " " + s
         else:
             body.append(s)
-        glue = over[i]
+        glue, end = over[i], i
     return re.sub(r"\n{2,}", "\n\n", "\n".join(x if x else "\n" for x in body)).strip()
 
 

@@ -187,6 +187,21 @@ def test_scans(spark):
     assert scans.repaired_texts(odd(spark), vocabulary(spark)).count() == 1
 
 
+def test_carried_words_as_printed():
+    words = {w: 1000 for w in {*WORDS, "once", "because", "while"}}
+    m = scans.model_of(list(words.items()), [])
+    page = """once the cold lattice drifted slowly under argon and the lat-
+tlce held about seven litres of argon while no sam-
+145
+p1e was open and the rigid pore held about (se-
+v3n) litres; each valve was open while the la-
+tt1ce drifted slowly under cold argon and the s1ow-
+1y drifted sample was open because argon was cold."""
+    got = scans.repaired(page, "group", None, m)
+    assert "the lattice held" in got and "no sample was" in got and "-" not in got, got
+    assert "the slowly drifted" in got and "the lattice drifted" in got and "about (seven) litres; each" in got, got
+
+
 def test_furniture_forms():
     body = "the rigid pore held about seven litres of argon and drifted."
     for s in ("145", "xii", "— 21 —", "- 21 -", "Page 3 of 412", "[p. 87]", "57   Norlemark and Holvik", "Norlemark and Holvik   57", "378 | Review of Things 9 (1979)", "THE RIGID PORE OF ARGON   57"):
