@@ -17,7 +17,8 @@ from inkstat.functions import text as tx
 MAX_CHARS = 200_000
 
 def prepared(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Token and sentence arrays of each document with text, once for all blocks."""
+    """Token and sentence arrays of each document with text, once for all blocks. Of a text only its first ``MAX_CHARS``
+    characters are measured, the default of the reference."""
     d = docs.filter(F.length("text") > 0).select(*keep, F.substring("text", 1, MAX_CHARS).alias("text"))
     d = d.withColumn("toks", tx.tokens(F.col("text"))).withColumn("sents", tx.sentences(F.col("text")))
     d = d.withColumns({
@@ -198,7 +199,8 @@ def block(docs: DataFrame, name: str, keep: tuple[str, ...] = ("doc_id",)) -> Da
 
 
 def function_words(docs: DataFrame) -> DataFrame:
-    """``(doc_id, feature, value)`` for each document and function word; words not used have 0."""
+    """``(doc_id, feature, value)`` for each document and function word in its first ``MAX_CHARS`` characters; words not used
+    have 0."""
     d = docs.filter(F.length("text") > 0).select("doc_id", tx.lower_tokens(F.substring("text", 1, MAX_CHARS)).alias("low"))
     some = F.filter("low", lambda t: t.isin(lx.FUNCTION_WORDS))
     # counted in the row: the sorted words of the list, cut into runs by position
