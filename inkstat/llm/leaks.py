@@ -217,12 +217,11 @@ def _fingerprints(key: str, k: int, w: int):
 
 def _by_shuffle(d: DataFrame, items: DataFrame, k: int, w: int, min_words: int, kinds: str) -> DataFrame:
     """Join of all fingerprints; then each candidate document meets its items one at a time. Alignments are folded into
-    one row for each (document, item, offset) before texts are joined in, and a document with very many alignments is
-    spread by item."""
+    one row for each (document, item, offset) before texts are joined in. Nothing is salted: a fingerprint that very many
+    documents hold is left to Spark's handling of skew."""
     a, b = (x.schema[c].dataType.simpleString() for x, c in ((d, "doc_id"), (items, "item_id")))
     fd = d.mapInPandas(_fingerprints("doc_id", k, w), f"doc_id {a}, h bigint, at_doc_id bigint")
     fi = cut(items.mapInPandas(_fingerprints("item_id", k, w), f"item_id {b}, h bigint, at_item_id bigint"))
-    # hot hashes are salted: a fingerprint that many documents hold is spread over partitions
     hits = fd.join(fi, "h").groupBy("doc_id", "item_id", (F.col("at_doc_id") - F.col("at_item_id")).alias("off"))
     hits = hits.agg(F.collect_set("at_item_id").alias("at"))
     j = hits.join(d, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
