@@ -7,7 +7,8 @@ node is a run of starting places with one minimum, so the wide nodes come from a
 of several hash functions gives intervals of starting places with one signature. Two texts that share a span of
 ``min_chars`` characters share ``t = min_chars - q + 1`` q-grams in a row and so a signature under every function:
 joining the intervals by signature loses no such pair. What differs is removed by comparing the windows of the joined
-intervals by a 64-bit hash of all their characters, and at last the characters themselves.
+intervals by 64 and 31 bits of hash of all their characters; the characters themselves are not compared, and holders are
+counted by the 64 bits alone.
 """
 
 from __future__ import annotations
