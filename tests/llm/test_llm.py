@@ -16,6 +16,7 @@ from inkstat.llm.arrays import code_points, gram_hashes, sliding_min
 from inkstat.llm.chars import consistent, skeleton
 from inkstat.llm.forest import IsolationForest
 from inkstat.llm.lines import kind
+from inkstat.llm.words import words
 
 DOC = "doc_id string, label string, source string, text string, title string, year int, meta string"
 WORDS = "the rigid pore of sample held about seven litres while each cold lattice drifted slowly under argon and no valve was open".split()
@@ -77,7 +78,44 @@ def test_repetition(spark):
     assert s["pmc"]["documents"] == 60 and s["raid"]["repeating"] == 6
     assert repetition.scored(odd(spark)).count() == 4 and repetition.repeating(odd(spark)).count() == 0
     assert repetition.repeating(corpus(spark, [])).count() == 0
-    assert repetition.statistics("word " * 200_000)[0] > 0.99
+    long = repetition.statistics(["word " * 200_000, None, "", "one two."])
+    assert long[0, 0] > 0.99 and repetition.repeated_share("word " * 200_000) > 0.99 and not long[1:3].any() and long[3, -1] == 2
+    assert repetition.repeated_share(None) == repetition.repeated_share(" . ") == 0.0
+
+
+def plain_statistics(text):
+    ws = words(text)
+    n, grams = len(ws), lambda k: [tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)]
+    dup = lambda xs: [x in xs[:i] for i, x in enumerate(xs)]
+    def cover(k):
+        hit = {j for i, x in enumerate(dup(grams(k))) if x for j in range(i, i + k)}
+        return len(hit) / n
+    def parts(pattern):
+        ps = [tuple(words(p)) for p in re.split(pattern, text)]
+        ps = [p for p in ps if p]
+        return sum(sum(map(len, p)) for p, x in zip(ps, dup(ps)) if x) / sum(map(len, ws))
+    mean = lambda xs: sum(xs) / max(1, len(xs))
+    return [cover(6), mean(dup(grams(6))), cover(12), mean(dup(grams(12))), mean(dup(grams(16))), parts(r"[.!?]+|\n\s*\n"), parts(r"\n"), parts(r"\n\s*\n")]
+
+
+def test_batch_statistics_by_brute_force():
+    rng = random.Random(5)
+    texts = [None]
+    for _ in range(40):
+        texts.append(rng.choice(["", "a "]) + rng.choice([" ", ". ", "\n", "\n\n"]).join("".join(rng.choice(["x y ", "x ", "y z ", "z. "]) for _ in range(rng.randint(1, 30))).strip() for _ in range(rng.randint(1, 6))))
+    got = repetition.statistics(texts)
+    for t, g in zip(texts[1:], got[1:]):
+        assert g[:8].tolist() == pytest.approx(plain_statistics(t)), t
+
+
+def test_detector_keeps_its_order_where_a_third_repeats():
+    rng = np.random.default_rng(3)
+    share = np.where(rng.random(900) < 0.33, rng.uniform(0.4, 1, 900), rng.uniform(0, 0.2, 900) ** 2)
+    x = np.clip(share[:, None] + rng.normal(0, 0.02, (900, 6)), 0, 1)
+    m = repetition.Detector(x, share)
+    true, both, chosen = m.held_out
+    assert both >= 0.99 * true and chosen <= 2.5 * true
+    assert repetition.Detector(x[share < 0.3], share[share < 0.3]).held_out[1:] == (0, 0)
 
 
 def test_forest_sets_outliers_apart():
