@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 STOPS = ".!?。！？।؟…"
 CLOSERS = "\"'”’»)」』］】）]›“"
@@ -20,21 +21,50 @@ _MATH = re.compile(r"[=≈≥≤≠∂∑∫√×÷±→∇∞^<>]|\s[-−+/*]\s
 _MOJIBAKE = re.compile(r"[ÃÂâÐÑ][\u0080-¿‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¢€¤]")
 _WORDLIKE = re.compile(r"[^\W\d_]{2,}")
 _COLUMNS = re.compile(r"\S(?:\t+|\s{3,})\S")
+_GAP = re.compile(r"\t|\s\s\s")
+_MIXED = re.compile(r"[A-Za-z]\d|\d[A-Za-z]")
+_BAR = re.compile(r"[|:\-+=\s]{3,}")
+_FIELDS = re.compile(r"[;\t]")
+_DIGIT = re.compile(r"\d")
+_CSV = re.compile(r"\S{0,24}(?:,[-+]?\d[\d.]*){3,}")
+_MENU_GAP = re.compile(r"\s[>›»|/]\s")
+_COMMAS = re.compile(r",\s+|، |、|，|;\s+")
 KIND_KEYWORDS = re.compile(r"\s*[^\W\d_][\w\s-]{2,30}\s?[:：]\s*[^.!?。]+\Z")
 
 
+class Kept(dict):
+    """For ``str.translate``: keeps the characters of which ``test`` holds, decided once each."""
+
+    def __init__(self, test: Callable[[str], bool]):
+        super().__init__()
+        self.test = test
+
+    def __missing__(self, o: int) -> int | None:
+        self[o] = r = o if self.test(chr(o)) else None
+        return r
+
+
+def _combining(c: str) -> bool:
+    return 0x300 <= ord(c) < 0x370 or 0x900 <= ord(c) < 0xE80
+
+
+_PUNCTUATION = ".,;:'\"()-–—„“”«»‚‘’!?%/±。，、；：（）「」…·।"
+_ODD = Kept(lambda c: not c.isspace() and not c.isalnum() and c not in _PUNCTUATION and not _combining(c))
+SYMBOLS = Kept(lambda c: not (c.isalnum() or c.isspace() or _combining(c)))
+DIGITS = Kept(str.isdigit)
+
+
 def junk(s: str) -> bool:
     """Mostly signs and digits among letters, as in damaged or encoded data."""
-    t = [c for c in s if not c.isspace()]
-    if len(t) < 8:
+    t = len("".join(s.split()))
+    if t < 8:
         return False
-    odd = sum(not c.isalnum() and c not in ".,;:'\"()-–—„“”«»‚‘’!?%/±。，、；：（）「」…·।" and not 0x300 <= ord(c) < 0x370 and not 0x900 <= ord(c) < 0xE80 for c in t)
-    if odd / len(t) > 0.18:
+    odd = len(s.translate(_ODD))
+    if odd / t > 0.18:
         return True
-    if len(_MOJIBAKE.findall(s)) * 2 / len(t) > 0.04:
+    if not s.isascii() and len(_MOJIBAKE.findall(s)) * 2 / t > 0.04:
         return True
-    mixed = len(re.findall(r"[A-Za-z]\d|\d[A-Za-z]", s))
-    return mixed / len(t) > 0.15 and odd / len(t) > 0.05
+    return odd / t > 0.05 and len(_MIXED.findall(s)) / t > 0.15
 
 
 def kind(line: str) -> str:
@@ -43,33 +73,33 @@ def kind(line: str) -> str:
     if not s:
         return "blank"
     stop = bool(ENDS.search(s))
-    if _LEADER.search(s):
+    if s[-1].isdigit() and _LEADER.search(s):
         return "contents"
-    if s.count("|") >= 2 or re.fullmatch(r"[|:\-+=\s]{3,}", s):
+    if s.count("|") >= 2 or _BAR.fullmatch(s):
         return "table"
-    if s.count("\t") >= 2 or len(_COLUMNS.findall(line.rstrip())) >= 2:
+    if s.count("\t") >= 2 or _GAP.search(line) and len(_COLUMNS.findall(line.rstrip())) >= 2:
         return "table"
-    fields = re.split(r"[;\t]", s)
-    if len(fields) >= 3 and sum(bool(re.search(r"\d", f)) and len(f.split()) <= 2 for f in fields) >= len(fields) - 1:
+    fields = _FIELDS.split(s)
+    if len(fields) >= 3 and sum(bool(_DIGIT.search(f)) and len(f.split()) <= 2 for f in fields) >= len(fields) - 1:
         return "table"
-    if re.fullmatch(r"\S{0,24}(?:,[-+]?\d[\d.]*){3,}", s):
+    if s.count(",") >= 3 and _CSV.fullmatch(s):
         return "table"
-    if _LOG.search(s):
+    if ("=" in s or "->" in s) and _LOG.search(s):
         return "log"
     if junk(s):
         return "junk" if len(_MATH.findall(s)) < 3 or len(s.split()) < 5 else "formula"
-    if len(_MENU.findall(s)) >= 1 and not stop and all(len(p.split()) <= 4 for p in re.split(r"\s[>›»|/]\s", s)):
+    if not stop and _MENU.search(s) and all(len(p.split()) <= 4 for p in _MENU_GAP.split(s)):
         return "menu"
     toks = s.split()
     if len(_MATH.findall(s)) >= 3 and sum(len(w) > 3 and w.isalpha() for w in toks) < len(toks) * 0.3:
         return "formula"
-    if _REFERENCE.search(s) and s.count(",") >= 2:
+    if s.count(",") >= 2 and _REFERENCE.search(s):
         return "reference"
     if _BULLET.match(line) and len(toks) <= 14 and not (stop and len(toks) > 9):
         return "bullet"
     if _NUMBER_RECORD.match(s) and len(toks) <= 8:
         return "record"
-    commas = re.split(r",\s+|، |、|，|;\s+", s.rstrip(",;"))
-    if len(commas) >= 4 and not stop and sum(len(p.split()) for p in commas) / len(commas) <= 2.2:
+    commas = [] if stop else _COMMAS.split(s.rstrip(",;"))
+    if len(commas) >= 4 and sum(len(p.split()) for p in commas) / len(commas) <= 2.2:
         return "keywords"
     return "prose"

@@ -5,6 +5,8 @@ from __future__ import annotations
 import difflib
 import re
 
+from inkstat.llm.lines import Kept
+
 _ROMAN = r"[ivxlc]{1,8}"
 _NUMBER = re.compile(
     rf"(?:\d{{1,4}}|{_ROMAN}|[–—-]\s?\d{{1,4}}\s?[–—-]|[Pp](?:age|p?\.)\s?\d{{1,4}}(?:\s(?:of|/)\s\d{{1,5}})?|\[\s?[Pp]p?\.\s?\d{{1,4}}\s?\]|\d{{1,4}}\s?/\s?\d{{1,5}})\Z"
@@ -15,21 +17,28 @@ _NUMBER_NAMES = re.compile(rf"(?:\d{{1,4}}\s{{2,}}{_NAME}(?: and {_NAME}| et al\
 _JOURNAL = re.compile(r"(?:\d{1,4}\s?\|\s?\S.{3,60}\(\d{4}\)|\S.{3,60}\(\d{4}\)\s?\|\s?\d{1,4})\Z")
 _HEADING = re.compile(r"\d{1,2}(?:\.\d{1,2}){0,3}\.?\s+[^\W\d_]")
 HYPHENS = "-¬­‐‑"
+_PAGE_NUMBER = re.compile(r"\s{2,}\d{1,4}\Z|\A\d{1,4}\s{2,}")
+_CLAUSE_END = re.compile(r"[.!?,;]\s*\Z")
+_WORD_GAP = re.compile(r"[\s/]+")
+_LOOKS_L, _LOOKS_0 = re.compile(r"(?<![^\s/-])l(?=[b-df-hj-np-tv-xz][a-z]|n\b)"), re.compile(r"(?<![^\s/-])0(?=[a-z])")
+_UPPER, _LOWER = Kept(str.isupper), Kept(str.islower)
 _SPLIT = re.compile(rf"[^\W_][{HYPHENS}]\s*\Z")
 
 
 def _caps(s: str) -> bool:
     """A line set in capitals, with or without a page number after a gap."""
-    t = re.sub(r"\s{2,}\d{1,4}\Z|\A\d{1,4}\s{2,}", "", s)
-    cased = [c for c in t if c.isupper() or c.islower()]
-    return len(cased) >= 8 and len(t.split()) >= 2 and sum(c.isupper() for c in cased) >= 0.85 * len(cased)
+    t = _PAGE_NUMBER.sub("", s)
+    upper, lower = len(t.translate(_UPPER)), len(t.translate(_LOWER))
+    return upper + lower >= 8 and upper >= 0.85 * (upper + lower) and len(t.split()) >= 2
 
 
 def _title_case(s: str) -> bool:
     """Every word begins with a capital (or digit), as in the title at the head of a page."""
-    t = re.sub(r"\s{2,}\d{1,4}\Z|\A\d{1,4}\s{2,}", "", s)
-    ws = [w for w in re.split(r"[\s/]+", t) if any(c.isalpha() for c in w)]
-    if len(ws) < 3 or re.search(r"[.!?,;]\s*\Z", t):
+    t = _PAGE_NUMBER.sub("", s)
+    if _CLAUSE_END.search(t):
+        return False
+    ws = [w for w in _WORD_GAP.split(t) if any(map(str.isalpha, w))]
+    if len(ws) < 3:
         return False
     low = sum(not (w.lstrip("(\"'")[:1].isupper() or w[:1].isdigit()) for w in ws)
     return low <= (1 if len(ws) >= 5 else 0) and sum(len(w) > 3 for w in ws) >= (2 if len(ws) < 4 else 1)
@@ -47,7 +56,7 @@ def furniture(lines: list[str]) -> list[bool]:
     """
     out = [False] * len(lines)
     # a capital O or I at the head of a word is often misread
-    text = [re.sub(r"(?<![^\s/-])l(?=[b-df-hj-np-tv-xz][a-z]|n\b)", "I", re.sub(r"(?<![^\s/-])0(?=[a-z])", "O", x.strip())) for x in lines]
+    text = [_LOOKS_L.sub("I", _LOOKS_0.sub("O", x.strip())) for x in lines]
     weak: dict[int, str] = {}
     for i, s in enumerate(text):
         if not s or len(s) > 120:

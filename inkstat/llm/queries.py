@@ -41,6 +41,7 @@ def queries() -> dict[str, Query]:
         "p5_sentences": _over(sentences.sentence_ends, "corpus"),
         "p6_found": _over(quality.not_prose, "corpus", "common_words"),
         "p6_types": _over(quality.typed, "corpus", "common_words"),
+        "p6_accuracies": _over(quality.accuracies, "corpus", "common_words"),
         "p6_by_source": _over(quality.by_source, "corpus", "common_words"),
         "p7_found": _p7_found,
         "p7_items": _over(leaks.leak_report, "documents", "eval_items"),

@@ -315,6 +315,21 @@ def test_quality(spark):
     assert o["a"] == o["b"] == o["c"] == "empty" and len(o) == 4
     assert quality.not_prose(corpus(spark, []), common).count() == 0 and quality.by_source(corpus(spark, []), common).count() == 0
     assert quality.not_prose(d, common.limit(0)).count() == 12
+    assert quality.accuracies(d, common).count() == 4 * (2 * 4 + 8 * 2) and quality.accuracies(corpus(spark, []), common).count() == 96
+
+
+def test_agreement_outvotes_a_structure_function():
+    """What decides is the posterior: where a structure function is alone against the others, they overrule it."""
+    prose_, entry = [0, 0, 0, 0, 0, -1, -1, 0, -1, 0], [1, 1, 1, 1, 1, -1, -1, 1, 1, 1]
+    alone = [1, 0, 0, 0, 0, -1, -1, 0, -1, 0]
+    p = np.array([prose_, entry, alone])
+    prior, tables = quality.learn(p, np.array([900.0, 90.0, 10.0]))
+    assert quality.log_joint(p, prior, tables).argmax(1).tolist() == [0, 1, 0]
+
+
+def test_kinds_count_signs_as_before():
+    assert quality.statistics("ab 12 +=\n", {})[4:6] == (2 / 6, 2 / 6)
+    assert quality.statistics("สวัสดี ครับผมชื่อสมชายนะครับ", {})[11] > 0.7 and quality.statistics(None, {})[:3] == (0, 0, 0)
 
 
 def test_label_model_learns_accuracies():
@@ -323,7 +338,7 @@ def test_label_model_learns_accuracies():
     noisy = lambda p: np.where(rng.random(4000) < p, true, rng.integers(0, 4, 4000))
     votes = np.stack([noisy(0.9), noisy(0.9), noisy(0.7), np.where(rng.random(4000) < 0.5, -1, noisy(0.8))], 1)
     p, c = np.unique(votes, axis=0, return_counts=True)
-    prior, tables = quality.learn(p, c.astype(float))
+    prior, tables = quality.learn(p, c.astype(float), naming=4)
     guess = quality.log_joint(votes, prior, tables).argmax(1)
     assert (guess == true).mean() > 0.93 and abs(prior - 0.25).max() < 0.05
 
