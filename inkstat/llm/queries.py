@@ -35,6 +35,7 @@ def queries() -> dict[str, Query]:
         "p2_forms": _over(skeletons.consistent_forms, "corpus"),
         "p3_found": _over(truncation.cut_fields, "corpus"),
         "p3_by_source": _over(truncation.by_source, "corpus"),
+        "p3_states": _over(truncation.by_state, "corpus"),
         "p4_found": _over(scans.repair_lines, "corpus", "vocabulary"),
         "p4_repaired": _over(scans.repaired_texts, "corpus", "vocabulary"),
         "p5_found": _p5_found,

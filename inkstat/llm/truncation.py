@@ -1,9 +1,11 @@
 """Problem 3: text and metadata cut off by a field limit or a broken transfer.
 
-Method: a stack automaton reads each value: marks that open are pushed, marks that close pop, a blank line clears what
-prose left open. A value lacks its end if something is still open, if it ends inside a character, an escape or an
-element, if prose stops without a terminator where its source usually has one, if it is shorter than the size noted
-for it, or if it reaches a length at which its source cuts.
+Method: a stack automaton reads each value from its first character to its last. Opening quotes, brackets and elements are
+pushed, closing ones pop; a blank line takes off the quotes and brackets prose left open, not elements. Inside a tag, an
+entity, an escape or a character the automaton is in a state of its own, and in prose it is inside a sentence until a
+terminator. What it ends in are the states ``quote``, ``bracket``, ``markup``, ``escape``, ``bytes`` and ``sentence``. A
+state shows a cut only in a source whose texts seldom end in it (the baseline). Besides, a text is cut if it is shorter
+than the size noted for it, or as long as its source cuts.
 """
 
 from __future__ import annotations
@@ -11,26 +13,35 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstat.llm.lines import ENDS, KIND_KEYWORDS, kind
-from inkstat.llm.pages import carried, furniture, wrapped
+from inkstat.llm.pages import furniture, wrapped
 from inkstat.runtime import cut, spread
 
-#: A length is a limit of a source if at least so many of its texts have it, ``LIMIT_TIMES`` as many as lengths of
-#: the same hundred have on average, and it is the greatest length with which that happens.
+#: A length is a limit of a source if at least so many of its texts have it, ``LIMIT_TIMES`` as many as other lengths of
+#: the same hundred have on average, and most of them end in some state of the automaton.
 LIMIT_ROWS, LIMIT_TIMES = 4, 8
-#: A source of whose prose more than this share has no terminator is not judged by terminators.
-MISSING_SHARE = 0.5
+#: A state in which more than this share of a source's prose ends says nothing there.
+STATE_SHARE = 0.5
+STATES = ("quote", "bracket", "markup", "escape", "bytes", "sentence")
 
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "«": "»", "„": "“”", "“": "”", "《": "》", "【": "】"}
 _CLOSE = {c for v in _PAIRS.values() for c in v}
-_MARK = re.compile(r"[\"(){}\[\]（）「」『』«»„“”《》【】]")
-_TAIL_ESCAPE = re.compile(r"(?:\\|\\u[0-9A-Fa-f]{0,3}|\\x[0-9A-Fa-f]?|&#?\w{0,6}|%[0-9A-Fa-f]?|<[/!]?[A-Za-z][^<>\n]{0,120}|�)\Z")
+_QUOTES = "\"«„“「『"
+# What the automaton reads at once: a blank line, either end of a comment, a tag, the beginning of one, an entity, an escape, a mark.
+_READ = re.compile(
+    r"(?P<blank>\n[^\S\n]*\n)|(?P<comment><!--|-->)|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:]{0,30})(?:\s[^<>\n]{0,400})?(?P<void>/?)>"
+    r"|(?P<open><[/!]?[A-Za-z][^<>\n]{0,400}\Z)"
+    r"|(?P<whole>\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\[^ux]|&#?\w{1,10};|%[0-9A-Fa-f]{2})|(?P<broken>(?:\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|&(?:#?\w{1,6}|\#)?|%[0-9A-Fa-f]?)\Z)"
+    r"|(?P<bytes>�\Z)|(?P<mark>[\"(){}\[\]（）「」『』«»„“”《》【】])"
+)
+# Elements that need no end.
+_NO_END = {"br", "hr", "img", "input", "meta", "link", "wbr", "col", "p", "li", "dt", "dd", "td", "th", "tr", "option"}
 _THAI = re.compile("[฀-๿]")
 _SIGNATURE = re.compile(r"(?:[^\W\d_]\. ?){1,3}[^\W\d_][\w'’-]+\Z|[—–-] ?[^\W\d_]\S+(?: \S+){0,3}\Z")
 _CITATION = re.compile(r"(?:\s*(?:\[\d{1,4}(?:[,–-] ?\d{1,4})*\]|\(\d{1,4}\)))+\Z")
@@ -41,32 +52,62 @@ _WANTS_MORE = re.compile(
     r"|(?<!\w)(?:см|рис|табл|ок|напр|стр|т|ص|د|डॉ))\.\Z"
 )
 
-_SCHEMA = """doc_id string, source string, n_chars bigint, n_bytes bigint, n_words bigint, short boolean, broken boolean,
-    open_marks string, tail string, missing boolean, meta_cut boolean, has_text boolean, has_meta boolean"""
+_SCHEMA = """doc_id string, source string, n_chars bigint, n_bytes bigint, n_words bigint, short boolean,
+    ended array<string>, tail string, meta_cut boolean, has_text boolean, has_meta boolean"""
+
 
+def _take(stack: list[str], fits: Callable[[str], bool]) -> None:
+    """Pop down to the topmost symbol that ``fits``; a closing mark without partner is forgiven."""
+    for i in range(len(stack) - 1, -1, -1):
+        if fits(stack[i]):
+            del stack[i:]
+            return
 
-def open_marks(text: str) -> str:
-    """What is still open at the end of a text, outermost first; a blank line or closing mark without partner is
-    forgiven."""
+
+def end_states(text: str) -> tuple[list[str], str]:
+    """What is on the stack at the end of a text, outermost first (elements as ``<name``), and the state of the reading
+    head: ``text``, ``markup``, ``escape`` or ``bytes``."""
     stack: list[str] = []
-    start = max(text.rfind("\n\n"), 0)
-    for m in _MARK.finditer(text, start):
-        c = m.group()
-        if c == '"':
-            if '"' in stack:
-                del stack[stack.index('"') :]
-            else:
+    head = "text"
+    for m in _READ.finditer(text):
+        kind_ = m.lastgroup if m.lastgroup not in ("end", "tag", "void") else "tag"
+        if kind_ == "mark":
+            c = m.group()
+            if c == '"':
+                if '"' in stack:
+                    del stack[stack.index('"') :]
+                else:
+                    stack.append(c)
+            elif c in _CLOSE and any(c in _PAIRS.get(x, "") for x in stack):
+                _take(stack, lambda x, c=c: c in _PAIRS.get(x, ""))
+            elif c in _PAIRS:
                 stack.append(c)
-        elif stack and c in _PAIRS.get(stack[-1], ""):
-            stack.pop()
-        elif c in _PAIRS:
-            stack.append(c)
-        elif c in _CLOSE:
-            for i in range(len(stack) - 1, -1, -1):
-                if c in _PAIRS.get(stack[i], ""):
-                    del stack[i:]
-                    break
-    return "".join(stack)
+        elif kind_ == "blank":
+            stack = [x for x in stack if x[0] == "<"]
+        elif kind_ == "comment":
+            if m.group() == "-->":
+                _take(stack, lambda x: x == "<!--")
+            else:
+                stack.append("<!--")
+        elif kind_ == "tag":
+            name = "<" + m.group("tag").lower()
+            if m.group("end"):
+                _take(stack, lambda x, name=name: x == name)
+            elif not m.group("void") and name[1:] not in _NO_END:
+                stack.append(name)
+        elif kind_ in ("open", "broken", "bytes"):
+            head = {"open": "markup", "broken": "escape", "bytes": "bytes"}[kind_]
+    return stack, head
+
+
+def states_of(text: str) -> list[str]:
+    """The states of STATES but ``sentence`` in which a text ends."""
+    stack, head = end_states(text)
+    has = {
+        "quote": any(x in _QUOTES for x in stack), "bracket": any(x in _PAIRS and x not in _QUOTES for x in stack),
+        "markup": head == "markup" or any(x[0] == "<" for x in stack), "escape": head == "escape", "bytes": head == "bytes",
+    }
+    return [s for s in STATES if has.get(s)]
 
 
 def structure_open(value: str) -> bool:
@@ -102,9 +143,13 @@ def structure_open(value: str) -> bool:
     return bool(stack or quote) or i > n
 
 
-def tail(text: str) -> tuple[str, bool]:
-    """What the end of a text is, and whether prose lacks its terminator there."""
+def tail(text: str, quick: bool = False) -> tuple[str, bool]:
+    """What the end of a text is, and whether prose lacks its terminator there. ``quick``: without asking what kind of
+    text it is where it ends with a terminator."""
     lines = text.split("\n")
+    whole = text.rstrip()
+    if quick and ENDS.search(whole[-12:]) and not _WANTS_MORE.search(whole[-40:]):
+        return "stop", False
     page = wrapped(lines)
     out = furniture(lines) if page else [False] * len(lines)
     body = [x for x, f in zip(lines, out) if not f]
@@ -158,15 +203,18 @@ def shorter(text: str, meta: str | None) -> bool:
 
 
 def inspect(text: str | None, meta: str | None) -> tuple:
+    """One row of the inspection but for doc_id and source."""
     if text and text.strip():
-        kind_, missing = tail(text)
+        ended = states_of(text)
+        kind_, missing = tail(text, quick=not ended)
         prose = kind_ in ("open", "stop", "abbreviation", "heading")
-        row = (
-            len(text), len(text.encode("utf-8", "surrogatepass")), len(text.split()), shorter(text, meta),
-            bool(_TAIL_ESCAPE.search(text[-130:])) and kind_ != "junk" and (text[-1] == "�" or prose), open_marks(text) if prose else "", kind_, missing,
-        )
+        if not prose:  # signs in lists, tables and junk mean nothing; half a character does, but in junk
+            ended = [s for s in ended if s == "bytes" and kind_ != "junk"]
+        if missing:
+            ended.append("sentence")
+        row = (len(text), len(text.encode("utf-8", "surrogatepass")), len(text.split()), shorter(text, meta), ended, kind_)
     else:
-        row = (len(text or ""), len(text or ""), 0, False, False, "", "empty", False)
+        row = (len(text or ""), len(text or ""), 0, False, [], "empty")
     return (*row, bool(meta) and structure_open(meta), bool(text and text.strip()), bool(meta and meta.strip()))
 
 
@@ -189,9 +237,9 @@ def inspected(docs: DataFrame) -> DataFrame:
 
 def limits(x: DataFrame) -> DataFrame:
     """``(source, unit, at)``: lengths at which a source cuts: many texts have just this length, most of them without
-    a proper end, and few are longer."""
+    a proper end. A source may have several."""
     units = F.explode(F.create_map(F.lit("chars"), F.col("n_chars"), F.lit("bytes"), F.col("n_bytes"), F.lit("words"), F.col("n_words"))).alias("unit", "at")
-    c = x.filter("has_text").select("source", (F.col("missing") | F.col("broken") | (F.col("open_marks") != "")).alias("bad"), units)
+    c = x.filter("has_text").select("source", (F.size("ended") > 0).alias("bad"), units)
     c = c.groupBy("source", "unit", "at").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
     near = c.groupBy("source", "unit", F.floor(F.col("at") / 100).alias("hundred")).agg(F.sum("n").alias("all"), F.count("*").alias("lengths"))
     c = c.withColumn("hundred", F.floor(F.col("at") / 100)).join(near, ["source", "unit", "hundred"])
@@ -199,18 +247,24 @@ def limits(x: DataFrame) -> DataFrame:
     return c.filter((F.col("n") >= LIMIT_ROWS) & (F.col("n") >= LIMIT_TIMES * other) & (F.col("bad") >= 0.6 * F.col("n"))).select("source", "unit", "at")
 
 
+def baselines(x: DataFrame) -> DataFrame:
+    """``(source, silent)``: the states in which more than ``STATE_SHARE`` of the source's prose ends."""
+    prose = x.filter("has_text AND tail IN ('open', 'stop', 'abbreviation', 'heading')")
+    share = prose.groupBy("source").agg(*[F.avg(F.array_contains("ended", s).cast("int")).alias(s) for s in STATES])
+    return share.select("source", F.array_compact(F.array(*[F.when(F.col(s) > STATE_SHARE, F.lit(s)) for s in STATES])).alias("silent"))
+
+
 def judged(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, ..., at_limit, text_cut, meta_cut)`` of each document; null and empty values are not cut."""
+    """``(doc_id, source, ..., at_limit, shows, text_cut, meta_cut)`` of each document: ``shows`` are the states that show a
+    cut by the source's baseline. Null and empty values are not cut."""
     x = cut(inspected(docs))
     lim = limits(x).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "unit", "at"), F.lit(True)))).alias("limits"))
-    base = x.filter("has_text AND tail IN ('open', 'stop', 'abbreviation', 'heading')").groupBy("source").agg(F.avg(F.col("missing").cast("int")).alias("missing_share"))
-    src = x.select("source").distinct().join(base, "source", "left").join(lim, "source", "left")
+    src = x.select("source").distinct().join(baselines(x), "source", "left").join(lim, "source", "left")
     x = x.join(src, x["source"].eqNullSafe(src["source"]), "left").drop(src["source"])
     hit = [F.coalesce(F.try_element_at("limits", F.concat_ws(":", F.lit(u), F.col(c).cast("string"))), F.lit(False)) for u, c in (("chars", "n_chars"), ("bytes", "n_bytes"), ("words", "n_words"))]
     x = x.withColumn("at_limit", F.col("has_text") & (hit[0] | hit[1] | hit[2]))
-    told = F.coalesce(F.col("missing_share") <= MISSING_SHARE, F.lit(True))
-    text_cut = F.col("has_text") & (F.col("short") | F.col("broken") | F.col("at_limit") | (F.col("missing") & told) | (F.col("open_marks") != ""))
-    return x.withColumn("text_cut", text_cut).drop("limits")
+    x = x.withColumn("shows", F.array_except("ended", F.coalesce("silent", F.array().cast("array<string>"))))
+    return x.withColumn("text_cut", F.col("has_text") & (F.col("short") | F.col("at_limit") | (F.size("shows") > 0))).drop("limits", "silent")
 
 
 def cut_fields(docs: DataFrame) -> DataFrame:
@@ -226,3 +280,14 @@ def by_source(docs: DataFrame) -> DataFrame:
         F.count("*").alias("documents"), F.count_if("text_cut").alias("text_cut"), F.count_if("meta_cut").alias("meta_cut"),
         F.avg((F.col("text_cut") | F.col("meta_cut")).cast("int")).alias("cut_share"),
     )
+
+
+def by_state(docs: DataFrame) -> DataFrame:
+    """``(source, state, texts, shown, alone)``: texts that end in a state of the automaton, those of which it shows a cut,
+    and those that nothing else shows to be cut."""
+    x = judged(docs).filter("has_text")
+    one = x.select("source", "short", "at_limit", "shows", F.explode("ended").alias("state"))
+    shown = F.array_contains("shows", F.col("state"))
+    return one.groupBy("source", "state").agg(
+        F.count("*").alias("texts"), F.count_if(shown).alias("shown"), F.count_if(shown & (F.size("shows") == 1) & ~F.col("short") & ~F.col("at_limit")).alias("alone")
+    )

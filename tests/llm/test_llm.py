@@ -166,7 +166,49 @@ def test_cut_texts(spark, text, meta, cut):
     x = truncation.inspect(text, meta)
     names = [c.split()[0] for c in truncation._SCHEMA.split(",")][2:]
     r = dict(zip(names, x))
-    assert bool(r["short"] or r["broken"] or r["missing"] or r["open_marks"]) == cut
+    assert bool(r["short"] or r["ended"]) == cut
+
+
+@pytest.mark.parametrize(
+    ("text", "stack", "head"),
+    [
+        ("a (b [c", ["(", "["], "text"), ("a (b [c) d", [], "text"), ("(a\n\nb", [], "text"), ("<i>a (b", ["<i", "("], "text"), ("<i>a\n\nb", ["<i"], "text"), ("<i>a</i> <br> <p>b", [], "text"),
+        ('a <span class="x', [], "markup"), ("a <!-- b", ["<!--"], "text"), ("a <!-- b --> c", [], "text"), ("a &am", [], "escape"), ("a &amp;", [], "text"), ("a \\u00", [], "escape"), ("a \\u00e4", [], "text"),
+        ("a\\", [], "escape"), ("a%2", [], "escape"), ("a \ufffd", [], "bytes"), ("a \ufffd b", [], "text"), ("„a“ «b", ["«"], "text"), (") a", [], "text"), ("<a/>b", [], "text"), ("</b> c < d", [], "text"),
+    ],
+)
+def test_automaton(text, stack, head):
+    assert truncation.end_states(text) == (stack, head)
+
+
+def test_automaton_reads_long_texts_once():
+    for t in ("<!--" * 50_000, "<a " * 50_000, '("' * 50_000, "&" * 100_000):
+        truncation.end_states(t)
+
+
+@settings(max_examples=200, deadline=None)
+@given(some.text(alphabet="ab ()[]«»\"<i>/&;\\u0%.\n", max_size=60))
+def test_automaton_by_steps(t):
+    """Brackets alone, by a plain stack, where no tag, quote or blank line is in the way."""
+    t = re.sub(r'[<>"&\\%/\n«»]', "", t)
+    plain = []
+    for c in t:
+        if c in "([":
+            plain.append(c)
+        elif c in ")]" and "([" [")]".index(c)] in plain:
+            while plain.pop() != "([" [")]".index(c)]:
+                pass
+    assert truncation.end_states(t) == (plain, "text")
+
+
+def test_a_state_most_texts_of_a_source_end_in_shows_nothing(spark):
+    rows = [(f"m{i}", "raid", "<i>It was cold. It was late.", "", None) for i in range(5)] + [("n", "raid", "It was cold and la", "", None)]
+    rows += [(f"o{i}", "pmc", "It was cold. It was late.", "", None) for i in range(5)] + [("p", "pmc", "It was <i>cold.", "", None)]
+    d = corpus(spark, rows)
+    assert sorted(map(tuple, truncation.cut_fields(d).collect())) == [("n", "text"), ("p", "text")]
+    got = {(r["source"], r["state"]): (r["texts"], r["shown"], r["alone"]) for r in truncation.by_state(d).collect()}
+    assert got == {("raid", "markup"): (5, 0, 0), ("raid", "sentence"): (1, 1, 1), ("pmc", "markup"): (1, 1, 1)}
+    assert truncation.by_state(corpus(spark, [])).count() == 0
 
 
 @settings(max_examples=100, deadline=None)
