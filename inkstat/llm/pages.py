@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
+from collections.abc import Callable, Iterable
 
 from inkstat.llm.lines import Kept
 
@@ -22,6 +24,9 @@ _CLAUSE_END = re.compile(r"[.!?,;]\s*\Z")
 _WORD_GAP = re.compile(r"[\s/]+")
 _LOOKS_L, _LOOKS_0 = re.compile(r"(?<![^\s/-])l(?=[b-df-hj-np-tv-xz][a-z]|n\b)"), re.compile(r"(?<![^\s/-])0(?=[a-z])")
 _UPPER, _LOWER = Kept(str.isupper), Kept(str.islower)
+_LETTERS, _LAST_LETTERS = re.compile(r"[^\W_]+"), re.compile(r"[^\W_]*\Z")
+_CONJUNCTIONS = {"and", "or", "und", "oder", "et", "ou", "y", "o"}
+_NUMBERED = re.compile(r"\d{1,4}\s{2,}.*")
 _SPLIT = re.compile(rf"[^\W_][{HYPHENS}]\s*\Z")
 
 
@@ -48,6 +53,15 @@ def _key(s: str) -> str:
     return re.sub(r"\d+", "0", "".join(c for c in s.casefold() if c.isalnum()))
 
 
+def _firm(s: str) -> bool:
+    """Whether a line has the form of a page number, or of a header or footer with one."""
+    if not s or len(s) > 120 or _HEADING.match(s) and not _NUMBERED.fullmatch(s):
+        return False
+    if _NUMBER.match(s) and s not in ("l", "c") or s in ("i", "v", "x"):
+        return True
+    return bool(_NUMBER_NAMES.match(s) or _JOURNAL.match(s) or (_PAGE_NUMBER.search(s) and _caps(s)))
+
+
 def furniture(lines: list[str]) -> list[bool]:
     """Which lines are running headers, footers or page numbers.
 
@@ -61,11 +75,9 @@ def furniture(lines: list[str]) -> list[bool]:
     for i, s in enumerate(text):
         if not s or len(s) > 120:
             continue
-        if _HEADING.match(s) and not re.fullmatch(r"\d{1,4}\s{2,}.*", s):
+        if _HEADING.match(s) and not _NUMBERED.fullmatch(s):
             continue
-        if _NUMBER.match(s) and not re.fullmatch(r"[ivxlc]", s) or re.fullmatch(r"[ivxlcm]", s) and s in "ivx":
-            out[i] = True
-        elif _NUMBER_NAMES.match(s) or _JOURNAL.match(s) or (_caps(s) and re.search(r"\s{2,}\d{1,4}\Z|\A\d{1,4}\s{2,}", s)):
+        if _firm(s):
             out[i] = True
         elif _NAMES.match(s) or _caps(s) or _title_case(s):
             weak[i] = _key(s)
@@ -77,22 +89,58 @@ def furniture(lines: list[str]) -> list[bool]:
             j += step
         return j if 0 <= j < len(text) else None
 
+    alike = _Alike(weak.values())
     for i, k in weak.items():
         a, b = near(i, -1), near(i, 1)
         beside = any(j is not None and firm[j] for j in (a, b))
-        again = any(j != i and difflib.SequenceMatcher(None, k, o, autojunk=False).ratio() > 0.8 for j, o in weak.items())
         edge = a is None or b is None
-        if beside or again or (edge and (_caps(text[i]) or "/" in text[i] or _title_case(text[i]) or _NAMES.match(text[i]))):
+        if beside or alike.again(k, 0.8) or (edge and (_caps(text[i]) or "/" in text[i] or _title_case(text[i]) or _NAMES.match(text[i]))):
             out[i] = True
-    keys = [_key(text[i]) for i in range(len(text)) if out[i] and len(_key(text[i])) >= 8]
+    keys = _Alike(k for i in range(len(text)) if out[i] and len(k := _key(text[i])) >= 8)
     for i, s in enumerate(text):  # a misread copy of a header
         if s and not out[i] and len(s) <= 120 and not ENDS_STOP.search(s):
             k = _key(s)
-            if len(k) >= 8 and any(abs(len(k) - len(o)) <= 2 and difflib.SequenceMatcher(None, k, o, autojunk=False).ratio() > 0.85 for o in keys):
-                out[i] = True
+            out[i] = len(k) >= 8 and keys.near(k, 0.85, 2)
     return out
 
 
+class _Alike:
+    """Keys of lines, found by nearly equal ones: two keys are compared if they begin alike, end alike, or have equal
+    middles, so that a long text's lines do not all meet."""
+
+    def __init__(self, keys: Iterable[str]):
+        self.count = Counter(keys)
+        self.blocks: dict[tuple[int, str], set[str]] = {}
+        for k in self.count:
+            for b in self._blocks(k):
+                self.blocks.setdefault(b, set()).add(k)
+
+    @staticmethod
+    def _blocks(k: str) -> set[tuple[int, str]]:
+        m = len(k) // 2
+        return {(0, k[:4]), (1, k[-4:]), *((2, k[j : j + 4]) for j in range(max(0, m - 3), m + 2))}
+
+    def _others(self, k: str) -> set[str]:
+        return {o for b in self._blocks(k) for o in self.blocks.get(b, ())} - {k}
+
+    def again(self, k: str, ratio: float) -> bool:
+        """Whether a key of the collection comes again in it, or nearly."""
+        return self.count[k] > 1 or any(_ratio(k, o) > ratio for o in self._others(k))
+
+    def near(self, k: str, ratio: float, length: int) -> bool:
+        return k in self.count or any(abs(len(k) - len(o)) <= length and _ratio(k, o) > ratio for o in self._others(k))
+
+
+def _ratio(a: str, b: str) -> float:
+    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    return m.ratio() if m.quick_ratio() > 0.8 else 0.0
+
+
+def page_marks(lines: list[str]) -> list[bool]:
+    """Which lines have the form of a page number, or of a header or footer with one."""
+    return [_firm(_LOOKS_L.sub("I", _LOOKS_0.sub("O", x.strip()))) for x in lines]
+
+
 ENDS_STOP = re.compile(r"[.!?,;:]\s*\Z")
 
 
@@ -104,8 +152,9 @@ def next_content(lines: list[str], out: list[bool], i: int) -> int | None:
     return j if j < len(lines) else None
 
 
-def carried(lines: list[str], out: list[bool]) -> list[bool]:
-    """Which lines end in a hyphen whose word goes on in the next line that is not furniture."""
+def carried(lines: list[str], out: list[bool], known: Callable[[str], bool] = lambda w: False) -> list[bool]:
+    """Which lines end in a hyphen whose word goes on in the next line that is not furniture. Before a conjunction a hyphen
+    stands for a part left out (two- or threefold), unless the parts together are a ``known`` word (detect-or)."""
     got = [False] * len(lines)
     for i, s in enumerate(lines):
         if out[i] or not _SPLIT.search(s):
@@ -113,8 +162,11 @@ def carried(lines: list[str], out: list[bool]) -> list[bool]:
         j = next_content(lines, out, i)
         if j is None:
             continue
-        t = lines[j].lstrip()
-        got[i] = bool(re.match(r"[^\W_]", t)) and not re.match(r"(?:and|or|und|oder|et|ou|y|o)\b", t)
+        m = _LETTERS.match(lines[j].lstrip())
+        if m and m.group() in _CONJUNCTIONS:
+            got[i] = known(_LAST_LETTERS.search(s.rstrip().rstrip(HYPHENS)).group() + m.group())
+        else:
+            got[i] = bool(m)
     return got
 
 

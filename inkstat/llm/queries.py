@@ -38,6 +38,7 @@ def queries() -> dict[str, Query]:
         "p3_states": _over(truncation.by_state, "corpus"),
         "p4_found": _over(scans.repair_lines, "corpus", "vocabulary"),
         "p4_repaired": _over(scans.repaired_texts, "corpus", "vocabulary"),
+        "p4_confusions": _over(scans.confusions, "corpus", "vocabulary"),
         "p5_found": _p5_found,
         "p5_sentences": _over(sentences.sentence_ends, "corpus"),
         "p6_found": _over(quality.not_prose, "corpus", "common_words"),

@@ -1,17 +1,19 @@
 """Problem 4: noise in text from scanned pages.
 
-Method: noisy channel. A word that is no word of the language has candidates: words the scanner turns into it by the
-confusions below. Each costs the logarithm of its confusions' probabilities; a bigram model of the corpus scores words
-beside each other; Viterbi picks the best sequence of every line. Layout is read first: running headers and page
-numbers are taken out and words carried over a line end are put together, over a page break too.
+Method: noisy channel. Every word of a line has candidates: itself, and the words of the vocabulary that the scanner turns
+into what is read by the confusions below. A candidate costs the logarithm of its confusions' chances, which
+expectation-maximization learns from the unknown words of all scanned pages; a bigram model of the corpus, smoothed by its
+unigrams, scores words beside each other; Viterbi picks the best sequence of every line. Pages are told by their layout:
+running headers and page numbers are taken out and words carried over a line end are put together, over a page break too.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,29 +21,37 @@ from pyspark.sql import functions as F
 
 from inkstat.llm.chars import consistent
 from inkstat.llm.lines import kind
-from inkstat.llm.pages import _HEADING, HYPHENS, carried, furniture, next_content, wrapped
-from inkstat.runtime import spread
+from inkstat.llm.pages import _HEADING, HYPHENS, carried, furniture, next_content, page_marks, wrapped
+from inkstat.runtime import cut, spread
 
-#: Sources whose texts come from scans; of the second kind only those with traces of a page.
-SCANNED, SOMETIMES = "group", "pmc"
-BEFORE_YEAR = 2000
 #: Words of the vocabulary that come up less often are taken for fragments.
 MIN_COUNT = 20
-#: The vocabulary goes to every worker and bounds the bigrams (its square); it is refused beyond so many rows.
+#: The vocabulary goes to every worker; it is refused beyond so many rows.
 MOST_WORDS = 20_000
+#: Only bigrams that make up at least one in so many of all bigrams are kept, so there are at most so many.
+MOST_BIGRAMS = 400_000
+EM_ROUNDS = 4
 
-# What is seen, and what was printed: fixed confusions of scanned type, with the chance of each.
+# What is seen, and what was printed: fixed list of the confusions of scanned type.
 CONFUSIONS = [
-    ("1", "l", 0.02), ("1", "i", 0.01), ("0", "o", 0.02), ("5", "s", 0.02), ("6", "b", 0.01), ("8", "b", 0.01), ("9", "g", 0.01), ("9", "q", 0.005), ("4", "a", 0.005),
-    ("3", "e", 0.005), ("2", "z", 0.005), ("7", "t", 0.005), ("|", "l", 0.01), ("!", "l", 0.005), ("!", "i", 0.01), ("l", "i", 0.01), ("i", "l", 0.01), ("l", "t", 0.005), ("t", "l", 0.005),
-    ("c", "e", 0.02), ("e", "c", 0.02), ("f", "t", 0.01), ("t", "f", 0.01), ("h", "b", 0.01), ("b", "h", 0.01), ("n", "u", 0.01), ("u", "n", 0.01), ("o", "e", 0.005),
-    ("a", "o", 0.005), ("rn", "m", 0.02), ("m", "rn", 0.02), ("cl", "d", 0.02), ("d", "cl", 0.02), ("ii", "u", 0.02), ("u", "ii", 0.01), ("vv", "w", 0.02), ("w", "vv", 0.01),
-    ("li", "h", 0.01), ("h", "li", 0.01), ("nn", "m", 0.005), ("in", "m", 0.01), ("m", "in", 0.01), ("ri", "n", 0.01), ("n", "ri", 0.005), ("tl", "d", 0.005), (".", "", 0.01),
-    ("fi", "fl", 0.005), ("y", "v", 0.005), ("v", "y", 0.005), ("q", "g", 0.005), ("g", "q", 0.005), ("ni", "m", 0.005), ("s", "a", 0.002),
+    ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("9", "q"), ("4", "a"),
+    ("3", "e"), ("2", "z"), ("7", "t"), ("|", "l"), ("!", "l"), ("!", "i"), ("l", "i"), ("i", "l"), ("l", "t"), ("t", "l"),
+    ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("h", "b"), ("b", "h"), ("n", "u"), ("u", "n"), ("o", "e"),
+    ("a", "o"), ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("u", "ii"), ("vv", "w"), ("w", "vv"),
+    ("li", "h"), ("h", "li"), ("nn", "m"), ("in", "m"), ("m", "in"), ("ri", "n"), ("n", "ri"), ("tl", "d"), (".", ""),
+    ("fi", "fl"), ("y", "v"), ("v", "y"), ("q", "g"), ("g", "q"), ("ni", "m"), ("s", "a"),
 ]
-CASE_CHANCE, EDIT_CHANCE, UNKNOWN_LOWER, UNKNOWN_NAME = 0.01, 0.0004, 1e-9, 1e-7
-
+#: Numbers of the classes that are no pair of the list: a letter of the wrong case, a letter read as any other.
+CASE, ANY = len(CONFUSIONS), len(CONFUSIONS) + 1
+#: Before learning each confusion has the same chance; learning starts from so many misread words of it.
+START, PRIOR_WORDS = 0.005, 2.0
+UNKNOWN_LOWER, UNKNOWN_NAME = 1e-9, 1e-7
+
+#: In bigrams a stop and a number have one sign each.
+MARKS = (".", "0")
 _TOKEN = re.compile(r"\S+")
+_SYMBOL = re.compile(r"[a-z]+|[.!?;]|\d[\d.,]*")
+_STOPPED = re.compile(r"[.!?;][)\]\"'”’»]*\Z")
 _EDGE = "()[]{}\"'“”„«»‘’,;:.!?"
 _CODE = re.compile(r"(?:[A-Z]+\d*-?\d*|[A-Z][a-z]?-[a-z]{2,4}\d+|(?:[A-Z][a-z]?\d*){1,6}|\d[\d.,±–-]*|[a-z]{1,3}\d|run\.\d+\.csv|(?:[A-Za-z]\.){1,4}[A-Za-z]?)\Z")
 _DIGIT_IN_NAME = re.compile(r"(?:[01568!|][a-z]{4,}|[A-Z]?[a-z]{2,}[01568!|][a-z]{2,}|l[bcdfghjkmnpqrstvwxz][a-z]{4,})\Z")
@@ -50,11 +60,25 @@ _SINGLE = re.compile(r"[^\W\d_]\Z")
 
 
 class Model:
-    """Words with counts, their bigrams, and the candidates of what is no word."""
+    """Words with counts, their bigrams, the chances of confusions, and what may have been printed."""
 
-    def __init__(self, words: dict[str, int], bigrams: dict[tuple[str, str], int]):
+    def __init__(self, words: dict[str, int], bigrams: dict[tuple[str, str], int], chances: list[float] | None = None):
         self.words, self.bigrams, self.total = words, bigrams, sum(words.values()) or 1
         self.letters = sorted({c for w in words for c in w if c.isalpha()})
+        self.before: Counter[str] = Counter()
+        self.kinds: Counter[str] = Counter()
+        self.count = Counter(words)  # of words, stops and numbers
+        for (a, b), n in bigrams.items():
+            self.before[a] += n
+            self.kinds[a] += 1
+            if b in MARKS:
+                self.count[b] += n
+        self.paths: dict[str, dict[str, tuple[int, ...]]] = {}
+        self.use(chances or [START] * (ANY + 1))
+
+    def use(self, chances: list[float]) -> None:
+        self.chances = list(chances)
+        self.cost = [math.log(p) for p in chances]
         self.cache: dict[str, dict[str, float]] = {}
 
     def known(self, w: str) -> bool:
@@ -64,50 +88,64 @@ class Model:
         return math.log((self.words.get(w, 0) + 0.01) / self.total)
 
     def follows(self, a: str, b: str) -> float:
-        n = self.words.get(a, 0)
-        p = (self.words.get(b, 0) + 0.01) / self.total
-        return math.log(0.7 * self.bigrams.get((a, b), 0) / n + 0.3 * p) if n else math.log(p)
+        """The logarithm of the chance of ``b`` after ``a``: bigrams, interpolated with unigrams."""
+        n = self.before[a]
+        p = (self.count.get(b, 0) + 0.01) / self.total
+        if not n:
+            return math.log(p)
+        weight = min(0.9, n / (n + self.kinds[a]))  # Witten-Bell, but never all
+        return math.log(weight * self.bigrams.get((a, b), 0) / n + (1 - weight) * p)
 
     def candidates(self, seen: str) -> dict[str, float]:
         """Words that may have been printed where ``seen`` is read, with the logarithm of the channel's chance."""
         got = self.cache.get(seen)
         if got is None:
-            got = self._candidates(seen)
+            got = {w: sum(self.cost[i] for i in path) for w, path in self.changes(seen).items()}
             if len(self.cache) > 100_000:
                 self.cache.clear()
             self.cache[seen] = got
         return got
 
-    def _candidates(self, seen: str) -> dict[str, float]:
-        out: dict[str, float] = {}
+    def changes(self, seen: str) -> dict[str, tuple[int, ...]]:
+        """Words that may have been printed where ``seen`` is read, each with the confusions on the way, the fewest
+        that lead there."""
+        got = self.paths.get(seen)
+        if got is None:
+            got = self._changes(seen)
+            if len(self.paths) > 100_000:
+                self.paths.clear()
+            self.paths[seen] = got
+        return got
+
+    def _changes(self, seen: str) -> dict[str, tuple[int, ...]]:
+        out: dict[str, tuple[int, ...]] = {}
         low = seen.lower()
-        flips = sum(a != b for a, b in zip(seen[1:], low[1:]))
-        start = math.log(CASE_CHANCE) * (1 if flips and not seen.isupper() else 0)
-        layer = {seen: 0.0, low: start} if seen != low else {seen: 0.0}
-        for _ in range(2):
-            after: dict[str, float] = {}
-            for s, c in layer.items():
-                for a, b, p in CONFUSIONS:
+        flips = sum(a != b for a, b in zip(seen[1:], low[1:])) and not seen.isupper()
+        layer: dict[str, tuple[int, ...]] = {seen: ()}
+        if seen != low:
+            layer[low] = (CASE,) if flips else ()
+        whole = low in self.words
+        for _ in range(1 if whole else 2):  # of what is a word already one confusion away
+            after: dict[str, tuple[int, ...]] = {}
+            for s, path in layer.items():
+                for k, (a, b) in enumerate(CONFUSIONS):
                     i = s.find(a)
                     while i >= 0:
-                        t = s[:i] + b + s[i + len(a) :]
-                        v = c + math.log(p)
-                        if v > after.get(t, -1e9):
-                            after[t] = v
+                        after.setdefault(s[:i] + b + s[i + len(a) :], (*path, k))
                         i = s.find(a, i + 1)
-                if s[:1] == "l" and s is not low:
-                    after["I" + s[1:]] = max(after.get("I" + s[1:], -1e9), c + math.log(0.01))
-            for t, v in (*layer.items(), *after.items()):
+                if s[:1] == "l" and s != low:
+                    after.setdefault("I" + s[1:], (*path, 15))
+            for t, path in (*layer.items(), *after.items()):
                 w = t.lower()
-                if w in self.words and w != seen and v > out.get(w, -1e9):
-                    out[w] = v
+                if w in self.words and w != seen and (not whole or w != low):
+                    out.setdefault(w, path)
             layer = after
             if out:
                 break
-        if not out and len(low) >= 5 and low.isalpha() and seen == low:
+        if not out and not whole and len(low) >= 5 and low.isalpha() and seen == low:
             for t in self._edits(low):
                 if t in self.words:
-                    out[t] = max(out.get(t, -1e9), math.log(EDIT_CHANCE))
+                    out[t] = (ANY,)
         return out
 
     def _edits(self, s: str) -> Iterator[str]:
@@ -116,10 +154,31 @@ class Model:
                 if c != s[i]:
                     yield s[:i] + c + s[i + 1 :]
 
+    def keep(self, c: str) -> float:
+        """The logarithm of the chance of an unknown word that is printed as it is read."""
+        return math.log(UNKNOWN_NAME if c[:1].isupper() and c[1:].islower() and c.isalpha() else UNKNOWN_LOWER)
+
+    def expected(self, seen: str, n: float) -> dict[int, float]:
+        """How often each confusion is at work in ``n`` readings of an unknown word, by the chances so far."""
+        options = [(self.keep(seen), ())] + [(self.word(w) + sum(self.cost[i] for i in path), path) for w, path in self.changes(seen).items()]
+        top = max(p for p, _ in options)
+        weights = [math.exp(p - top) for p, _ in options]
+        out: Counter[int] = Counter()
+        for x, (_, path) in zip(weights, options):
+            for k in path:
+                out[k] += n * x / sum(weights)
+        return out
+
+    def openings(self) -> list[float]:
+        """For each confusion, how often in a printed word it could happen."""
+        out = [sum(n * w.count(b) for w, n in self.words.items()) / self.total if b else 1.0 for _, b in CONFUSIONS]
+        letters = sum(n * len(w) for w, n in self.words.items()) / self.total
+        return [*out, letters, letters]
 
-def model_of(words: list[tuple[str, int]], bigrams: list[tuple[str, str, int]]) -> Model:
+
+def model_of(words: list[tuple[str, int]], bigrams: list[tuple[str, str, int]], chances: list[float] | None = None) -> Model:
     v = {w: int(n) for w, n in words if n >= MIN_COUNT and re.fullmatch(r"[a-z][a-z'-]*[a-z]|a", w)}
-    return Model(v, {(a, b): int(n) for a, b, n in bigrams})
+    return Model(v, {(a, b): int(n) for a, b, n in bigrams}, chances)
 
 
 def _normal_case(w: str) -> bool:
@@ -127,12 +186,20 @@ def _normal_case(w: str) -> bool:
 
 
 class _Word:
-    """A word as printed: its text, where it stands, and the line of its first and last letter."""
+    """A word as printed: its text, where it stands, the line of its first and last letter, and whether a stop follows."""
+
+    __slots__ = ("core", "line", "line2", "cut", "torn", "stop")
+
+    def __init__(self, core: str, line: int, line2: int, cut: int = 0, torn: bool = False, stop: bool = False):
+        self.core, self.line, self.line2, self.cut, self.torn, self.stop = core, line, line2, cut, torn, stop
 
-    __slots__ = ("core", "line", "line2", "cut", "torn")
 
-    def __init__(self, core: str, line: int, line2: int, cut: int = 0, torn: bool = False):
-        self.core, self.line, self.line2, self.cut, self.torn = core, line, line2, cut, torn
+def _core(token: str, m: Model) -> str:
+    """A token without the marks around it; ``!`` before a small letter stays if it stands for a letter."""
+    c = token.strip(_EDGE)
+    if c[:1].islower() and token.lstrip(_EDGE.replace("!", ""))[:1] == "!" and not m.known(c) and m.candidates("!" + c):
+        return "!" + c
+    return c
 
 
 def _words_of(lines: list[str], out: list[bool], over: list[bool], m: Model) -> list[_Word]:
@@ -162,34 +229,58 @@ def _words_of(lines: list[str], out: list[bool], over: list[bool], m: Model) ->
                     first = False
                     continue
             t = toks[j]
+            if j + 1 < len(toks) and not (first and pending) and not (j + 2 == len(toks) and over[i]):
+                # a word torn in two, of which one part at least is no word
+                a, b = t.lstrip(_EDGE), toks[j + 1].strip(_EDGE)
+                c = toks[j + 2].strip(_EDGE) if j + 2 < len(toks) else ""
+                if (
+                    a.isalpha() and b.isalpha() and b.islower() and min(len(a), len(b)) > 1 and m.known(a + b) and not (m.known(a) and m.known(b))
+                    and not (m.known(a) and c.isalpha() and m.known(b + c))
+                ):
+                    words.append(_Word(a + b, i, i, torn=True, stop=bool(_STOPPED.search(toks[j + 1]))))
+                    first = False
+                    j += 2
+                    continue
             if first and pending:
                 a, line = pending
-                words.append(_Word((a + t).strip(_EDGE), line, i, cut=len(a.lstrip(_EDGE))))
+                words.append(_Word((a + t).strip(_EDGE), line, i, cut=len(a.lstrip(_EDGE)), stop=bool(_STOPPED.search(t))))
                 pending = None
             elif j == len(toks) - 1 and over[i]:
                 pending = (t.rstrip().rstrip(HYPHENS), i)
             else:
-                c = t.strip(_EDGE)
+                c = _core(t, m)
                 if c:
-                    words.append(_Word(c, i, i))
+                    words.append(_Word(c, i, i, stop=bool(_STOPPED.search(t))))
             first = False
             j += 1
     return words
 
 
-def _suspect(w: _Word, m: Model) -> bool:
-    c = w.core
-    if w.torn:
-        return True
+def _plain(c: str) -> bool:
+    """Whether a token is written as a word: no number, code, formula or compound."""
     if len(c) < 2 or not any(x.isalpha() for x in c) or _CODE.match(c) or "/" in c or "%" in c or "±" in c:
         return False
     if "-" in c or "–" in c or not c.isascii():
         return False
-    if re.search(r"[a-z]{2}[.!?][A-Z]", c):  # two sentences without a space between them
-        return False
+    return not re.search(r"[a-z]{2}[.!?][A-Z]", c)  # two sentences without a space between them
+
+
+def _states(w: _Word, m: Model) -> list[tuple[str, float, str | None]]:
+    """What may have been printed where a word is read: the word for its neighbours, the channel's cost, and the word as
+    printed or None where what is read stands. One state where there is nothing to decide."""
+    c, low = w.core, w.core.lower()
+    if w.torn:
+        return [(low, 0.0, low)] if m.known(c) else [(t, v, t) for t, v in m.candidates(c).items()] or [("", 0.0, None)]
+    if not _plain(c):
+        return [(low if low in m.words else "0" if low[:1].isdigit() else "", 0.0, None)]
     if m.known(c):
-        return not _normal_case(c) and len(c) >= 4
-    return True
+        if not _normal_case(c) and len(c) >= 4:
+            return [(low, m.cost[CASE], low)]
+        return [(low, 0.0, None), *((t, v, t) for t, v in (m.candidates(c) if _normal_case(c) else {}).items())]
+    s: list[tuple[str, float, str | None]] = [("", m.keep(c), None), *((t, v, t) for t, v in m.candidates(c).items())]
+    if len(s) == 1 and _DIGIT_IN_NAME.match(c):  # a name with a sign no name has; its letters by the first confusion
+        s = [("", 0.0, c.translate(_NAME_LETTERS).capitalize())]
+    return s
 
 
 def read(lines: list[str], out: list[bool], over: list[bool], m: Model) -> list[tuple[int, int, str, str]]:
@@ -197,54 +288,68 @@ def read(lines: list[str], out: list[bool], over: list[bool], m: Model) -> list[
     return [(*_where(w, printed), seen, printed) for w, seen, printed in _misread(lines, out, over, m)]
 
 
+def _foreign(words: list[_Word], m: Model) -> set[int]:
+    """Lines in which, with the line before and after, less than half of the words are of the vocabulary's language."""
+    known: Counter[int] = Counter()
+    total: Counter[int] = Counter()
+    for w in words:
+        if w.core.isalpha():
+            for i in (w.line - 1, w.line, w.line + 1):
+                total[i] += 1
+                known[i] += m.known(w.core)
+    return {i for i, n in total.items() if known[i] < 0.5 * n}
+
+
 def _misread(lines: list[str], out: list[bool], over: list[bool], m: Model) -> list[tuple[_Word, str, str]]:
-    """Misread words, their core as read and the word as printed."""
+    """Misread words, their core as read and the word as printed, by Viterbi over the candidates of each line."""
     words = _words_of(lines, out, over, m)
-    plain = [w.core for w in words if w.core.isalpha()]
-    if not plain or sum(m.known(c) for c in plain) < 0.5 * len(plain):
-        return []  # another language than the vocabulary's
+    foreign = _foreign(words, m)
     wrong: list[tuple[_Word, str, str]] = []
-    i = 0
-    suspects = [_suspect(w, m) for w in words]
+    i, before = 0, ""
     while i < len(words):
-        if not suspects[i]:
-            i += 1
-            continue
         j = i
-        while j < len(words) and suspects[j] and words[j].line == words[i].line:
+        while j < len(words) and words[j].line == words[i].line:
             j += 1
-        for w, best in zip(words[i:j], _viterbi(words, i, j, m)):
-            if best is not None:
-                wrong.append((w, w.core, best))
+        if words[i].line in foreign:
+            before = ""
+        else:
+            states = [_states(w, m) for w in words[i:j]]
+            best = _viterbi(states, [w.stop for w in words[i:j]], before, words[j].core.lower() if j < len(words) else "", m)
+            wrong += [(w, w.core, p) for w, (_, _, p) in zip(words[i:j], best) if p is not None]
+            before = "." if words[j - 1].stop else best[-1][0]
         i = j
     return wrong
 
 
-def _viterbi(words: list[_Word], i: int, j: int, m: Model) -> list[str | None]:
-    """The most likely printed words of ``words[i:j]`` between their neighbours; None where what is read stands."""
-    before = words[i - 1].core.lower() if i else ""
-    after = words[j].core.lower() if j < len(words) else ""
-    states: list[list[tuple[str, float, str | None]]] = []
-    for w in words[i:j]:
-        c, low = w.core, w.core.lower()
-        if w.torn and m.known(c):
-            states.append([(low, 0.0, low)])
-            continue
-        if m.known(c):
-            states.append([(low, math.log(CASE_CHANCE), low)])
+def _viterbi(
+    states: list[list[tuple[str, float, str | None]]], stops: list[bool], before: str, after: str, m: Model
+) -> list[tuple[str, float, str | None]]:
+    """The most likely states of a line, between the last word of the line before and the first of the next. Words with
+    one state need no decision, so the lattice falls apart at them."""
+    best: list[tuple[str, float, str | None]] = []
+
+    def step(a: str, b: str) -> float:
+        return m.follows(a, b) if b else 0.0
+
+    i = 0
+    while i < len(states):
+        if len(states[i]) == 1:
+            best.append(states[i][0])
+            before = "." if stops[i] else states[i][0][0]
+            i += 1
             continue
-        keep = UNKNOWN_NAME if c[:1].isupper() and c[1:].islower() and c.isalpha() else UNKNOWN_LOWER
-        s: list[tuple[str, float, str | None]] = [("", math.log(keep), None)]
-        s += [(t, v, t) for t, v in m.candidates(c).items()]
-        if len(s) == 1 and _DIGIT_IN_NAME.match(c):  # a name with a sign no name has; its letters by the first confusion
-            s = [("", 0.0, c.translate(_NAME_LETTERS).capitalize())]
-        states.append(s)
-    best = [(m.follows(before, t) + v if t else v, [x]) for t, v, x in states[0]]
-    for a, b in zip(states, states[1:]):
-        best = [
-            max(((p + (m.follows(u[0], t) if t else 0.0) + v, [*h, x]) for (p, h), u in zip(best, a)), key=lambda z: z[0]) for t, v, x in b
-        ]
-    return max(((p + (m.follows(u[0], after) if after in m.words else 0.0), h) for (p, h), u in zip(best, states[-1])), key=lambda z: z[0])[1]
+        paths = [(step(before, x[0]) + x[1], [x]) for x in states[i]]
+        j = i + 1
+        while j < len(states) and len(states[j]) > 1 and not stops[j - 1]:
+            paths = [max(((p + step(h[-1][0], x[0]) + x[1], [*h, x]) for p, h in paths), key=lambda z: z[0]) for x in states[j]]
+            j += 1
+        last = "." if stops[j - 1] else states[j][0][0] if j < len(states) and len(states[j]) == 1 else after if j == len(states) else ""
+        last = last if last in m.words or last in MARKS else ""
+        got = max(((p + (step(h[-1][0], last) if h[-1][0] else step("", last)), h) for p, h in paths), key=lambda z: z[0])[1]
+        best += got
+        before = "." if stops[j - 1] else got[-1][0]
+        i = j
+    return best
 
 
 def _where(w: _Word, printed: str) -> tuple[int, int]:
@@ -267,12 +372,13 @@ def page_lines(text: str) -> list[str]:
     return [consistent(re.sub("[­¬](\\s*)\\Z", r"-\1", x)) for x in text.split("\n")]
 
 
-def scanned(text: str | None, source: str | None, year: float | None, m: Model) -> tuple[list[str], list[bool], list[bool]] | None:
-    """Lines, furniture and carried lines of a text that comes from a scan; None for any other."""
-    if not text or not text.strip() or source is None:
-        return None
-    source = source.strip().lower()
-    if source not in (SCANNED, SOMETIMES) or source == SOMETIMES and year is not None and year == year and year >= BEFORE_YEAR:
+def scanned(text: str | None, m: Model) -> tuple[list[str], list[bool], list[bool]] | None:
+    """Lines, furniture and carried lines of a text that comes from a scan; None for any other.
+
+    A scan is set in lines of bounded width, holds prose for the most part, and has a trace of a page: a line that ends within a
+    word, a line in the form of a page number or of a header with one, or two lines with misread words.
+    """
+    if not text or text.count("\n") < 2:
         return None
     lines = page_lines(text)
     if not wrapped(lines):
@@ -281,22 +387,21 @@ def scanned(text: str | None, source: str | None, year: float | None, m: Model)
     if kinds.count("prose") < 0.6 * len(kinds):
         return None  # tables, lists and menus have lines like headers and no paragraphs
     out = furniture(lines)
-    over = carried(lines, out)
-    if source == SOMETIMES and not any(out):
-        # a page broken at hyphens its words had before is no scan
-        def split_word(i: int) -> bool:
-            j = next_content(lines, out, i)
-            a, b = lines[i].split()[-1].rstrip(HYPHENS + " ").lstrip(_EDGE), lines[j].split()[0].strip(_EDGE)
-            return m.known(a + b) and not (m.known(a) and m.known(b))
+    over = carried(lines, out, m.known)
+
+    def split_word(i: int) -> bool:  # a text broken at hyphens its words had before is no scan
+        j = next_content(lines, out, i)
+        a, b = lines[i].split()[-1].rstrip(HYPHENS + " ").lstrip(_EDGE), lines[j].split()[0].strip(_EDGE)
+        return m.known(a + b) and not (m.known(a) and m.known(b))
 
-        if not any(over[i] and split_word(i) for i in range(len(lines))):
-            return None
-    return lines, out, over
+    if any(page_marks(lines)) or any(over[i] and split_word(i) for i in range(len(lines))):
+        return lines, out, over
+    return (lines, out, over) if len({a for a, _, _, _ in read(lines, out, over, m)}) >= 2 else None
 
 
-def repairs(text: str | None, source: str | None, year: float | None, m: Model) -> list[tuple[int, str]]:
+def repairs(text: str | None, m: Model) -> list[tuple[int, str]]:
     """``(line_no, kind)`` of the lines that need repair."""
-    x = scanned(text, source, year, m)
+    x = scanned(text, m)
     if x is None:
         return []
     lines, out, over = x
@@ -318,10 +423,10 @@ def _put_whole(head: str, s: str, seen: str, printed: str) -> tuple[str, str]:
     return whole, (" " + rest if rest else "")
 
 
-def repaired(text: str | None, source: str | None, year: float | None, m: Model) -> str | None:
+def repaired(text: str | None, m: Model) -> str | None:
     """Continuous paragraphs: without furniture, carried words whole, misread words as printed. A text that is no scan
     is returned as it is."""
-    x = scanned(text, source, year, m)
+    x = scanned(text, m)
     if x is None:
         return text
     lines, out, over = x
@@ -364,33 +469,77 @@ def repaired(text: str | None, source: str | None, year: float | None, m: Model)
     return re.sub(r"\n{2,}", "\n\n", "\n".join(x if x else "\n" for x in body)).strip()
 
 
-def _bigram_counts(known: frozenset[str]):
+def _counts(known: frozenset[str], most: int = 500_000):
+    """Bigrams of known words in texts that are not set like pages, and the unknown words of those that are."""
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count: Counter[tuple[str, str]] = Counter()  # at most the square of the vocabulary
+        count: Counter[tuple[str, str, bool]] = Counter()
         for b in it:
             for t in b["text"]:
-                ws = re.findall(r"[a-z]+|[.!?;]|\d+", t.lower())
-                count.update((x, y) for x, y in zip(ws, ws[1:]) if x in known and y in known)
-        yield pd.DataFrame([(x, y, n) for (x, y), n in count.items()], columns=["a", "b", "n"])
+                if t.count("\n") >= 2 and wrapped(lines := page_lines(t)):
+                    for x in lines:
+                        cores = [w.strip(_EDGE) for w in x.split()]
+                        letters = [c.lower() in known for c in cores if c.isalpha()]
+                        if sum(letters) * 2 > len(letters):  # in the language of the vocabulary
+                            count["", "", True] += len(cores)
+                            count.update((c, "", True) for c in cores if c.lower() not in known and _plain(c))
+                else:
+                    ws = [w if w in known else "0" if w[0].isdigit() else "." if w in ".!?;" else "" for w in _SYMBOL.findall(t.lower())]
+                    count.update((x, y, False) for x, y in zip(ws, ws[1:]) if x and y)
+            if len(count) >= most:  # what a worker holds is bounded
+                yield _count_frame(count)
+                count.clear()
+        yield _count_frame(count)
+
+    return run
+
+
+def _count_frame(count: Counter) -> pd.DataFrame:
+    return pd.DataFrame([(x, y, p, n) for (x, y, p), n in count.items()], columns=["a", "b", "page", "n"])
+
+
+def _expected(packed) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = pickle.loads(packed.value)
+        total: Counter[int] = Counter()
+        for b in it:
+            for c, n in zip(b["a"], b["n"]):
+                total.update(m.expected(c, n))
+        yield pd.DataFrame([(k, n) for k, n in total.items()], columns=["k", "n"]).astype({"k": "int32", "n": "float64"})
 
     return run
 
 
 def fit(docs: DataFrame, vocabulary: DataFrame) -> Model:
-    """Unigrams of the vocabulary table and bigrams of its words over all texts of sources that are not scanned."""
+    """Unigrams of the vocabulary table, bigrams of its words over all texts that are not set like pages, and the chances of
+    confusions by expectation-maximization over the unknown words of all that are.
+
+    The driver holds the vocabulary, at most ``MOST_BIGRAMS`` bigrams and one number for each confusion.
+    """
+    spark = docs.sparkSession
     v = vocabulary.select("word", "n").dropna().limit(MOST_WORDS + 1).collect()
     if len(v) > MOST_WORDS:
         raise ValueError(f"the vocabulary has more than {MOST_WORDS} rows")
     words = [(r[0], r[1]) for r in v]
     known = frozenset(model_of(words, []).words)
-    d = docs.select("doc_id", "text", "source").filter(F.col("text").isNotNull() & (F.coalesce(F.lower(F.trim("source")), F.lit("")) != SCANNED))
-    c = spread(d, "doc_id").select("text").mapInPandas(_bigram_counts(known), "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return model_of(words, [tuple(r) for r in c.collect()])  # bounded by the square of the vocabulary
-
-
-def _pages(docs: DataFrame) -> DataFrame:
-    d = docs.select("doc_id", "source", "text", F.col("year").cast("double").alias("year")).filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    return spread(d.filter(F.lower(F.trim("source")).isin(SCANNED, SOMETIMES)), "doc_id").dropDuplicates(["doc_id"])
+    d = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    c = spread(d, "doc_id").select("text").mapInPandas(_counts(known), "a string, b string, page boolean, n bigint").groupBy("a", "b", "page").agg(F.sum("n").alias("n"))
+    c = cut(c)
+    least = (c.filter("NOT page").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) / MOST_BIGRAMS
+    m = model_of(words, [tuple(r) for r in c.filter(~F.col("page") & (F.col("n") > least)).select("a", "b", "n").collect()])
+    pages = c.filter("page AND a <> ''").select("a", "n")
+    printed = c.filter("page AND a = ''").agg(F.sum("n")).first()[0]  # words on pages
+    if not printed:
+        return m
+    openings = m.openings()
+    for _ in range(EM_ROUNDS):
+        e = dict(pages.mapInPandas(_expected(spark.sparkContext.broadcast(pickle.dumps(m))), "k int, n double").groupBy("k").agg(F.sum("n")).collect())
+        m.use([min(0.2, (e.get(k, 0.0) + PRIOR_WORDS) / (openings[k] * printed + PRIOR_WORDS / START)) for k in range(ANY + 1)])
+    return m
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return spread(docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)), "doc_id")
 
 
 def repair_lines(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -398,23 +547,32 @@ def repair_lines(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     Null and empty texts, null doc_ids and texts that are no scans give no rows; repeated rows count once.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, vocabulary))
+    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(docs, vocabulary)))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = pickle.loads(model.value)
         for b in it:
-            rows = [(i, n, k) for i, t, s, y in zip(b["doc_id"], b["text"], b["source"], b["year"]) for n, k in repairs(t, s, y, model.value)]
+            rows = [(i, n, k) for i, t in zip(b["doc_id"], b["text"]) for n, k in repairs(t, m)]
             yield pd.DataFrame(rows, columns=["doc_id", "line_no", "kind"])
 
-    return _pages(docs).mapInPandas(run, "doc_id string, line_no int, kind string")
+    return _texts(docs).mapInPandas(run, "doc_id string, line_no int, kind string").distinct()
 
 
 def repaired_texts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` of the documents of scanned sources, in continuous readable paragraphs."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, vocabulary))
+    """``(doc_id, text)`` of the documents that come from scans, in continuous readable paragraphs, once each."""
+    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(docs, vocabulary)))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = pickle.loads(model.value)
         for b in it:
-            rows = [(i, repaired(t, s, y, model.value)) for i, t, s, y in zip(b["doc_id"], b["text"], b["source"], b["year"])]
+            rows = [(i, repaired(t, m)) for i, t in zip(b["doc_id"], b["text"]) if scanned(t, m) is not None]
             yield pd.DataFrame(rows, columns=["doc_id", "text"])
 
-    return _pages(docs).mapInPandas(run, "doc_id string, text string")
+    return _texts(docs).mapInPandas(run, "doc_id string, text string").dropDuplicates(["doc_id"])
+
+
+def confusions(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(seen, printed, chance)``: what was learnt of the channel."""
+    m = fit(docs, vocabulary)
+    names = [*CONFUSIONS, ("a letter of the other case", "a letter"), ("any other letter", "a letter")]
+    return docs.sparkSession.createDataFrame([(a, b, float(p)) for (a, b), p in zip(names, m.chances)], "seen string, printed string, chance double")
