@@ -89,9 +89,48 @@ FROM (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300)
 """
 
 
+_P9_SHARED = """
+WITH r AS (SELECT text, min(doc_id) AS rep, count(*) AS copies FROM (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300) GROUP BY text),
+w AS (SELECT rep, i - 1 AS at, md5_number(substr(text, i, 300)) AS h FROM (SELECT rep, text, unnest(range(1, length(text) - 298)) AS i FROM r)),
+held AS (SELECT h, list_sort(list(rep)) AS who FROM w GROUP BY h HAVING min(rep) < max(rep)),
+s AS (SELECT rep, at, h, who, lag(at) OVER x AS before, lag(who) OVER x AS who_before FROM w JOIN held USING (h) WINDOW x AS (PARTITION BY rep ORDER BY at))
+"""
+
+_P9_PASSAGES = _P9_SHARED + """,
+runs AS (
+  SELECT rep, at, h, who, sum(CASE WHEN before IS NULL OR before <> at - 1 OR who_before <> who THEN 1 ELSE 0 END) OVER (PARTITION BY rep ORDER BY at) AS run FROM s),
+g AS (SELECT rep, run, min(at) AS start_char, max(at) + 300 AS end_char, arg_min(h, at) AS h, max(len(who)) AS holders FROM runs GROUP BY rep, run)
+SELECT first_value(rep) OVER y AS passage_rep, first_value(start_char) OVER y AS passage_start, holders, rep, start_char, end_char
+FROM g WINDOW y AS (PARTITION BY h, end_char - start_char ORDER BY rep, start_char)
+"""
+
+_P9_SHARES = _P9_SHARED + """,
+stretches AS (SELECT rep, at, sum(CASE WHEN before IS NULL OR at - before > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY rep ORDER BY at) AS run FROM s),
+found AS (
+  SELECT rep, count(*) AS passages, sum(chars) AS chars FROM (SELECT rep, run, max(at) + 300 - min(at) AS chars FROM stretches GROUP BY rep, run) GROUP BY rep),
+d AS (SELECT DISTINCT doc_id, text, coalesce(length(text), 0) AS n_chars FROM documents WHERE doc_id IS NOT NULL),
+x AS (
+  SELECT doc_id, coalesce(r.rep, doc_id) AS rep, n_chars, coalesce(passages, CASE WHEN copies > 1 THEN 1 ELSE 0 END) AS passages,
+    CASE WHEN copies > 1 THEN n_chars ELSE coalesce(chars, 0) END AS shared_chars
+  FROM d LEFT JOIN r ON d.text = r.text LEFT JOIN found ON r.rep = found.rep)
+SELECT doc_id, rep, n_chars, passages::BIGINT AS passages, shared_chars::BIGINT AS shared_chars, coalesce(shared_chars / nullif(n_chars, 0), 0.0)::DOUBLE AS share FROM x
+"""
+
+_P7_ITEMS = _P7.replace("SELECT DISTINCT doc_id, item_id FROM docs JOIN windows ON contains(s, w)", """,
+runs AS (SELECT DISTINCT doc_id, item_id, i, n FROM docs JOIN (
+  SELECT item_id, i, n, array_to_string(list_slice(ws, i, i + n - 1), '') AS w FROM (
+    SELECT item_id, ws, i, unnest(range(12, len(ws) - i + 2)) AS n FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM words WHERE len(ws) >= 12))) p
+  ON contains(s, w))
+SELECT item_id, any_value(suite) AS suite, count(DISTINCT doc_id) AS documents, coalesce(max(n), 0)::INTEGER AS longest_words
+FROM (SELECT DISTINCT item_id, suite FROM eval_items WHERE item_id IS NOT NULL) LEFT JOIN runs USING (item_id) GROUP BY item_id
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p7_found": _P7,
         "p9_found": _P9_WINDOWS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id",
         "p9_copies": _P9_COPIES,
+        "p9_passages": _P9_PASSAGES,
+        "p9_shares": _P9_SHARES,
     }

@@ -1,14 +1,14 @@
 """Problem 9: long exact spans shared between records.
 
-Method: compact windows. A text is the sequence of its character q-grams. Under a hash function, the subsequences of
-``t`` or more q-grams fall into compact windows, the wide nodes of the Cartesian tree over the hashed sequence: all
-subsequences inside a node that hold its root share the root as min-hash. For subsequences of exactly ``t`` q-grams a
-node is a run of starting places with one minimum, so the wide nodes come from a sliding minimum. Intersecting the runs
-of several hash functions gives intervals of starting places with one signature. Two texts that share a span of
-``min_chars`` characters share ``t = min_chars - q + 1`` q-grams in a row and so a signature under every function:
-joining the intervals by signature loses no such pair. What differs is removed by comparing the windows of the joined
-intervals by 64 and 31 bits of hash of all their characters; the characters themselves are not compared, and holders are
-counted by the 64 bits alone.
+Method: compact windows. A text is the sequence of its character q-grams. Under a hash function the Cartesian tree over
+the hashed sequence has the least gram at its root and the parts beside it as subtrees; a node with the part it spans is a
+compact window: all subsequences of the part that hold the node share it as min-hash. Only nodes that span ``t`` or more
+q-grams matter; they are the top of the tree. Under each function the windows say which starting places of subsequences of
+``t`` q-grams have which min-hash; joining these intervals across the functions gives intervals of starting places with one
+signature. Two texts that share a span of ``min_chars`` characters share ``t = min_chars - q + 1`` q-grams in a row and so
+a signature under every function: joining the intervals of all texts by signature loses no such pair. What differs is removed
+by comparing the windows of the joined intervals: by 64 and 31 bits of hash of all their characters, and the windows that
+decide on pairs by the characters themselves.
 """
 
 from __future__ import annotations
@@ -21,35 +21,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from inkstat.llm.arrays import code_points, gram_hashes, mix, sliding_min
+from inkstat.llm.arrays import code_points, gram_hashes, mix
 from inkstat.runtime import cut, spread
 
-Q = 16
-FUNCTIONS = 4
+Q = 64
+FUNCTIONS = 2
 SECOND_BASE = 0x1B873593CC9E2D51
 SALT_ROWS = 1000
+SALTS = 16
 
 
-def _starts(bounds: np.ndarray, total: int, span: int) -> np.ndarray:
-    """Which places of the joined rows begin a span of ``span`` characters inside one row."""
-    ok = np.zeros(max(total - span + 1, 0), bool)
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if b - a >= span:
-            ok[a : b - span + 1] = True
-    return ok
+def _within(a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places ``a, a + 1, ...`` (``n`` of them) of every part, and to which part each belongs."""
+    part = np.repeat(np.arange(len(a)), n)
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + a[part], part
+
+
+def min_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
+    """The min-hash of the ``t`` values from each place on, by the top of the Cartesian tree over each part ``a:b``; 0 at
+    places from which no ``t`` values of a part go.
+
+    One round for each level of the trees: the least value of every part is its node (equal least values are one node with
+    more than two subtrees), and the parts beside it that span ``t`` or more values are the next level.
+    """
+    out = np.zeros(len(h), h.dtype)
+    keep = b - a >= t
+    a, b = a[keep], b[keep]
+    while len(a):
+        low = np.minimum.reduceat(np.append(h, h.dtype.type(0)), np.stack([a, b], 1).reshape(-1))[::2]
+        places, part = _within(a, b - a - t + 1)
+        out[places] = low[part]
+        places, part = _within(a, b - a)
+        at = np.flatnonzero(h[places] == low[part])
+        at, of = places[at], part[at]
+        first = np.append(True, of[1:] != of[:-1])
+        last = np.append(of[1:] != of[:-1], True)
+        left = np.where(first, a[of], np.append(0, at[:-1] + 1))
+        a, b = np.concatenate([left, at[last] + 1]), np.concatenate([at, b[of[last]]])
+        keep = b - a >= t
+        a, b = a[keep], b[keep]
+        order = np.argsort(a)
+        a, b = a[order], b[order]
+    return out
 
 
 def _intervals(codes: np.ndarray, bounds: np.ndarray, span: int, q: int, k: int) -> tuple[np.ndarray, ...]:
     """Intervals of starting places with one signature: row, first and last place inside the row, signature."""
-    ok = _starts(bounds, len(codes), span)
-    places = np.flatnonzero(ok)
-    if not len(places):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.int64),)
     grams = gram_hashes(codes, q)
+    t = span - q + 1
+    a, b = bounds[:-1], np.maximum(bounds[1:] - q + 1, bounds[:-1])
+    long = np.flatnonzero(b - a >= t)
+    places, part = _within(a[long], (b - a - t + 1)[long])
+    if not len(places):
+        return (np.zeros(0, np.int64),) * 4
     signature = np.zeros(len(places), np.uint64)
     for f in range(k):
-        signature = mix(signature ^ sliding_min(mix(grams, 11 + f), span - q + 1)[places], 5)
-    row = np.searchsorted(bounds, places, "right") - 1
+        signature = mix(signature ^ min_hashes(mix(grams, 11 + f), a[long], b[long], t)[places], 5)
+    row = long[part]
     new = np.ones(len(places), bool)
     new[1:] = (signature[1:] != signature[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
@@ -135,6 +163,7 @@ def shared_windows(docs: DataFrame, min_chars: int = 300, q: int = Q, k: int = F
     text holds; ``rep`` stands for all copies of a text, ``holders`` is the number of texts (places) that hold the
     window and ``mark`` a number that differs where the holders do. ``loops`` is true where all but the last character of
     the window come again in one of its holders."""
+    q = min(q, min_chars)
     d = _texts(spread(docs.select("doc_id", "text"), "doc_id"), min_chars)
     kind = d.schema["doc_id"].dataType.simpleString()
     iv = cut(d.mapInArrow(_emit_intervals(min_chars, q, k), f"doc_id {kind}, t bigint, u int, sig bigint, s int, e int"))
@@ -149,21 +178,43 @@ def shared_windows(docs: DataFrame, min_chars: int = 300, q: int = Q, k: int = F
         F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).cast("double")).alias("mark"),
         F.max("loops").alias("loops"),
     )
-    return w.drop("loops").join(held.filter("lo < hi").drop("lo", "hi"), "h").select("rep", "h", "h2", "at", "holders", "mark", "loops")
+    # a window that very many texts hold is spread over SALTS tasks
+    held = held.filter("lo < hi").drop("lo", "hi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    w = w.drop("loops").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    return w.join(held, ["h", "salt"]).select("rep", "h", "h2", "at", "holders", "mark", "loops")
 
 
-def _text_pairs(w: DataFrame) -> DataFrame:
-    """Pairs of different texts. The leftmost window of text a that text b holds is first in its run, for b does not hold the
-    one before. In b it is first too, or the window before it has the same holders; then all of it but its first character
-    comes again in a, and the window loops. So first windows of a meet the first and the looping ones of b. Windows with
-    many holders are salted."""
+def _runs(w: DataFrame) -> DataFrame:
+    """Shared windows with ``first``: whether the window before, in the same text, is shared by other texts or by none."""
     before = W.partitionBy("rep").orderBy("at")
     w = w.withColumns({"p_at": F.lag("at").over(before), "p_mark": F.lag("mark").over(before), "p_n": F.lag("holders").over(before)})
-    w = w.withColumn("first", F.expr("p_at IS NULL OR p_at <> at - 1 OR p_mark <> mark OR p_n <> holders")).filter("first OR loops")
-    w = w.groupBy("rep", "h", "h2").agg(F.max("first").alias("first"), F.ceil(F.max("holders") / SALT_ROWS).cast("int").alias("salts"))
-    a = w.filter("first").withColumn("salt", F.pmod(F.xxhash64("rep"), "salts").cast("int")).select("h", "h2", "salt", F.col("rep").alias("ra"))
-    b = w.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("h", "h2", "salt", F.col("rep").alias("rb"))
-    return a.join(b, ["h", "h2", "salt"]).where("ra < rb").select("ra", "rb").distinct()
+    return w.withColumn("first", F.expr("p_at IS NULL OR p_at <> at - 1 OR p_mark <> mark OR p_n <> holders")).drop("p_at", "p_mark", "p_n")
+
+
+def _text_pairs(w: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
+    """Pairs of different texts. The leftmost window of text a that text b holds is first in its run, for b does not hold the
+    one before. In b it is first too, or the window before it has the same holders; then all of it but its first character
+    comes again in a, and the window loops. So first windows of a meet the first and the looping ones of b, and these
+    windows are compared by their characters. Windows with many holders are salted."""
+    w = _runs(w).filter("first OR loops")
+    w = w.groupBy("rep", "h", "h2").agg(F.max("first").alias("first"), F.ceil(F.max("holders") / SALT_ROWS).cast("int").alias("salts"), F.min("at").alias("at"))
+    # of each text only the windows in question are read again
+    at = w.groupBy("rep").agg(F.collect_list(F.struct("h", "h2", "first", "salts", "at")).alias("ws"))
+    d = docs.select(F.col("doc_id").alias("rep"), "text").filter(F.col("rep").isNotNull() & (F.length("text") >= min_chars))
+    w = d.join(at, "rep").select("rep", "text", F.explode("ws").alias("w")).select("rep", "w.*", F.substring("text", F.col("w.at") + 1, F.lit(min_chars)).alias("chars"))
+    w = w.distinct()
+    a = w.filter("first").withColumn("salt", F.pmod(F.xxhash64("rep"), "salts").cast("int")).select("h", "h2", "chars", "salt", F.col("rep").alias("ra"))
+    b = w.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("h", "h2", "chars", "salt", F.col("rep").alias("rb"))
+    return a.join(b, ["h", "h2", "chars", "salt"]).where("ra < rb").select("ra", "rb").distinct()
+
+
+def _with_copies(pairs: DataFrame, m: DataFrame, rep: str, name: str) -> DataFrame:
+    """``pairs`` with the copies of ``rep`` as ``name``. A text with very many copies is spread over several tasks."""
+    many = m.groupBy("rep").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).filter("salts > 1")
+    salts = F.coalesce("salts", F.lit(1))
+    left = pairs.join(many.withColumnRenamed("rep", rep), rep, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    right = m.join(many, "rep", "left").select(F.col("rep").alias(rep), F.col("doc_id").alias(name), F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
+    return left.join(right, [rep, "salt"]).drop("salt")
 
 
 def sharing_pairs(docs: DataFrame, min_chars: int = 300, q: int = Q, k: int = FUNCTIONS) -> DataFrame:
@@ -172,25 +223,38 @@ def sharing_pairs(docs: DataFrame, min_chars: int = 300, q: int = Q, k: int = FU
     Texts that are equal as a whole are pairs too; they are searched once and put in again at the end. Null and
     shorter texts have no pairs; repeated rows count once; an empty table gives none.
     """
-    pairs = _text_pairs(shared_windows(docs, min_chars, q, k))
+    pairs = _text_pairs(shared_windows(docs, min_chars, q, k), docs, min_chars)
     m = cut(copies(docs, min_chars))
-    out = (
-        pairs.join(m.select(F.col("rep").alias("ra"), F.col("doc_id").alias("da")), "ra")
-        .join(m.select(F.col("rep").alias("rb"), F.col("doc_id").alias("db")), "rb").select("da", "db")
-    )
+    out = _with_copies(_with_copies(pairs, m, "ra", "da"), m, "rb", "db").select("da", "db")
     inside = m.join(m.filter("doc_id <> rep").select("rep").distinct(), "rep", "left_semi")
-    inside = inside.alias("x").join(inside.alias("y"), "rep").where("x.doc_id < y.doc_id")
-    out = out.unionByName(inside.select(F.col("x.doc_id").alias("da"), F.col("y.doc_id").alias("db")))
+    inside = _with_copies(inside.select(F.col("rep").alias("r"), F.col("doc_id").alias("da")), inside, "r", "db").where("da < db")
+    out = out.unionByName(inside.select("da", "db"))
     return out.select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b"))
 
 
 def passages(docs: DataFrame, min_chars: int = 300, q: int = Q, k: int = FUNCTIONS) -> DataFrame:
-    """``(rep, start_char, end_char)``: the stretches of each different text that other texts hold, joined where they
-    touch (ends exclusive)."""
-    return _passages_of(shared_windows(docs, min_chars, q, k), min_chars)
+    """``(passage_rep, passage_start, holders, rep, start_char, end_char)``: the longest stretches that one set of different texts
+    holds, with a row for each place where a text holds one (ends exclusive).
 
-
-def _passages_of(w: DataFrame, min_chars: int) -> DataFrame:
+    Rows of one passage have the same ``passage_rep`` and ``passage_start``, its first place by id and start; ``holders`` is
+    the number of places that hold its windows. ``rep`` stands for all copies of a text (see ``copies``).
+    """
+    w = _runs(shared_windows(docs, min_chars, q, k))
+    before = W.partitionBy("rep").orderBy("at")
+    w = w.withColumn("run", F.sum(F.col("first").cast("int")).over(before))
+    head = F.min(F.struct("at", "h", "h2"))
+    r = w.groupBy("rep", "run").agg(head.alias("head"), F.max("at").alias("last"), F.max("holders").alias("holders"))
+    r = r.select("rep", F.col("head.at").alias("start_char"), (F.col("last") + min_chars).alias("end_char"), "holders", "head.h", "head.h2", (F.col("last") - F.col("head.at")).alias("size"))
+    name = r.groupBy("h", "h2", "size").agg(F.min(F.struct("rep", "start_char")).alias("name"))
+    name = name.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    r = r.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(name, ["h", "h2", "size", "salt"])
+    places = [F.col(c).cast("bigint").alias(n) for c, n in (("name.start_char", "passage_start"), ("start_char", "start_char"), ("end_char", "end_char"))]
+    return r.select(F.col("name.rep").alias("passage_rep"), "holders", "rep", *places)
+
+
+def _covered(w: DataFrame, min_chars: int) -> DataFrame:
+    """``(rep, start_char, end_char)``: the stretches of each different text that other texts hold, joined where they
+    touch."""
     before = W.partitionBy("rep").orderBy("at")
     w = w.select("rep", "at").distinct().withColumn("gap", F.coalesce(F.col("at") - F.lag("at").over(before) > min_chars, F.lit(True)))
     w = w.withColumn("run", F.sum(F.col("gap").cast("int")).over(before))
@@ -202,10 +266,10 @@ def shared_share(docs: DataFrame, min_chars: int = 300, q: int = Q, k: int = FUN
 
     Null and empty texts have no characters and share 0.0; a text with copies is shared as a whole.
     """
-    d = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")).distinct()
+    d = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars")).distinct()
     m = copies(docs, min_chars)
     many = m.groupBy("rep").agg((F.count("*") > 1).alias("copied"))
-    p = passages(docs, min_chars, q, k).groupBy("rep").agg(
+    p = _covered(shared_windows(docs, min_chars, q, k), min_chars).groupBy("rep").agg(
         F.count("*").alias("passages"), F.sum(F.col("end_char") - F.col("start_char")).alias("found")
     )
     x = d.join(m.join(many, "rep").join(p, "rep", "left"), "doc_id", "left")

@@ -543,6 +543,47 @@ def test_code_points_and_hashes():
         assert sliding_min(v, w).tolist() == [v[i : i + w].min() for i in range(51 - w)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(some.lists(some.lists(some.integers(0, 5), max_size=30), max_size=5), some.integers(1, 9))
+def test_cartesian_trees_by_brute_force(parts, t):
+    h = np.array([x for p in parts for x in p], np.uint64)
+    ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+    got = spans.min_hashes(h, ends - [len(p) for p in parts], ends, t)
+    want = [min(p[i : i + t]) if i + t <= len(p) else 0 for p in parts for i in range(len(p))]
+    assert got.tolist() == want
+
+
+def test_cartesian_tree_of_a_loop():
+    h = np.tile(np.arange(7, dtype=np.uint64), 50_000)
+    assert (spans.min_hashes(h, np.array([0]), np.array([len(h)]), 285)[: len(h) - 284] == 0).all()
+
+
+def test_passages_by_brute_force(spark):
+    rng = random.Random(11)
+    n, a, b = 60, prose(rng, 40), prose(rng, 40)
+    texts = [a, "x " + a[:150], b + "1" + a[20:160], "none of these at all", b[3:] + "2", a, None]
+    places = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t or "") - n + 1):
+            if i != 5:  # a copy of text 0
+                places.setdefault(t[k : k + n], []).append((i, k))
+    shared = {(i, k): sorted(j for j, _ in v) for v in places.values() if len({j for j, _ in v}) > 1 for i, k in v}
+    runs = {}
+    for i, k in sorted(shared):
+        if shared.get((i, k - 1)) != shared[i, k]:
+            runs[i, k] = first = k
+        runs[i, k] = first
+    size = {}
+    for (i, k), f in runs.items():
+        size[i, f] = max(size.get((i, f), 0), k + n)
+    want = set()
+    for (i, f), end in size.items():
+        same = [p for p, e in size.items() if texts[p[0]][p[1] : e] == texts[i][f:end]]
+        want.add((*min(same), len(shared[i, f]), i, f, end))
+    got = spans.passages(documents(spark, texts), n, q=16).select("passage_rep", "passage_start", "holders", "rep", "start_char", "end_char")
+    assert set(map(tuple, got.collect())) == want and len(want) >= 6
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_spans_by_brute_force(spark, seed):
     rng = random.Random(seed)
@@ -558,6 +599,7 @@ def test_spans_by_brute_force(spark, seed):
     d = documents(spark, texts)
     want = plain_pairs(texts, n)
     assert set(map(tuple, spans.sharing_pairs(d.unionByName(d.limit(10)), n).collect())) == want
+    assert set(map(tuple, spans.sharing_pairs(d, n, q=16, k=3).collect())) == want
     s = {r["doc_id"]: r for r in spans.shared_share(d, n).collect()}
     assert len(s) == len(texts) and {i for i, r in s.items() if r["shared_chars"]} == {i for p in want for i in p}
     for i, t in enumerate(texts):  # characters in shared windows
