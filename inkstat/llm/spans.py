@@ -7,8 +7,8 @@ q-grams matter; they are the top of the tree. Under each function the windows sa
 ``t`` q-grams have which min-hash; joining these intervals across the functions gives intervals of starting places with one
 signature. Two texts that share a span of ``min_chars`` characters share ``t = min_chars - q + 1`` q-grams in a row and so
 a signature under every function: joining the intervals of all texts by signature loses no such pair. What differs is removed
-by comparing the windows of the joined intervals: by 64 and 31 bits of hash of all their characters, and the windows that
-decide on pairs by the characters themselves.
+by comparing the windows of the joined intervals by two hashes, together 128 bits, of all their characters; holders are counted by
+the first 64 of them.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from inkstat.llm.arrays import code_points, gram_hashes, mix
+from inkstat.llm.skew import salted_join
 from inkstat.runtime import cut, spread
 
 Q = 64
@@ -41,27 +42,26 @@ def min_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray, t: int) -> np.ndarra
     """The min-hash of the ``t`` values from each place on, by the top of the Cartesian tree over each part ``a:b``; 0 at
     places from which no ``t`` values of a part go.
 
-    One round for each level of the trees: the least value of every part is its node (equal least values are one node with
-    more than two subtrees), and the parts beside it that span ``t`` or more values are the next level.
+    The least value of a part is its node (equal least values are one node with more than two subtrees) and the part its
+    compact window; the parts beside it are its subtrees as far as they span ``t`` or more values.
     """
     out = np.zeros(len(h), h.dtype)
-    keep = b - a >= t
-    a, b = a[keep], b[keep]
-    while len(a):
-        low = np.minimum.reduceat(np.append(h, h.dtype.type(0)), np.stack([a, b], 1).reshape(-1))[::2]
-        places, part = _within(a, b - a - t + 1)
-        out[places] = low[part]
-        places, part = _within(a, b - a)
-        at = np.flatnonzero(h[places] == low[part])
-        at, of = places[at], part[at]
-        first = np.append(True, of[1:] != of[:-1])
-        last = np.append(of[1:] != of[:-1], True)
-        left = np.where(first, a[of], np.append(0, at[:-1] + 1))
-        a, b = np.concatenate([left, at[last] + 1]), np.concatenate([at, b[of[last]]])
-        keep = b - a >= t
-        a, b = a[keep], b[keep]
-        order = np.argsort(a)
-        a, b = a[order], b[order]
+    todo = [(i, j) for i, j in zip(a.tolist(), b.tolist()) if j - i >= t]
+    while todo:
+        i, j = todo.pop()
+        part = h[i:j]
+        low = part.min()
+        out[i : j - t + 1] = low
+        at = np.flatnonzero(part == low)
+        if len(at) == 1:
+            c = i + int(at[0])
+            if c - i >= t:
+                todo.append((i, c))
+            if j - c > t:
+                todo.append((c + 1, j))
+        else:
+            edge = np.concatenate([[i - 1], at + i, [j]])
+            todo += [(int(edge[g]) + 1, int(edge[g + 1])) for g in np.flatnonzero(np.diff(edge) > t)]
     return out
 
 
@@ -137,7 +137,7 @@ def _emit_windows(span: int):
             if rows:
                 r, p = np.concatenate(rows), np.concatenate(places)
                 yield pa.record_batch(
-                    [b.column("rep").take(pa.array(r)), pa.array(h[p].view(np.int64)), pa.array((h2[p] >> np.uint64(33)).astype(np.int32)), pa.array((p - bounds[r]).astype(np.int32)), pa.array(np.concatenate(loops))],
+                    [b.column("rep").take(pa.array(r)), pa.array(h[p].view(np.int64)), pa.array(h2[p].view(np.int64)), pa.array((p - bounds[r]).astype(np.int32)), pa.array(np.concatenate(loops))],
                     ["rep", "h", "h2", "at", "loops"],
                 )
 
@@ -172,16 +172,14 @@ def shared_windows(docs: DataFrame, min_chars: int = 300, q: int = Q, k: int = F
     texts = iv.join(hot, "sig", "left_semi").groupBy("t", "u", "s", "e").agg(F.min("doc_id").alias("rep"))
     todo = texts.groupBy("rep").agg(F.collect_set(F.struct("s", "e")).alias("todo"))
     w = d.select("doc_id", "text").join(todo, d["doc_id"] == todo["rep"]).select("rep", "text", "todo")
-    w = cut(w.mapInArrow(_emit_windows(min_chars), f"rep {kind}, h bigint, h2 int, at int, loops boolean"))
+    w = cut(w.mapInArrow(_emit_windows(min_chars), f"rep {kind}, h bigint, h2 bigint, at int, loops boolean"))
     held = w.groupBy("h").agg(
         F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("holders"),
         F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).cast("double")).alias("mark"),
         F.max("loops").alias("loops"),
     )
-    # a window that very many texts hold is spread over SALTS tasks
-    held = held.filter("lo < hi").drop("lo", "hi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    w = w.drop("loops").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
-    return w.join(held, ["h", "salt"]).select("rep", "h", "h2", "at", "holders", "mark", "loops")
+    # one row on the right for each window: what very many texts hold is split on the left by adaptive execution
+    return w.drop("loops").join(held.filter("lo < hi").drop("lo", "hi"), "h").select("rep", "h", "h2", "at", "holders", "mark", "loops")
 
 
 def _runs(w: DataFrame) -> DataFrame:
@@ -191,30 +189,21 @@ def _runs(w: DataFrame) -> DataFrame:
     return w.withColumn("first", F.expr("p_at IS NULL OR p_at <> at - 1 OR p_mark <> mark OR p_n <> holders")).drop("p_at", "p_mark", "p_n")
 
 
-def _text_pairs(w: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
+def _text_pairs(w: DataFrame) -> DataFrame:
     """Pairs of different texts. The leftmost window of text a that text b holds is first in its run, for b does not hold the
     one before. In b it is first too, or the window before it has the same holders; then all of it but its first character
-    comes again in a, and the window loops. So first windows of a meet the first and the looping ones of b, and these
-    windows are compared by their characters. Windows with many holders are salted."""
+    comes again in a, and the window loops. So first windows of a meet the first and the looping ones of b. Windows with
+    many holders are salted."""
     w = _runs(w).filter("first OR loops")
-    w = w.groupBy("rep", "h", "h2").agg(F.max("first").alias("first"), F.ceil(F.max("holders") / SALT_ROWS).cast("int").alias("salts"), F.min("at").alias("at"))
-    # of each text only the windows in question are read again
-    at = w.groupBy("rep").agg(F.collect_list(F.struct("h", "h2", "first", "salts", "at")).alias("ws"))
-    d = docs.select(F.col("doc_id").alias("rep"), "text").filter(F.col("rep").isNotNull() & (F.length("text") >= min_chars))
-    w = d.join(at, "rep").select("rep", "text", F.explode("ws").alias("w")).select("rep", "w.*", F.substring("text", F.col("w.at") + 1, F.lit(min_chars)).alias("chars"))
-    w = w.distinct()
-    a = w.filter("first").withColumn("salt", F.pmod(F.xxhash64("rep"), "salts").cast("int")).select("h", "h2", "chars", "salt", F.col("rep").alias("ra"))
-    b = w.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("h", "h2", "chars", "salt", F.col("rep").alias("rb"))
-    return a.join(b, ["h", "h2", "chars", "salt"]).where("ra < rb").select("ra", "rb").distinct()
+    w = w.groupBy("rep", "h", "h2").agg(F.max("first").alias("first"), F.ceil(F.max("holders") / SALT_ROWS).cast("int").alias("salts"))
+    a = w.filter("first").withColumn("salt", F.pmod(F.xxhash64("rep"), "salts").cast("int")).select("h", "h2", "salt", F.col("rep").alias("ra"))
+    b = w.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("h", "h2", "salt", F.col("rep").alias("rb"))
+    return a.join(b, ["h", "h2", "salt"]).where("ra < rb").select("ra", "rb").distinct()
 
 
 def _with_copies(pairs: DataFrame, m: DataFrame, rep: str, name: str) -> DataFrame:
-    """``pairs`` with the copies of ``rep`` as ``name``. A text with very many copies is spread over several tasks."""
-    many = m.groupBy("rep").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).filter("salts > 1")
-    salts = F.coalesce("salts", F.lit(1))
-    left = pairs.join(many.withColumnRenamed("rep", rep), rep, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    right = m.join(many, "rep", "left").select(F.col("rep").alias(rep), F.col("doc_id").alias(name), F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
-    return left.join(right, [rep, "salt"]).drop("salt")
+    """``pairs`` with the copies of ``rep`` as ``name``."""
+    return salted_join(pairs, m.select(F.col("rep").alias(rep), F.col("doc_id").alias(name)), [rep], name, SALT_ROWS)
 
 
 def sharing_pairs(docs: DataFrame, min_chars: int = 300, q: int = Q, k: int = FUNCTIONS) -> DataFrame:
@@ -223,7 +212,7 @@ def sharing_pairs(docs: DataFrame, min_chars: int = 300, q: int = Q, k: int = FU
     Texts that are equal as a whole are pairs too; they are searched once and put in again at the end. Null and
     shorter texts have no pairs; repeated rows count once; an empty table gives none.
     """
-    pairs = _text_pairs(shared_windows(docs, min_chars, q, k), docs, min_chars)
+    pairs = _text_pairs(shared_windows(docs, min_chars, q, k))
     m = cut(copies(docs, min_chars))
     out = _with_copies(_with_copies(pairs, m, "ra", "da"), m, "rb", "db").select("da", "db")
     inside = m.join(m.filter("doc_id <> rep").select("rep").distinct(), "rep", "left_semi")
