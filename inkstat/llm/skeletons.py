@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkstat.llm.chars import consistent, skeleton
-from inkstat.runtime import spread
+from inkstat.llm.skew import salted_join
+from inkstat.runtime import cut, spread
 
+#: Documents or versions of one skeleton that a task gets at once.
+SALT_ROWS = 1000
 KEYS = T.StructType([T.StructField("skeleton", T.StringType()), T.StructField("stored", T.StringType())])
 FORMS = T.StructType([T.StructField("title_form", T.StringType()), T.StructField("text_form", T.StringType())])
 
@@ -45,14 +48,15 @@ def _forms(title: pd.Series, text: pd.Series) -> pd.DataFrame:
 
 
 def skeleton_keys(docs: DataFrame) -> DataFrame:
-    """``(doc_id, skeleton, stored)``, one row for each distinct stored version of a document with non-empty text.
+    """``(doc_id, skeleton, stored)``, one row for each distinct stored version of a document with non-empty text, written
+    once: some 70 bytes a row stand for the texts from here on.
 
     A null title reads as an empty one. Rows with null doc_id, or null or empty text, have no class and are left
     out. Repeated rows count once. Other columns are not read.
     """
     d = spread(docs.select("doc_id", "title", "text"), "doc_id")
     d = d.filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    return d.select("doc_id", _keys("title", "text").alias("k")).select("doc_id", "k.skeleton", "k.stored").distinct()
+    return cut(d.select("doc_id", _keys("title", "text").alias("k")).select("doc_id", "k.skeleton", "k.stored").distinct())
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -71,18 +75,17 @@ def same_reading_pairs(docs: DataFrame) -> DataFrame:
 
     Documents stored alike are first folded into one version, so a group of copies, however large, meets the other
     versions of its skeleton once; only the pairs asked for are written out. Skeletons with one version leave before
-    the join.
+    the join, and what very many documents share is spread over several tasks.
     """
     k = skeleton_keys(docs)
-    many = k.groupBy("skeleton").agg(F.count_distinct("stored").alias("n")).filter("n > 1").select("skeleton")
+    many = k.groupBy("skeleton").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo < hi").select("skeleton")
     k = k.join(many, "skeleton", "left_semi")
     v = k.select("skeleton", "stored").distinct()
-    pairs = v.alias("x").join(v.alias("y"), "skeleton").where("x.stored < y.stored")
-    pairs = pairs.select("skeleton", F.col("x.stored").alias("sa"), F.col("y.stored").alias("sb"))
-    a = k.select("skeleton", F.col("stored").alias("sa"), F.col("doc_id").alias("da"))
-    b = k.select("skeleton", F.col("stored").alias("sb"), F.col("doc_id").alias("db"))
-    both = pairs.join(a, ["skeleton", "sa"]).join(b, ["skeleton", "sb"]).where("da <> db")
-    return both.select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b")).distinct()
+    pairs = salted_join(v.withColumnRenamed("stored", "sa"), v.withColumnRenamed("stored", "sb"), ["skeleton"], "sb", SALT_ROWS).where("sa < sb")
+    for s, d in (("sa", "da"), ("sb", "db")):
+        pairs = salted_join(pairs, k.select("skeleton", F.col("stored").alias(s), F.col("doc_id").alias(d)), ["skeleton", s], d, SALT_ROWS)
+    pairs = pairs.where("da <> db")
+    return pairs.select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b")).distinct()
 
 
 def consistent_forms(docs: DataFrame) -> DataFrame:
