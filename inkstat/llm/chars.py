@@ -87,7 +87,8 @@ _CYRILLIC_OF = {"a": "а", "c": "с", "e": "е", "i": "і", "j": "ј", "o": "о"
 _GREEK_OF = {"a": "α", "i": "ι", "k": "κ", "o": "ο", "p": "ρ", "u": "υ", "v": "ν", "x": "χ", "y": "γ",
              "A": "Α", "B": "Β", "E": "Ε", "H": "Η", "I": "Ι", "K": "Κ", "M": "Μ", "N": "Ν", "O": "Ο", "P": "Ρ",
              "T": "Τ", "X": "Χ", "Y": "Υ", "Z": "Ζ"}
-_WORD = re.compile(r"[^\W\d_]+")
+# Words with a Cyrillic or Greek letter; all others are of one script.
+_WORD = re.compile("(?:(?![Ͱ-ϿЀ-ԯ])[^\\W\\d_])*[Ͱ-ϿЀ-ԯ][^\\W\\d_]*")
 _SHARED_CYR = set("асеіјорѕхуАВСЕНІЈКМОРЅТХ")
 _SHARED_GRK = set("οιρναυγκχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ")
 

@@ -56,6 +56,7 @@ _EDGE = "()[]{}\"'“”„«»‘’,;:.!?"
 _CODE = re.compile(r"(?:[A-Z]+\d*-?\d*|[A-Z][a-z]?-[a-z]{2,4}\d+|(?:[A-Z][a-z]?\d*){1,6}|\d[\d.,±–-]*|[a-z]{1,3}\d|run\.\d+\.csv|(?:[A-Za-z]\.){1,4}[A-Za-z]?)\Z")
 _DIGIT_IN_NAME = re.compile(r"(?:[01568!|][a-z]{4,}|[A-Z]?[a-z]{2,}[01568!|][a-z]{2,}|l[bcdfghjkmnpqrstvwxz][a-z]{4,})\Z")
 _NAME_LETTERS = str.maketrans("01568!|", "oisbbil")
+_SOFT_HYPHEN = re.compile("[­¬](\\s*)\\Z")
 _SINGLE = re.compile(r"[^\W\d_]\Z")
 
 
@@ -80,6 +81,7 @@ class Model:
         self.chances = list(chances)
         self.cost = [math.log(p) for p in chances]
         self.cache: dict[str, dict[str, float]] = {}
+        self.states: dict[tuple[str, bool], list[tuple[str, float, str | None]]] = {}
 
     def known(self, w: str) -> bool:
         return w.lower() in self.words
@@ -214,7 +216,7 @@ def _words_of(lines: list[str], out: list[bool], over: list[bool], m: Model) ->
         j = 0
         while j < len(toks):
             k = j
-            while k < len(toks) and _SINGLE.match(toks[k].strip(_EDGE) if k > j or toks[k][:1] in "(\"'“«" else toks[k]) and (k == j or toks[k - 1][-1:].isalpha()):
+            while k < len(toks) and len(toks[k]) <= 6 and _SINGLE.match(toks[k].strip(_EDGE) if k > j or toks[k][:1] in "(\"'“«" else toks[k]) and (k == j or toks[k - 1][-1:].isalpha()):
                 k += 1
             if k - j >= 3:
                 run = "".join(t.strip(_EDGE) for t in toks[j:k])
@@ -229,12 +231,12 @@ def _words_of(lines: list[str], out: list[bool], over: list[bool], m: Model) ->
                     first = False
                     continue
             t = toks[j]
-            if j + 1 < len(toks) and not (first and pending) and not (j + 2 == len(toks) and over[i]):
+            if j + 1 < len(toks) and toks[j + 1][0].islower() and not (first and pending) and not (j + 2 == len(toks) and over[i]):
                 # a word torn in two, of which one part at least is no word
-                a, b = t.lstrip(_EDGE), toks[j + 1].strip(_EDGE)
+                a, b = t.lstrip(_EDGE), toks[j + 1].rstrip(_EDGE)
                 c = toks[j + 2].strip(_EDGE) if j + 2 < len(toks) else ""
                 if (
-                    a.isalpha() and b.isalpha() and b.islower() and min(len(a), len(b)) > 1 and m.known(a + b) and not (m.known(a) and m.known(b))
+                    m.known(a + b) and min(len(a), len(b)) > 1 and a.isalpha() and b.isalpha() and b.islower() and not (m.known(a) and m.known(b))
                     and not (m.known(a) and c.isalpha() and m.known(b + c))
                 ):
                     words.append(_Word(a + b, i, i, torn=True, stop=bool(_STOPPED.search(toks[j + 1]))))
@@ -266,6 +268,15 @@ def _plain(c: str) -> bool:
 
 
 def _states(w: _Word, m: Model) -> list[tuple[str, float, str | None]]:
+    got = m.states.get((w.core, w.torn))
+    if got is None:
+        if len(m.states) > 100_000:
+            m.states.clear()
+        got = m.states[w.core, w.torn] = _states_of(w, m)
+    return got
+
+
+def _states_of(w: _Word, m: Model) -> list[tuple[str, float, str | None]]:
     """What may have been printed where a word is read: the word for its neighbours, the channel's cost, and the word as
     printed or None where what is read stands. One state where there is nothing to decide."""
     c, low = w.core, w.core.lower()
@@ -294,10 +305,11 @@ def _foreign(words: list[_Word], m: Model) -> set[int]:
     total: Counter[int] = Counter()
     for w in words:
         if w.core.isalpha():
-            for i in (w.line - 1, w.line, w.line + 1):
-                total[i] += 1
-                known[i] += m.known(w.core)
-    return {i for i, n in total.items() if known[i] < 0.5 * n}
+            total[w.line] += 1
+            if w.core.lower() in m.words:
+                known[w.line] += 1
+    near = lambda c, i: c[i - 1] + c[i] + c[i + 1]
+    return {i for i in total if near(known, i) < 0.5 * near(total, i)}
 
 
 def _misread(lines: list[str], out: list[bool], over: list[bool], m: Model) -> list[tuple[_Word, str, str]]:
@@ -369,11 +381,15 @@ def _where(w: _Word, printed: str) -> tuple[int, int]:
 
 def page_lines(text: str) -> list[str]:
     """The lines of a text in consistent characters; a soft hyphen at a line end is kept as a hyphen."""
-    return [consistent(re.sub("[­¬](\\s*)\\Z", r"-\1", x)) for x in text.split("\n")]
+    plain = not any(c in text for c in "\r\x0b\x0c")
+    return [x.rstrip(" ") if plain and x.isascii() else consistent(_SOFT_HYPHEN.sub(r"-\1", x)) for x in text.split("\n")]
+
 
+_Read = tuple[list[str], list[bool], list[bool], list[tuple[_Word, str, str]]]
 
-def scanned(text: str | None, m: Model) -> tuple[list[str], list[bool], list[bool]] | None:
-    """Lines, furniture and carried lines of a text that comes from a scan; None for any other.
+
+def scanned(text: str | None, m: Model) -> _Read | None:
+    """Lines, furniture, carried lines and misread words of a text that comes from a scan; None for any other.
 
     A scan is set in lines of bounded width, holds prose for the most part, and has a trace of a page: a line that ends within a
     word, a line in the form of a page number or of a header with one, or two lines with misread words.
@@ -394,9 +410,23 @@ def scanned(text: str | None, m: Model) -> tuple[list[str], list[bool], list[boo
         a, b = lines[i].split()[-1].rstrip(HYPHENS + " ").lstrip(_EDGE), lines[j].split()[0].strip(_EDGE)
         return m.known(a + b) and not (m.known(a) and m.known(b))
 
-    if any(page_marks(lines)) or any(over[i] and split_word(i) for i in range(len(lines))):
-        return lines, out, over
-    return (lines, out, over) if len({a for a, _, _, _ in read(lines, out, over, m)}) >= 2 else None
+    if not any(page_marks(lines)) and not any(over[i] and split_word(i) for i in range(len(lines))):
+        if not _may_be_misread(lines, m):
+            return None
+        wrong = _misread(lines, out, over, m)
+        return (lines, out, over, wrong) if len({w.line for w, _, _ in wrong}) >= 2 else None
+    return lines, out, over, _misread(lines, out, over, m)
+
+
+def _may_be_misread(lines: list[str], m: Model) -> bool:
+    """Whether two lines hold a word that may be read as another one, or letters torn apart."""
+    n = 0
+    for x in lines:
+        toks = x.split()
+        n += any(len(a) == 1 or len(a) > 1 and not m.known(a.strip(_EDGE)) and (len(_states(_Word(_core(a, m), 0, 0), m)) > 1 or m.known(a + b)) for a, b in zip(toks, [*toks[1:], ""]))
+        if n >= 2:
+            return True
+    return False
 
 
 def repairs(text: str | None, m: Model) -> list[tuple[int, str]]:
@@ -404,10 +434,10 @@ def repairs(text: str | None, m: Model) -> list[tuple[int, str]]:
     x = scanned(text, m)
     if x is None:
         return []
-    lines, out, over = x
+    _, out, over, wrong = x
     got = {(i, "furniture") for i, f in enumerate(out) if f} | {(i, "hyphen") for i, f in enumerate(over) if f}
-    for a, b, _, _ in read(lines, out, over, m):
-        got |= {(a, "misread"), (b, "misread")}
+    for w, _, printed in wrong:
+        got |= {(i, "misread") for i in _where(w, printed)}
     return sorted(got)
 
 
@@ -429,10 +459,10 @@ def repaired(text: str | None, m: Model) -> str | None:
     x = scanned(text, m)
     if x is None:
         return text
-    lines, out, over = x
+    lines, out, over, wrong = x
     fixes: dict[int, list[tuple[str, str]]] = {}
     joined: dict[int, tuple[str, str]] = {}  # words carried over the end of a line, by that line
-    for w, seen, printed in _misread(lines, out, over, m):
+    for w, seen, printed in wrong:
         if w.line == w.line2:
             fixes.setdefault(w.line, []).append((seen, printed))
         else:
@@ -471,31 +501,36 @@ def repaired(text: str | None, m: Model) -> str | None:
 
 def _counts(known: frozenset[str], most: int = 500_000):
     """Bigrams of known words in texts that are not set like pages, and the unknown words of those that are."""
+    sign = {**{w: w for w in known}, **{x: "." for x in ".!?;"}}
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count: Counter[tuple[str, str, bool]] = Counter()
+        pairs: Counter[tuple[str, str]] = Counter()
+        words: Counter[str] = Counter()
         for b in it:
             for t in b["text"]:
                 if t.count("\n") >= 2 and wrapped(lines := page_lines(t)):
                     for x in lines:
                         cores = [w.strip(_EDGE) for w in x.split()]
-                        letters = [c.lower() in known for c in cores if c.isalpha()]
-                        if sum(letters) * 2 > len(letters):  # in the language of the vocabulary
-                            count["", "", True] += len(cores)
-                            count.update((c, "", True) for c in cores if c.lower() not in known and _plain(c))
+                        strange = [c for c in cores if c.lower() not in known]
+                        letters = sum(map(str.isalpha, cores))
+                        if letters and sum(map(str.isalpha, strange)) * 2 < letters:  # in the language of the vocabulary
+                            words[""] += len(cores)
+                            words.update(c for c in strange if _plain(c))
                 else:
-                    ws = [w if w in known else "0" if w[0].isdigit() else "." if w in ".!?;" else "" for w in _SYMBOL.findall(t.lower())]
-                    count.update((x, y, False) for x, y in zip(ws, ws[1:]) if x and y)
-            if len(count) >= most:  # what a worker holds is bounded
-                yield _count_frame(count)
-                count.clear()
-        yield _count_frame(count)
+                    ws = [sign.get(w) or ("0" if w[0].isdigit() else "") for w in _SYMBOL.findall(t.lower())]
+                    pairs.update(zip(ws, ws[1:]))
+            if len(pairs) + len(words) >= most:  # what a worker holds is bounded
+                yield _count_frame(pairs, words)
+                pairs.clear()
+                words.clear()
+        yield _count_frame(pairs, words)
 
     return run
 
 
-def _count_frame(count: Counter) -> pd.DataFrame:
-    return pd.DataFrame([(x, y, p, n) for (x, y, p), n in count.items()], columns=["a", "b", "page", "n"])
+def _count_frame(pairs: Counter, words: Counter) -> pd.DataFrame:
+    rows = [(x, y, False, n) for (x, y), n in pairs.items() if x and y] + [(x, "", True, n) for x, n in words.items()]
+    return pd.DataFrame(rows, columns=["a", "b", "page", "n"])
 
 
 def _expected(packed) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
