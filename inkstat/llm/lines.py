@@ -50,8 +50,8 @@ def _combining(c: str) -> bool:
 
 _PUNCTUATION = ".,;:'\"()-–—„“”«»‚‘’!?%/±。，、；：（）「」…·।"
 _ODD = Kept(lambda c: not c.isspace() and not c.isalnum() and c not in _PUNCTUATION and not _combining(c))
-SYMBOLS = Kept(lambda c: not (c.isalnum() or c.isspace() or _combining(c)))
-DIGITS = Kept(str.isdigit)
+#: Symbols and digits of a text.
+SIGNS = Kept(lambda c: c.isdigit() or not (c.isalnum() or c.isspace() or _combining(c)))
 
 
 def junk(s: str) -> bool:

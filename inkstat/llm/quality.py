@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstat.llm.lines import CLOSERS, DIGITS, ENDS, STOPS, SYMBOLS, kind
+from inkstat.llm.lines import CLOSERS, ENDS, SIGNS, STOPS, kind
 from inkstat.llm.words import words
 from inkstat.runtime import cut, spread
 
@@ -41,6 +41,8 @@ STATS = [
 ]
 
 
+_AROUND = re.escape(CLOSERS + "([{„“.,;:!?")
+_LETTER_WORD = re.compile(rf"(?<!\S)[{_AROUND}]*[^\W\d_]+[{_AROUND}]*(?!\S)")
 _THAI_RUN = re.compile("[^\\s]*[฀-๿][^\\s]*")
 
 
@@ -62,8 +64,7 @@ def _sentence_chars(text: str) -> int:
             s = block[start : m.end()]
             start = m.end()
             ws = s.split()
-            letters = sum(w.strip(CLOSERS + "([{„“.,;:!?").isalpha() for w in ws)
-            if len(ws) >= 5 and letters * 2 > len(ws) or len(ws) < 5 and len(_SPACELESS.findall(s)) >= 12:
+            if len(ws) >= 5 and len(_LETTER_WORD.findall(s)) * 2 > len(ws) or len(ws) < 5 and len(_SPACELESS.findall(s)) >= 12:
                 got += len("".join(ws))
     return got
 
@@ -99,15 +100,17 @@ def statistics(text: str | None, common: dict[str, set[str]]) -> tuple:
     if n:
         count = Counter(ws)
         for lang, some in common.items():
-            if lang in ("zh", "ja", "th"):
-                share = max(share, sum(text.count(w) * len(w) for w in some) / max(visible, 1) if spaceless else 0.0)
-            else:
-                share = max(share, sum(count[w] for w in some) / n)
+            if lang not in ("zh", "ja", "th"):
+                share = max(share, sum(map(count.get, count.keys() & some)) / n)
+            elif spaceless:
+                share = max(share, sum(text.count(w) * len(w) for w in some) / max(visible, 1))
     total = sum(chars.values())
+    signs = text.translate(SIGNS)
+    digits = sum(map(str.isdigit, signs))
     # ties go to the type named first, so that the result is the same everywhere
     main = max(("list", "table", "junk"), key=lambda k: chars[k])
     return (
-        len(text), len(lines), n, sum(map(len, ws)) / n if n else 0.0, len(text.translate(SYMBOLS)) / visible, len(text.translate(DIGITS)) / visible,
+        len(text), len(lines), n, sum(map(len, ws)) / n if n else 0.0, (len(signs) - digits) / visible, digits / visible,
         sum(bool(ENDS.search(x.rstrip())) for x in lines) / len(lines), len(_STOP.findall(text)) / n if n else 0.0, share,
         1 - chars["prose"] / total, 1 - kinds["prose"] / len(lines), _sentence_chars(text) / visible, _alike(lines), n / len(lines),
         main if chars[main] else "prose", spaceless,
