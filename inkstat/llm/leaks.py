@@ -30,6 +30,7 @@ BROADCAST_FINGERPRINTS = 2_000_000
 #: Of every worker's copy of the items' streams, in characters.
 BROADCAST_CHARS = 32_000_000
 LONGEST_K = 24
+SALTS = 16
 
 _TAG = re.compile(r"<[!/]?[A-Za-z][^<>]{0,200}>")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9A-Fa-f]{1,6}|[A-Za-z]{2,8}\d{0,2});")
@@ -217,12 +218,13 @@ def _fingerprints(key: str, k: int, w: int):
 
 def _by_shuffle(d: DataFrame, items: DataFrame, k: int, w: int, min_words: int, kinds: str) -> DataFrame:
     """Join of all fingerprints; then each candidate document meets its items one at a time. Alignments are folded into
-    one row for each (document, item, offset) before texts are joined in. Nothing is salted: a fingerprint that very many
-    documents hold is left to Spark's handling of skew."""
+    one row for each (document, item, offset) before texts are joined in. A fingerprint that very many documents hold is
+    spread over ``SALTS`` tasks."""
     a, b = (x.schema[c].dataType.simpleString() for x, c in ((d, "doc_id"), (items, "item_id")))
     fd = d.mapInPandas(_fingerprints("doc_id", k, w), f"doc_id {a}, h bigint, at_doc_id bigint")
     fi = cut(items.mapInPandas(_fingerprints("item_id", k, w), f"item_id {b}, h bigint, at_item_id bigint"))
-    hits = fd.join(fi, "h").groupBy("doc_id", "item_id", (F.col("at_doc_id") - F.col("at_item_id")).alias("off"))
+    fd = fd.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    hits = fd.join(fi.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "salt"]).groupBy("doc_id", "item_id", (F.col("at_doc_id") - F.col("at_item_id")).alias("off"))
     hits = hits.agg(F.collect_set("at_item_id").alias("at"))
     j = hits.join(d, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
 

@@ -91,23 +91,23 @@ FROM (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300)
 
 _P9_SHARED = """
 WITH r AS (SELECT text, min(doc_id) AS rep, count(*) AS copies FROM (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300) GROUP BY text),
-w AS (SELECT rep, i - 1 AS at, md5_number(substr(text, i, 300)) AS h FROM (SELECT rep, text, unnest(range(1, length(text) - 298)) AS i FROM r)),
+w AS (SELECT rep, i - 1 AS pos, md5_number(substr(text, i, 300)) AS h FROM (SELECT rep, text, unnest(range(1, length(text) - 298)) AS i FROM r)),
 held AS (SELECT h, list_sort(list(rep)) AS who FROM w GROUP BY h HAVING min(rep) < max(rep)),
-s AS (SELECT rep, at, h, who, lag(at) OVER x AS before, lag(who) OVER x AS who_before FROM w JOIN held USING (h) WINDOW x AS (PARTITION BY rep ORDER BY at))
+s AS (SELECT rep, pos, h, who, lag(pos) OVER x AS pos_before, lag(who) OVER x AS who_before FROM w JOIN held USING (h) WINDOW x AS (PARTITION BY rep ORDER BY pos))
 """
 
 _P9_PASSAGES = _P9_SHARED + """,
 runs AS (
-  SELECT rep, at, h, who, sum(CASE WHEN before IS NULL OR before <> at - 1 OR who_before <> who THEN 1 ELSE 0 END) OVER (PARTITION BY rep ORDER BY at) AS run FROM s),
-g AS (SELECT rep, run, min(at) AS start_char, max(at) + 300 AS end_char, arg_min(h, at) AS h, max(len(who)) AS holders FROM runs GROUP BY rep, run)
+  SELECT rep, pos, h, who, sum(CASE WHEN pos_before IS NULL OR pos_before <> pos - 1 OR who_before <> who THEN 1 ELSE 0 END) OVER (PARTITION BY rep ORDER BY pos) AS run FROM s),
+g AS (SELECT rep, run, min(pos) AS start_char, max(pos) + 300 AS end_char, arg_min(h, pos) AS h, max(len(who)) AS holders FROM runs GROUP BY rep, run)
 SELECT first_value(rep) OVER y AS passage_rep, first_value(start_char) OVER y AS passage_start, holders, rep, start_char, end_char
 FROM g WINDOW y AS (PARTITION BY h, end_char - start_char ORDER BY rep, start_char)
 """
 
 _P9_SHARES = _P9_SHARED + """,
-stretches AS (SELECT rep, at, sum(CASE WHEN before IS NULL OR at - before > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY rep ORDER BY at) AS run FROM s),
+stretches AS (SELECT rep, pos, sum(CASE WHEN pos_before IS NULL OR pos - pos_before > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY rep ORDER BY pos) AS run FROM s),
 found AS (
-  SELECT rep, count(*) AS passages, sum(chars) AS chars FROM (SELECT rep, run, max(at) + 300 - min(at) AS chars FROM stretches GROUP BY rep, run) GROUP BY rep),
+  SELECT rep, count(*) AS passages, sum(chars) AS chars FROM (SELECT rep, run, max(pos) + 300 - min(pos) AS chars FROM stretches GROUP BY rep, run) GROUP BY rep),
 d AS (SELECT DISTINCT doc_id, text, coalesce(length(text), 0) AS n_chars FROM documents WHERE doc_id IS NOT NULL),
 x AS (
   SELECT doc_id, coalesce(r.rep, doc_id) AS rep, n_chars, coalesce(passages, CASE WHEN copies > 1 THEN 1 ELSE 0 END) AS passages,
