@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +27,19 @@ def deviation(xs: Column, ddof: int = 1) -> Column:
     return F.when(n > 1, F.sqrt(F.greatest(squares - t * t / n, F.lit(0.0)) / (n - ddof))).otherwise(0.0)
 
 
+def moments(xs: Column, finish: Callable[[Column, Column, Column], Column]) -> Column:
+    """``finish`` of number, mean and sum of squared differences from it, in one pass that keeps equal values at a spread of
+    exactly 0."""
+
+    def step(a: Column, x: Column) -> Column:
+        n = a["n"] + 1.0
+        m = a["m"] + (x.cast("double") - a["m"]) / n
+        return F.struct(n.alias("n"), m.alias("m"), (a["m2"] + (x.cast("double") - a["m"]) * (x.cast("double") - m)).alias("m2"))
+
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("m2"))
+    return F.aggregate(xs, zero, step, lambda a: finish(a["n"], a["m"], a["m2"]))
+
+
 def linear(ordered: Column, q: float) -> Column:
     """Percentile of a sorted array by linear interpolation; 0 of an empty one."""
     at = F.lit(float(q)) * (F.size(ordered) - 1)

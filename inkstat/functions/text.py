@@ -50,8 +50,12 @@ def n_tokens(text: Column) -> Column:
     return count(text, TOKEN)
 
 
+# The same white space, as characters to trim.
+_BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def split_words(text: Column) -> Column:
@@ -60,12 +64,23 @@ def split_words(text: Column) -> Column:
 
 
 def flat(text: Column) -> Column:
-    return strip(F.regexp_replace(text, rf"{WS}*\n{WS}*", " "))
+    """The lines of a text, stripped, as one."""
+    return F.array_join(F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: x != ""), " ")
+
+
+def pieces(text: Column) -> Column:
+    """What stands between the gaps of sentences."""
+    return F.split(flat(text), SENTENCE_GAP, -1)
 
 
 def sentences(text: Column, least: int = 3) -> Column:
     """Sentences of at least ``least`` words, split after stops with guards for abbreviations and initials."""
-    return F.filter(F.split(flat(text), SENTENCE_GAP, -1), lambda s: n_tokens(s) >= least)
+    return F.filter(pieces(text), lambda s: n_tokens(s) >= least)
+
+
+def sentences_with_tokens(text: Column, least: int = 3) -> Column:
+    """The same as structs ``(s, t)`` of a sentence and its words, in one pass over the words."""
+    return F.filter(F.transform(pieces(text), lambda s: F.struct(s.alias("s"), tokens(s).alias("t"))), lambda p: F.size(p["t"]) >= least)
 
 
 def simple_sentences(text: Column) -> Column:

@@ -13,22 +13,25 @@ from pyspark.sql import functions as F
 from inkstat.functions import lexicons as lx
 from inkstat.functions import numbers as nu
 from inkstat.functions import text as tx
+from inkstat.runtime import spread
 
 MAX_CHARS = 200_000
 
 def prepared(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Token and sentence arrays of each document with text, once for all blocks. Of a text only its first ``MAX_CHARS``
     characters are measured, the default of the reference."""
-    d = docs.filter(F.length("text") > 0).select(*keep, F.substring("text", 1, MAX_CHARS).alias("text"))
-    d = d.withColumn("toks", tx.tokens(F.col("text"))).withColumn("sents", tx.sentences(F.col("text")))
+    d = spread(docs.filter(F.length("text") > 0).select(*keep, F.substring("text", 1, MAX_CHARS).alias("text")), keep[0])
+    d = d.withColumn("toks", tx.tokens(F.col("text"))).withColumn("parts", tx.sentences_with_tokens(F.col("text")))
     d = d.withColumns({
         "low": F.transform("toks", F.lower),
         "n": F.size("toks"),
-        "lens": F.transform("sents", tx.n_tokens),
-        "sent_toks": F.transform("sents", tx.lower_tokens),
+        "sents": F.col("parts.s"),
+        "lens": F.transform("parts", lambda p: F.size(p["t"])),
+        "sent_toks": F.transform("parts", lambda p: F.transform(p["t"], F.lower)),
+        "heads": F.transform("parts", lambda p: F.lower(F.get(p["t"], 0))),
         "unquoted": tx.drop_quoted(F.col("text")),
     })
-    return d.withColumn("heads", F.transform("sent_toks", lambda t: F.get(t, 0)))
+    return d
 
 
 def with_paragraphs(d: DataFrame) -> DataFrame:
@@ -184,44 +187,67 @@ BLOCKS = {
 }
 
 
-def block(docs: DataFrame, name: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One block in wide form."""
-    d = prepared(docs, keep)
+def _needs(d: DataFrame, name: str) -> DataFrame:
+    """The columns a block needs besides those of ``prepared``."""
     if name == "surface":
-        d = with_paragraphs(d)
+        return with_paragraphs(d)
     if name == "register":
-        d = d.withColumn("unquoted_low", F.lower("unquoted"))
+        return d.withColumn("unquoted_low", F.lower("unquoted"))
     if name == "tells":
-        d = with_phrase_counts(d)
-    if name == "lexical":
-        d = d.withColumn("low_up", F.array_sort("low"))
+        return with_phrase_counts(d)
+    return d.withColumn("low_up", F.array_sort("low")) if name == "lexical" else d
+
+
+def block(docs: DataFrame, name: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One block in wide form."""
+    d = _needs(prepared(docs, keep), name)
     return d.select(*keep, *[v.alias(k) for k, v in BLOCKS[name](d).items()])
 
 
+def _used(low: Column, n: Column) -> dict[str, Column]:
+    """Rates of function words; words not used have 0. ``low`` holds the function words of a text only."""
+    return {f"fw_{w}": nu.rate(F.size(low) - F.size(F.array_remove(low, w)), n) for w in lx.FUNCTION_WORDS}
+
+
 def function_words(docs: DataFrame) -> DataFrame:
     """``(doc_id, feature, value)`` for each document and function word in its first ``MAX_CHARS`` characters; words not used
     have 0."""
-    d = docs.filter(F.length("text") > 0).select("doc_id", tx.lower_tokens(F.substring("text", 1, MAX_CHARS)).alias("low"))
+    d = spread(docs.filter(F.length("text") > 0).select("doc_id", F.substring("text", 1, MAX_CHARS).alias("text")), "doc_id")
+    d = d.select("doc_id", tx.lower_tokens(F.col("text")).alias("low"))
     some = F.filter("low", lambda t: t.isin(lx.FUNCTION_WORDS))
-    # counted in the row: the sorted words of the list, cut into runs by position
-    d = d.select("doc_id", F.size("low").alias("n"), F.array_sort(some).alias("s"))
+    d = d.select("doc_id", F.size("low").alias("n"), some.alias("s"))
     kinds = d.select("doc_id", "n", "s", F.explode(F.array(*[F.lit(w) for w in lx.FUNCTION_WORDS])).alias("w"))
     c = F.size("s") - F.size(F.array_remove("s", F.col("w")))
     return kinds.select("doc_id", F.concat(F.lit("fw_"), "w").alias("feature"), nu.rate(c, F.col("n")).alias("value"))
 
 
-def features_long(docs: DataFrame, names: tuple[str, ...] = tuple(BLOCKS)) -> DataFrame:
-    """``(doc_id, feature, value)`` of the blocks; what is undefined for a document is null, which is not 0.
-
-    Each block is unpivoted by itself: one wide row of all of them would be beyond what code is generated for.
-    """
-    out = function_words(docs)
+def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = tuple(BLOCKS), places: int | None = None) -> tuple[DataFrame, list[str]]:
+    """``(keep ..., measures array<double>)`` and the names of the measures: all blocks of a document in one row, from one
+    reading of its text. What is undefined for a document is null, which is not 0."""
+    d = prepared(docs, keep).withColumn("fw", F.filter("low", lambda t: t.isin(lx.FUNCTION_WORDS)))
     for b in names:
-        w = block(docs, b)
-        cols = [c for c in w.columns if c != "doc_id"]
-        m = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])).alias("f")
-        out = out.unionByName(w.select("doc_id", m).select("doc_id", "f.feature", F.nanvl("f.value", F.lit(None).cast("double")).alias("value")))
-    return out
+        d = _needs(d, b)
+    cols = _used(F.col("fw"), F.col("n"))
+    for b in names:
+        cols |= BLOCKS[b](d)
+    none = F.lit(None).cast("double")
+    values = [F.nanvl(v.cast("double"), none) for v in cols.values()]
+    values = values if places is None else [F.round(v, places) for v in values]
+    return d.select(*keep, F.array(*values).alias("measures")), list(cols)
+
+
+def as_long(wide: DataFrame, names: list[str], *keep: str) -> DataFrame:
+    """``(keep ..., feature, value)`` of rows of ``measures``."""
+    label = F.array(*[F.lit(n) for n in names])
+    # not the column itself: from that a filter on its size is inferred, which would make the array once more
+    x = wide.select(*keep, F.posexplode(F.slice("measures", 1, len(names))).alias("i", "value"))
+    return x.select(*keep, F.element_at(label, F.col("i") + 1).alias("feature"), "value")
+
+
+def features_long(docs: DataFrame, names: tuple[str, ...] = tuple(BLOCKS)) -> DataFrame:
+    """``(doc_id, feature, value)`` of the blocks."""
+    w, cols = measures(docs, names=names)
+    return as_long(w, cols, "doc_id")
 
 
 def feature_group(name: Column) -> Column:

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstat.functions import lexicons as lx
 from inkstat.functions import text as tx
 from inkstat.operators.statistics import order_statistics
 
 MARKER = r"\[(?:\d{1,3}|n)(?:[ ]?[,–-][ ]?\d{1,3})*\]"
 NAMED = r"(?<![\p{L}\p{N}_])[A-Z][a-z]+ (?:et al\.?|and (?:co-?workers|colleagues))"
+NAMED_VERB = rf"{NAMED}{tx.WS}*(?:\[[^\]]+\])?{tx.WS}*(?:have |has |also |recently |first )?(?:{'|'.join(lx.REPORTING_VERBS)})(?!{tx.WC})"
+_EDGE = rf"(?:(?<={tx.WC})(?!{tx.WC})|(?<!{tx.WC})(?={tx.WC}))"
+INTRODUCER = rf"(?i){_EDGE}({'|'.join(lx.INTRODUCERS)}){_EDGE}"
 QUOTE = "[\"“][^\"”]{30,}[\"”]"
 
 
@@ -68,3 +72,29 @@ def position_counts(docs: DataFrame) -> DataFrame:
 
 def top_before(docs: DataFrame, k: int = 40) -> DataFrame:
     return markers(docs).groupBy("before").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "before").limit(k)
+
+
+def top_after(docs: DataFrame, k: int = 20) -> DataFrame:
+    """``(after, n)``: the words that most often follow a marker in mid-sentence."""
+    return markers(docs).filter("after IS NOT NULL").groupBy("after").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "after").limit(k)
+
+
+def named_with_verb(docs: DataFrame) -> DataFrame:
+    """``(documents, named, named_with_verb, markers, words, share)``: one row; share is that of citations which name an author and
+    report by a verb."""
+    d = texts(docs).select(*[c.alias(n) for n, c in (("named", tx.count(F.col("text"), NAMED)), ("verb", tx.count(F.col("text"), NAMED_VERB)), ("markers", tx.count(F.col("text"), MARKER)), ("words", tx.n_tokens(F.col("text"))))])
+    g = d.agg(F.count("*").alias("documents"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("named", "named"), ("verb", "named_with_verb"), ("markers", "markers"), ("words", "words"))])
+    return g.withColumn("share", F.coalesce(F.try_divide(F.col("named_with_verb"), F.col("named_with_verb") + F.col("markers")), F.lit(0.0)))
+
+
+def introducers(docs: DataFrame, k: int = 40) -> DataFrame:
+    """``(introducer, n)``: what most often leads into a citation, over citing sentences."""
+    s = sentences(docs).filter("markers > 0")
+    x = s.select(F.explode(F.regexp_extract_all("sent", F.lit(INTRODUCER), F.lit(1))).alias("i"))
+    return x.groupBy(F.lower("i").alias("introducer")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "introducer").limit(k)
+
+
+def citing_examples(docs: DataFrame, k: int = 40, seed: int = 7) -> DataFrame:
+    """``(doc_id, pos, sent)``: a sample, by hash, of citing sentences of 8 to 38 words with at most two markers."""
+    s = sentences(docs).filter("markers BETWEEN 1 AND 2 AND n_words BETWEEN 8 AND 38")
+    return s.select("doc_id", F.col("pos").cast("bigint").alias("pos"), tx.strip(F.col("sent")).alias("sent")).orderBy(F.xxhash64("doc_id", "pos", F.lit(seed)), "doc_id", "pos").limit(k)

@@ -11,7 +11,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstat.operators.statistics import AI, HUMAN, rank_sums
+from inkstat.operators.statistics import AI, HUMAN, percentiles, rank_sums
 from inkstat.runtime import cut
 
 
@@ -19,7 +19,8 @@ def matrix(long: DataFrame, present: float = 0.5) -> tuple[DataFrame, list[str]]
     """Wide rows of the features that half of the documents have, gaps filled with medians."""
     v = long.filter(F.col("label").isin(HUMAN, AI) & ~F.col("feature").startswith("det_"))
     n = v.select("doc_id").distinct().count()
-    stats = v.filter("value IS NOT NULL").groupBy("feature").agg(F.count("*").alias("k"), F.percentile("value", 0.5).alias("median"), F.stddev("value").alias("sd"))
+    stats = v.filter("value IS NOT NULL").groupBy("feature").agg(F.count("*").alias("k"), F.stddev("value").alias("sd"))
+    stats = stats.join(percentiles(v, "feature", "value", {"median": 0.5}), "feature")
     med = {r["feature"]: r["median"] for r in stats.filter((F.col("k") >= present * n) & (F.col("sd") > 0)).collect()}  # one row a feature
     names = sorted(med)
     wide = v.groupBy("doc_id", "label").pivot("feature", names).agg(F.first("value", ignorenulls=True)) if names else v.select("doc_id", "label").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inkstat.functions import lexicons as lx
 from inkstat.functions import text as tx
+from inkstat.runtime import cut, spread
 
 
 def grams(tokens: Column, n: int) -> Column:
@@ -20,14 +21,20 @@ def grams(tokens: Column, n: int) -> Column:
 
 def counts(docs: DataFrame, n: int, least: int = 1) -> DataFrame:
     """``(gram, n)``: n-grams of all documents, across sentences and not across documents, that come up ``least`` times."""
-    low = docs.filter("text IS NOT NULL").select(tx.lower_tokens(F.col("text")).alias("low"))
+    low = spread(docs.filter("text IS NOT NULL").select("doc_id", "text"), "doc_id").select(tx.lower_tokens(F.col("text")).alias("low"))
     return low.select(F.explode(grams(F.col("low"), n)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def reference(docs: DataFrame, uni: int = 2, bi: int = 5, tri: int = 4) -> DataFrame:
-    """``(size, gram, n)`` of the three orders with their thresholds."""
-    parts = [counts(docs, k, t).select(F.lit(k).alias("size"), "gram", "n") for k, t in ((1, uni), (2, bi), (3, tri))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """``(size, gram, n)`` of the three orders with their thresholds, in one reading and one shuffle."""
+    low = spread(docs.filter("text IS NOT NULL").select("doc_id", "text"), "doc_id").select(tx.lower_tokens(F.col("text")).alias("low"))
+    all_ = F.concat(*[F.transform(grams(F.col("low"), k), _sized(k)) for k in (1, 2, 3)])
+    g = low.select(F.explode(all_).alias("g")).groupBy("g.size", "g.gram").agg(F.count("*").alias("n"))
+    return g.filter(F.col("n") >= F.when(F.col("size") == 1, uni).when(F.col("size") == 2, bi).otherwise(tri))
+
+
+def _sized(k: int):
+    return lambda g: F.struct(F.lit(k).alias("size"), g.alias("gram"))
 
 
 def total_words(docs: DataFrame) -> DataFrame:
@@ -62,6 +69,14 @@ def formula_coverage(drafts: DataFrame, docs: DataFrame, k: int = 60, low: float
     return d.select("doc_id", c.alias("coverage"), F.when(c < low, "low").otherwise("in range").alias("verdict"))
 
 
+def missing_shown(drafts: DataFrame, docs: DataFrame, k: int = 60, shown: int = 8, low: float = 0.07) -> DataFrame:
+    """``(doc_id, place, gram, per_million)``: for drafts of low coverage the ``shown`` most frequent formulas they do not use."""
+    low_ = formula_coverage(drafts, docs, k, low).filter("verdict = 'low'").select("doc_id")
+    m = missing_formulas(drafts, docs, k).join(low_, "doc_id", "left_semi")
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("per_million"), F.desc("gram")))
+    return m.withColumn("place", place.cast("bigint")).filter(F.col("place") <= shown).select("doc_id", "place", "gram", "per_million")
+
+
 def unattested_pairs(drafts: DataFrame, docs: DataFrame, twice: int = 2, bi: int = 5) -> DataFrame:
     """``(doc_id, gram, n)``: pairs a draft uses at least twice and the reference under five times; short words and
     pairs of function words are passed over."""
@@ -89,11 +104,14 @@ def continuations(drafts: DataFrame, docs: DataFrame, k: int = 4, bi: int = 5, t
     s = drafts.filter("text IS NOT NULL").select("doc_id", F.posexplode(tx.simple_sentences(F.col("text"))).alias("sent_no", "sent"))
     s = s.filter(F.size(tx.split_words(F.col("sent"))) > 3)
     s = s.select("doc_id", "sent_no", F.explode(grams(tx.lower_tokens(F.col("sent")), 3)).alias("gram"))
-    ref = counts(docs, 3, tri)
+    both = cut(reference(docs, 1 << 30, bi, tri))  # pairs and trigrams counted once
+    ref = both.filter("size = 3").select("gram", "n")
     miss = s.join(ref.select("gram"), "gram", "left_anti").withColumn("pair", F.substring_index("gram", " ", 2))
     by = W.partitionBy("pair").orderBy(F.desc("n"), "word")
-    top = ref.select(F.substring_index("gram", " ", 2).alias("pair"), F.substring_index("gram", " ", -1).alias("word"), "n").withColumn("place", F.row_number().over(by)).filter(F.col("place") <= k)
+    asked = miss.select("pair").distinct()  # nothing is suggested for other pairs
+    top = ref.withColumn("pair", F.substring_index("gram", " ", 2)).join(asked, "pair", "left_semi")
+    top = top.select("pair", F.substring_index("gram", " ", -1).alias("word"), "n").withColumn("place", F.row_number().over(by)).filter(F.col("place") <= k)
     top = top.groupBy("pair").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word", "n"))), lambda z: F.concat(z["word"], F.lit(" ("), z["n"].cast("string"), F.lit(")"))), ", ").alias("suggestions"))
-    pairs = counts(docs, 2, bi).select(F.col("gram").alias("pair"), F.lit(True).alias("known"))
+    pairs = both.filter("size = 2").select(F.col("gram").alias("pair"), F.lit(True).alias("known"))
     x = miss.join(top, "pair", "left").join(pairs, "pair", "left")
     return x.select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), "gram", F.coalesce("known", F.lit(False)).alias("attested_pair"), F.coalesce("suggestions", F.lit("")).alias("suggestions"))

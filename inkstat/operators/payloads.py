@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkstat.operators.statistics import percentiles
+
 BINS = (10, 100, 1000)
 
 
@@ -71,6 +76,39 @@ def cross_ratio(dist: DataFrame) -> DataFrame:
     return g.select("doc_id", F.try_divide("a", "b").alias("det_ratio"))
 
 
+def same_vocabulary(observer: DataFrame, performer: DataFrame) -> DataFrame:
+    """``(same, only_observer, only_performer)`` of two vocabularies ``(word, id)``: a ratio of two models is defined only where both
+    number the same tokens alike."""
+    x = observer.select("word", F.col("id").alias("a")).join(performer.select("word", F.col("id").alias("b")), "word", "full_outer")
+    g = x.agg(F.count_if(F.expr("a IS NOT NULL AND NOT a <=> b")).alias("only_observer"), F.count_if(F.expr("b IS NOT NULL AND NOT a <=> b")).alias("only_performer"))
+    return g.select(((F.col("only_observer") == 0) & (F.col("only_performer") == 0)).alias("same"), "only_observer", "only_performer")
+
+
+def fan_out(docs: DataFrame, detectors: dict[str, Callable[[str], float]]) -> DataFrame:
+    """``(doc_id, det_<name>, det_<name>_error ...)``: each detector over each text. One that fails on a text gives null and an error
+    flag of 1 for it and does not stop the others; a text that is null or empty has nulls and no flags."""
+    names = list(detectors)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            rows = []
+            for i, t in zip(b["doc_id"], b["text"]):
+                row = [i]
+                for n in names:
+                    v, e = None, None
+                    if t:
+                        try:
+                            v = float(detectors[n](t))
+                        except Exception:  # noqa: BLE001 - one bad model must not lose the run
+                            e = 1.0
+                    row += [None if v is None or v != v else v, e]
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=["doc_id", *[c for n in names for c in (f"det_{n}", f"det_{n}_error")]])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, " + ", ".join(f"det_{n} double, det_{n}_error double" for n in names))
+
+
 def detector_answers(payloads: DataFrame) -> DataFrame:
     """One flat row for each document, from its latest attempt that holds a document; what is missing or of another type is null.
 
@@ -98,7 +136,9 @@ def detector_answers(payloads: DataFrame) -> DataFrame:
 def probe_medians(answers: DataFrame, docs: DataFrame) -> DataFrame:
     """``(source, n, median_prob)`` of the detector's verdicts by source."""
     x = answers.join(docs.select("doc_id", F.lower(F.trim("source")).alias("source")).dropDuplicates(["doc_id"]), "doc_id")
-    return x.groupBy("source").agg(F.count("completely_generated_prob").alias("n"), F.percentile("completely_generated_prob", 0.5).alias("median_prob"))
+    n = x.groupBy("source").agg(F.count("completely_generated_prob").alias("n"))
+    m = percentiles(x, "source", "completely_generated_prob", {"median_prob": 0.5}).withColumnRenamed("source", "_source")
+    return n.join(m, F.col("source").eqNullSafe(F.col("_source")), "left").select("source", "n", "median_prob")
 
 
 CLAUSES = ("ROOT", "ccomp", "xcomp", "advcl", "relcl", "acl")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkstat.functions import text as tx
+from inkstat.operators.statistics import by_place
 
 
 def word_floor(docs: DataFrame, least: int = 200) -> DataFrame:
@@ -68,12 +69,32 @@ def accepted(docs: DataFrame, floor: int, target: str = "target_words", share: f
     return docs.filter((n >= floor) & (n >= share * F.coalesce(F.col(target), F.lit(0))))
 
 
+def length_ratios(docs: DataFrame, target: str = "target_words") -> DataFrame:
+    """``(n, p10, median, p90, short)`` of the words of generated texts over those asked for, by place ``n // 10``, ``n // 2`` and
+    ``9 n // 10``; ``short`` says that they fall materially short. Texts without a target are passed over."""
+    n = tx.count(F.col("text"), f"{tx.NOT_WS}+")
+    r = docs.filter(F.col(target) > 0).select(F.lit("all").alias("g"), (n / F.col(target)).alias("r"))
+    x = by_place(r, "g", "r", {"p10": (1, 10), "median": (1, 2), "p90": (9, 10)})
+    return x.select("n", "p10", "median", "p90", (F.col("median") < 0.7).alias("short"))
+
+
+def usable_titles(docs: DataFrame, least: int = 800) -> DataFrame:
+    """``(doc_id, title)``: clean titles of texts of ``least`` or more words, as prompts; once each."""
+    x = word_floor(docs.filter("title IS NOT NULL AND text IS NOT NULL"), least).select("doc_id", tx.clean_title(F.col("title")).alias("title"))
+    return x.filter("title <> ''").groupBy("doc_id").agg(F.min("title").alias("title"))
+
+
 def repeats_existing(existing: Column, addition: Column, words: int = 12) -> Column:
     """Whether an addition begins with words the text already holds."""
     head = F.array_join(F.slice(tx.split_words(F.lower(addition)), 1, words), " ")
     return (head != "") & F.contains(F.array_join(tx.split_words(F.lower(existing)), " "), head)
 
 
+def draft_register(register: Column) -> Column:
+    """The register a draft is read in; paper where none of the three is asked for."""
+    return F.when(register.isin("paper", "letter", "docs"), register).otherwise("paper")
+
+
 def draft_status(text: Column, words: int = 5_000, chars: int = 40_000) -> Column:
     """200, 400 for fewer than five words, 413 beyond the limits."""
     n = tx.count(F.coalesce(text, F.lit("")), f"{tx.NOT_WS}+")

@@ -37,34 +37,63 @@ def cohens_d(long: DataFrame, *by: str) -> DataFrame:
     return g.withColumn("cohens_d", d).drop("vh", "va")
 
 
-def counted_before(values: DataFrame, by: str, value: str, n: str, cells: int = 256) -> DataFrame:
+def counted_before(values: DataFrame, by: str | list[str], value: str, n: str, cells: int = 64) -> DataFrame:
     """Adds ``before``: how many there are with a smaller value, for rows of distinct values with counts.
 
-    The order over all values is not one window: values are cut into ranges, the ranges are counted and ordered, and the place
-    inside a range is added.
+    The order over all values is not one window: values are cut into ranges of about as many distinct values each (approximate
+    quantiles are the edges, so that an outlier draws nothing together), the ranges are counted and ordered, and the place inside a
+    range is added.
     """
-    edges = values.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    cell = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (cells - 1))).otherwise(0)
-    v = values.join(edges, by).withColumn("_cell", cell).drop("_lo", "_hi")
-    c = v.groupBy(by, "_cell").agg(F.sum(n).alias("_t"))
-    ahead = W.partitionBy(by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    by = [by] if isinstance(by, str) else by
+    edges = values.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.percentile_approx(value, [i / cells for i in range(1, cells)], 20 * cells).alias("_q"))
+    cell = F.size(F.filter("_q", lambda e: e < F.col(value)))
+    v = values.join(edges, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]).select(*values.columns, cell.alias("_cell"))
+    c = v.groupBy(*by, "_cell").agg(F.sum(n).alias("_t"))
+    ahead = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     c = c.withColumn("_ahead", F.coalesce(F.sum("_t").over(ahead), F.lit(0))).drop("_t")
-    inside = W.partitionBy(by, "_cell").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    v = v.withColumn("_within", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(c, [by, "_cell"])
-    return v.withColumn("before", F.col("_ahead") + F.col("_within")).drop("_cell", "_within", "_ahead")
+    inside = W.partitionBy(*by, "_cell").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    v = v.withColumn("_within", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    c = c.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("_cell").alias("_c"), "_ahead")
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by] + [F.col("_cell") == F.col("_c")]
+    v = v.join(c, on)
+    return v.withColumn("before", F.col("_ahead") + F.col("_within")).drop("_cell", "_c", "_within", "_ahead", *[f"_{k}" for k in by])
 
 
-def order_statistics(long: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+def _places(long: DataFrame, by: str | list[str], value: str) -> DataFrame:
+    """Distinct values of each group with their number ``_k``, ``before``, and the size ``_n`` of the group."""
+    by = [by] if isinstance(by, str) else by
+    v = long.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
+    v = counted_before(v, by, value, "_k")
+    n = v.groupBy(*by).agg(F.sum("_k").alias("_n")).select(*[F.col(k).alias(f"_{k}") for k in by], "_n")
+    return v.join(n, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]).drop(*[f"_{k}" for k in by])
+
+
+def _at(place: Column, value: str) -> Column:
+    return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("_k")), F.col(value)))
+
+
+def order_statistics(long: DataFrame, by: str | list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """For each group and share q the value at rank floor(q (n - 1)), an element of the data."""
-    v = long.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_k"))
-    n = v.groupBy(by).agg(F.sum("_k").alias("_n"))
-    v = counted_before(v, by, value, "_k").join(n, by)
+    keys = [by] if isinstance(by, str) else by
+    return _places(long, by, value).groupBy(*keys).agg(*[_at(F.floor(F.lit(q) * (F.col("_n") - 1)), value).alias(k) for k, q in shares.items()])
 
-    def at(q: float) -> Column:
-        place = F.floor(F.lit(q) * (F.col("_n") - 1))
-        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("_k")), F.col(value)))
 
-    return v.groupBy(by).agg(*[at(q).alias(k) for k, q in shares.items()])
+def by_place(long: DataFrame, by: str, value: str, parts: dict[str, tuple[int, int]]) -> DataFrame:
+    """``(by, n, ...)``: for each group the values at place ``n * a // b``, counted from 0."""
+    place = {k: F.expr(f"_n * {a} div {b}") for k, (a, b) in parts.items()}
+    return _places(long, by, value).groupBy(by).agg(F.max("_n").alias("n"), *[_at(p, value).alias(k) for k, p in place.items()])
+
+
+def percentiles(long: DataFrame, by: str | list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """For each group and share q the percentile by linear interpolation, exact. No group's values come together in one task."""
+    keys = [by] if isinstance(by, str) else by
+    place = {k: F.lit(float(q)) * (F.col("_n") - 1) for k, q in shares.items()}
+    cols = []
+    for k, p in place.items():
+        cols += [_at(F.floor(p), value).alias(f"_lo_{k}"), _at(F.ceil(p), value).alias(f"_hi_{k}"), F.max(p - F.floor(p)).alias(f"_part_{k}")]
+    g = _places(long, by, value).groupBy(*keys).agg(*cols)
+    between = [(F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * F.col(f"_part_{k}")).cast("double").alias(k) for k in shares]
+    return g.select(*keys, *between)
 
 
 def rank_sums(long: DataFrame) -> DataFrame:
@@ -108,13 +137,16 @@ def separation(long: DataFrame, least: int = 5) -> DataFrame:
     v = long.filter("value IS NOT NULL")
     g = v.groupBy("feature").agg(
         F.count(_h("value")).alias("n_human"), F.count(_a("value")).alias("n_ai"), F.avg(_h("value")).alias("human_mean"), F.stddev_samp(_h("value")).alias("human_sd"),
-        F.percentile(_h("value"), [0.25, 0.5, 0.75]).alias("hp"), F.avg(_a("value")).alias("ai_mean"), F.stddev_samp(_a("value")).alias("ai_sd"), F.percentile(_a("value"), 0.5).alias("ai_p50"),
+        F.avg(_a("value")).alias("ai_mean"), F.stddev_samp(_a("value")).alias("ai_sd"),
     ).filter((F.col("n_human") >= least) & (F.col("n_ai") >= least))
     d = pooled_d(F.col("n_human"), F.col("human_mean"), F.col("human_sd") ** 2, F.col("n_ai"), F.col("ai_mean"), F.col("ai_sd") ** 2)
-    g = g.withColumn("cohens_d", d).join(mann_whitney(v).select("feature", "p_raw"), "feature")
+    p = percentiles(v.filter(F.col("label").isin(HUMAN, AI)), ["feature", "label"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    h = p.filter(F.col("label") == HUMAN).select("feature", *[F.col(c).alias(f"human_{c}") for c in ("p25", "p50", "p75")])
+    a = p.filter(F.col("label") == AI).select("feature", F.col("p50").alias("ai_p50"))
+    g = g.withColumn("cohens_d", d).join(mann_whitney(v).select("feature", "p_raw"), "feature").join(h, "feature").join(a, "feature")
     g = benjamini_hochberg(g)
     return g.select(
-        "feature", feature_group(F.col("feature")).alias("group"), "human_mean", "human_sd", F.col("hp")[0].alias("human_p25"), F.col("hp")[1].alias("human_p50"), F.col("hp")[2].alias("human_p75"),
+        "feature", feature_group(F.col("feature")).alias("group"), "human_mean", "human_sd", "human_p25", "human_p50", "human_p75",
         "ai_mean", "ai_sd", "ai_p50", "cohens_d", "p_raw", "p_adj", F.abs("cohens_d").alias("abs_d"),
     )
 
@@ -133,19 +165,21 @@ def length_balance(long: DataFrame) -> DataFrame:
     """One row: medians of the word counts of either side, their effect size, flags; none under three documents a side."""
     v = long.filter("feature = 'n_words' AND value IS NOT NULL")
     g = v.groupBy().agg(
-        F.count(_h("value")).alias("n1"), F.count(_a("value")).alias("n2"), F.percentile(_h("value"), 0.5).alias("human_median"), F.percentile(_a("value"), 0.5).alias("ai_median"),
+        F.count(_h("value")).alias("n1"), F.count(_a("value")).alias("n2"),
         F.avg(_h("value")).alias("m1"), F.avg(_a("value")).alias("m2"), F.var_samp(_h("value")).alias("v1"), F.var_samp(_a("value")).alias("v2"),
     ).filter("n1 >= 3 AND n2 >= 3")
-    g = g.withColumn("cohens_d", pooled_d(*map(F.col, ("n1", "m1", "v1", "n2", "m2", "v2"))))
+    m = percentiles(v.filter(F.col("label").isin(HUMAN, AI)), "label", "value", {"m": 0.5})
+    m = m.agg(F.max(_h("m")).alias("human_median"), F.max(_a("m")).alias("ai_median"))
+    g = g.crossJoin(F.broadcast(m)).withColumn("cohens_d", pooled_d(*map(F.col, ("n1", "m1", "v1", "n2", "m2", "v2"))))  # one row each
     return g.select("human_median", "ai_median", "cohens_d", (F.abs("cohens_d") > 0.8).alias("severe"), (F.abs("cohens_d") > 0.3).alias("notable"))
 
 
 def profile(long: DataFrame, least: int = 5) -> DataFrame:
     """``(feature, n, mean, sd, p05, p25, p50, p75, p95)`` of the human side."""
-    g = long.filter((F.col("label") == HUMAN) & F.col("value").isNotNull()).groupBy("feature").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", [0.05, 0.25, 0.5, 0.75, 0.95]).alias("p")
-    )
-    return g.filter(F.col("n") >= least).select("feature", "n", "mean", "sd", *[F.col("p")[i].alias(f"p{q:02d}") for i, q in enumerate((5, 25, 50, 75, 95))])
+    v = long.filter((F.col("label") == HUMAN) & F.col("value").isNotNull())
+    g = v.groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).filter(F.col("n") >= least)
+    shares = {f"p{q:02d}": q / 100 for q in (5, 25, 50, 75, 95)}
+    return g.join(percentiles(v, "feature", "value", shares), "feature").select("feature", "n", "mean", "sd", *shares)
 
 
 def roc_auc(long: DataFrame, least: int = 20) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstat.functions import text as tx
+from inkstat.functions import numbers as nu
 from inkstat.operators import blocks as bl
 
 WIDTH, STRIDE, UNIFORM_CV = 8, 1, 0.35
@@ -15,62 +16,88 @@ HIGH_IS_UNIFORM = ("w_head_repeat",)
 METRICS = ("w_sent_len_mean", "w_sent_len_sd", "w_sent_len_cv", "w_sent_len_range", "w_neighbour_delta", "w_ttr", "w_head_repeat", "w_comma_rate", "w_n_words")
 
 
-def sentence_rows(docs: DataFrame) -> DataFrame:
-    """``(doc_id, pos, total, sent, n, low)``: one row for each sentence."""
-    d = bl.prepared(docs).select("doc_id", F.size("sents").alias("total"), F.posexplode("sents").alias("pos", "sent"))
-    return d.withColumn("low", tx.lower_tokens(F.col("sent"))).withColumn("n", F.size("low"))
+def _variation(ln: Column) -> Column:
+    """Spread of lengths over their mean; 0 without words."""
+    return nu.moments(ln, lambda n, m, m2: F.when(m > 0, F.when(n > 1, F.sqrt(m2 / (n - 1))).otherwise(0.0) / m).otherwise(0.0))
+
+
+def _field(c: str) -> Callable[[Column], Column]:
+    return lambda x: x[c]
+
+
+def _starts(d: DataFrame, width: int, stride: int) -> Column:
+    """Where windows begin; a document of fewer sentences is one window."""
+    return F.sequence(F.lit(0), F.greatest(F.size("lens") - width, F.lit(0)), F.lit(stride))
+
+
+def _measures(i: Column, width: int) -> Column:
+    """The struct of one window that begins at sentence ``i``."""
+
+    def cut(c: str) -> Column:
+        return F.slice(F.col(f"all.{c}"), i + 1, width)
+
+    ln, words = cut("lens"), nu.total(cut("lens"))
+    tokens = F.flatten(cut("sent_toks"))
+    first = F.get("all.sents", i)
+    values = {
+        "w_sent_len_mean": nu.mean(ln), "w_sent_len_sd": nu.moments(ln, lambda n, m, m2: F.when(n > 1, F.sqrt(m2 / (n - 1))).otherwise(0.0)), "w_sent_len_cv": _variation(ln),
+        "w_sent_len_range": (F.array_max(ln) - F.array_min(ln)).cast("double"), "w_neighbour_delta": nu.steps(ln),
+        "w_ttr": F.size(F.array_distinct(tokens)) / F.size(tokens), "w_head_repeat": 1.0 - F.size(F.array_distinct(cut("heads"))) / F.size(ln),
+        "w_comma_rate": 1000.0 * nu.total(cut("commas")) / words, "w_n_words": words,
+    }
+    preview = F.when(F.length(first) > 110, F.concat(F.substring(first, 1, 110), F.lit("..."))).otherwise(first)
+    return F.struct(i.cast("bigint").alias("win_start"), F.size(ln).cast("bigint").alias("n_sentences"), preview.alias("preview"), *[values[c].alias(c) for c in METRICS])
+
+
+def windows(docs: DataFrame, width: int = WIDTH, stride: int = STRIDE) -> DataFrame:
+    """``(doc_id, ws)``: the measures of all windows of a document as one array, made inside its row, so that nothing is shuffled."""
+    d = bl.prepared(docs).withColumn("commas", F.transform("sents", lambda s: F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))))
+    # one struct that is named many times: arrays named once would be made anew for every window
+    d = d.filter(F.size("parts") > 0).select("doc_id", "lens", F.struct("sents", "lens", "sent_toks", "heads", "commas").alias("all"))
+    return d.select("doc_id", F.transform(_starts(d, width, stride), lambda i: _measures(i, width)).alias("ws"))
 
 
 def window_metrics(docs: DataFrame, width: int = WIDTH, stride: int = STRIDE) -> DataFrame:
     """``(doc_id, win_start, n_sentences, preview, nine measures)``: each window of ``width`` sentences; a shorter document is one
-    window. One window function pass over rows hashed by document, nothing else is shuffled."""
-    w = W.partitionBy("doc_id").orderBy("pos").rowsBetween(0, width - 1)
-    r = sentence_rows(docs)
-    r = r.withColumn("commas", F.length("sent") - F.length(F.replace("sent", F.lit(","), F.lit(""))))
-    r = r.withColumn("next_n", F.lead("n").over(W.partitionBy("doc_id").orderBy("pos")))
-    inner = W.partitionBy("doc_id").orderBy("pos").rowsBetween(0, width - 2)
-    r = r.withColumns({
-        "n_sentences": F.count("*").over(w), "m": F.avg("n").over(w), "sd": F.coalesce(F.stddev_samp("n").over(w), F.lit(0.0)), "words": F.sum("n").over(w),
-        "w_sent_len_range": (F.max("n").over(w) - F.min("n").over(w)).cast("double"), "w_neighbour_delta": F.coalesce(F.avg(F.abs(F.col("next_n") - F.col("n"))).over(inner), F.lit(0.0)),
-        "all_words": F.flatten(F.collect_list("low").over(w)), "all_heads": F.collect_list(F.get("low", 0)).over(w), "all_commas": F.sum("commas").over(w),
-    })
-    r = r.filter((F.col("pos") <= F.greatest(F.col("total") - width, F.lit(0))) & (F.col("pos") % stride == 0) & (F.col("words") > 0))
-    return r.select(
-        "doc_id", F.col("pos").cast("bigint").alias("win_start"), F.col("n_sentences").cast("bigint").alias("n_sentences"),
-        F.when(F.length("sent") > 110, F.concat(F.substring("sent", 1, 110), F.lit("..."))).otherwise(F.col("sent")).alias("preview"),
-        F.col("m").alias("w_sent_len_mean"), F.col("sd").alias("w_sent_len_sd"), F.when(F.col("m") > 0, F.col("sd") / F.col("m")).otherwise(0.0).alias("w_sent_len_cv"),
-        "w_sent_len_range", "w_neighbour_delta", (F.size(F.array_distinct("all_words")) / F.size("all_words")).alias("w_ttr"),
-        (1.0 - F.size(F.array_distinct("all_heads")) / F.size("all_heads")).alias("w_head_repeat"), (1000.0 * F.col("all_commas") / F.col("words")).alias("w_comma_rate"),
-        F.col("words").cast("double").alias("w_n_words"),
-    )
+    window."""
+    # not the column itself: from that a filter on its size is inferred, which would make the array once more
+    some = F.filter("ws", lambda w: w["w_n_words"] > 0)
+    return windows(docs, width, stride).select("doc_id", F.explode(some).alias("w")).select("doc_id", "w.*")
 
 
 def window_tails(docs: DataFrame, width: int = WIDTH, stride: int = STRIDE) -> DataFrame:
     """Mean, deviation, worst and quarter of each measure over a document's windows, and its uniform share and runs."""
-    m = window_metrics(docs, width, stride)
-    aggs = [F.count("*").cast("bigint").alias("n_windows")]
+    w = windows(docs, width, stride)
+    w = w.withColumns({f"up_{c}": F.array_sort(F.transform("ws", _field(c))) for c in METRICS})
+    cols = [F.size("ws").cast("bigint").alias("n_windows")]
     for c in METRICS:
-        high = c in HIGH_IS_UNIFORM
-        aggs += [
-            F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_sd"), F.percentile(c, 0.95 if high else 0.05).alias(f"{c}_worst"),
-            F.percentile(c, 0.75 if high else 0.25).alias(f"{c}_p75" if high else f"{c}_p25"),
+        high, up = c in HIGH_IS_UNIFORM, F.col(f"up_{c}")
+        cols += [
+            nu.mean(up).alias(f"{c}_mean"), nu.moments(up, lambda n, m, m2: F.sqrt(m2 / n)).alias(f"{c}_sd"), nu.linear(up, 0.95 if high else 0.05).alias(f"{c}_worst"),
+            nu.linear(up, 0.75 if high else 0.25).alias(f"{c}_p75" if high else f"{c}_p25"),
         ]
-    aggs.append(F.avg((F.col("w_sent_len_cv") < UNIFORM_CV).cast("int")).alias("frac_uniform_windows"))
-    return m.groupBy("doc_id").agg(*aggs)
+    uniform = F.size(F.filter("ws", lambda x: x["w_sent_len_cv"] < UNIFORM_CV))
+    return w.select("doc_id", *cols, (uniform / F.size("ws")).alias("frac_uniform_windows"))
 
 
 def uniform_runs(docs: DataFrame, width: int = WIDTH, stride: int = STRIDE, cv: float = UNIFORM_CV) -> DataFrame:
-    """``(doc_id, n_windows, longest_uniform_run, longest_uniform_run_frac)``: islands of uniform windows."""
-    m = window_metrics(docs, width, stride).select("doc_id", "win_start", (F.col("w_sent_len_cv") < cv).alias("u"))
-    by = W.partitionBy("doc_id").orderBy("win_start")
-    m = m.withColumn("island", F.sum(F.when(F.col("u"), 0).otherwise(1)).over(by))
-    runs = m.groupBy("doc_id", "island").agg(F.count_if("u").alias("run"), F.count("*").alias("k"))
-    g = runs.groupBy("doc_id").agg(F.sum("k").cast("bigint").alias("n_windows"), F.max("run").cast("bigint").alias("longest_uniform_run"))
-    return g.withColumn("longest_uniform_run_frac", F.col("longest_uniform_run") / F.col("n_windows"))
+    """``(doc_id, n_windows, longest_uniform_run, longest_uniform_run_frac)``: the longest run of uniform windows, found in one
+    pass over the lengths of sentences."""
+    d = bl.prepared(docs).filter(F.size("parts") > 0)
+    even = F.transform(_starts(d, width, stride), lambda i: _variation(F.slice("lens", i + 1, width)) < cv)
+    d = d.select("doc_id", even.alias("even"))
+
+    def step(a: Column, e: Column) -> Column:
+        run = F.when(e, a["run"] + 1).otherwise(F.lit(0))
+        return F.struct(run.alias("run"), F.greatest(a["best"], run).alias("best"))
+
+    best = F.aggregate("even", F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")), step, lambda a: a["best"].cast("bigint"))
+    d = d.select("doc_id", F.size("even").cast("bigint").alias("n_windows"), best.alias("longest_uniform_run"))
+    return d.withColumn("longest_uniform_run_frac", F.col("longest_uniform_run") / F.col("n_windows"))
 
 
 def most_uniform(docs: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` windows of each document with the least variation of sentence length."""
-    by = W.partitionBy("doc_id").orderBy("w_sent_len_cv", "win_start")
-    m = window_metrics(docs).withColumn("place", F.row_number().over(by))
-    return m.filter(F.col("place") <= k)
+    first = F.slice(F.array_sort(F.transform("ws", lambda x: F.struct(x["w_sent_len_cv"].alias("cv"), x["win_start"].alias("at"), x.alias("w")))), 1, k)
+    w = windows(docs).select("doc_id", F.posexplode(first).alias("place", "f"))
+    return w.select("doc_id", (F.col("place") + 1).alias("place"), "f.w.*")

@@ -10,35 +10,26 @@ from inkstat.operators import blocks as bl
 from inkstat.operators import models as mo
 from inkstat.operators import scoring as sc
 from inkstat.operators import statistics as st
+from inkstat.plans import documents as dc
 from inkstat.plans import sql as s
 from inkstat.plans.documents import _rounded
 from inkstat.runtime import cut, table
 
-_LISTS = (("hedge_rate", lx.HEDGES), ("booster_rate", lx.BOOSTERS), ("transition_rate", lx.TRANSITIONS), ("first_person_rate", lx.FIRST_PERSON))
+#: Measures are kept to so many places, so that equal ones tie in every engine.
+PLACES = 6
 
 
 def labelled(spark, d) -> DataFrame:
-    """``(doc_id, label, source, feature, value)`` of the corpus, written once; each document once. Repeated rows are dropped after
-    the texts have become numbers, so that no text is shuffled."""
+    """``(doc_id, label, source, feature, value)``: all measures of the corpus, written once; each document once. Repeated rows are
+    dropped after the texts have become numbers, so that no text is shuffled."""
     c = table(spark, d, "corpus").withColumns({"label": F.lower("label"), "source": F.lower(F.trim("source"))})
-    p = bl.prepared(c, ("doc_id", "label", "source"))
-    cols = bl.punctuation(p) | {k: bl.nu.rate(bl._among(v), F.col("n")) for k, v in _LISTS}
-    cols |= {"n_words": F.col("n").cast("double"), "type_count": F.size(F.array_distinct("low")).cast("double")}
-    w = p.select("doc_id", "label", "source", *[v.alias(k) for k, v in cols.items()]).dropDuplicates(["doc_id"])
-    f = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(k).alias("value")) for k in cols])).alias("f")
-    return cut(w.select("doc_id", "label", "source", f).select("doc_id", "label", "source", "f.feature", "f.value"))
-
-
-_VALUES = {
-    **{f"punct_{k}_rate": s.rate(s.mark_count("text", m), "n") for k, m in bl.MARKS},
-    "punct_long_dash_rate": s.rate(f"({s.mark_count('text', '—')} + {s.mark_count('text', '–')})", "n"),
-    **{k: s.rate(f"len(list_filter(low, lambda w: w IN {s.values(v)}))", "n") for k, v in _LISTS},
-    "n_words": "n", "type_count": "len(list_distinct(low))",
-}
+    w, names = bl.measures(c, ("doc_id", "label", "source"), places=PLACES)
+    return cut(bl.as_long(w.dropDuplicates(["doc_id"]), names, "doc_id", "label", "source"))
+
+
 _LONG = f"""c AS (SELECT DISTINCT ON (doc_id) doc_id, lower(label) AS label, lower(trim(source)) AS source, text FROM corpus WHERE length(text) > 0),
-t AS (SELECT *, len(toks) AS n, list_transform(toks, lambda w: lower(w)) AS low FROM (SELECT *, {s.tokens('text')} AS toks FROM c)),
-w AS (SELECT doc_id, label, source, {', '.join(f'({v})::DOUBLE AS {k}' for k, v in _VALUES.items())} FROM t),
-f AS (UNPIVOT w ON COLUMNS(* EXCLUDE (doc_id, label, source)) INTO NAME feature VALUE value)"""
+documents AS (SELECT doc_id, text FROM c), every AS ({dc.ALL_MEASURES}),
+f AS (SELECT doc_id, label, source, feature, round(value, {PLACES}) AS value FROM every JOIN c USING (doc_id))"""
 _D = """CASE WHEN n_human >= 2 AND n_ai >= 2 AND sqrt(((n_human - 1) * vh + (n_ai - 1) * va) / (n_human + n_ai - 2)) > 0
   THEN (ai_mean - human_mean) / sqrt(((n_human - 1) * vh + (n_ai - 1) * va) / (n_human + n_ai - 2)) ELSE 0.0 END"""
 _SIDES = """count(value) FILTER (label = 'human') AS n_human, count(value) FILTER (label = 'ai') AS n_ai, avg(value) FILTER (label = 'human') AS human_mean, avg(value) FILTER (label = 'ai') AS ai_mean,
@@ -57,7 +48,7 @@ def rank_sum_u(spark, d):
     return _rounded(st.rank_sums(labelled(spark, d)).drop("tie_sum"))
 
 
-_RANKS = f"""{_LONG}, l AS (SELECT * FROM f WHERE label IN ('human', 'ai')),
+_RANKS = f"""{_LONG}, l AS (SELECT * FROM f WHERE label IN ('human', 'ai') AND value IS NOT NULL),
 r AS (SELECT feature, label, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS r FROM l),
 u AS (SELECT feature, count(*) FILTER (label = 'human') AS n1, count(*) FILTER (label = 'ai') AS n2, sum(r) FILTER (label = 'human') AS r1 FROM r GROUP BY feature),
 v AS (SELECT feature, n1, n2, (r1 - n1 * (n1 + 1) / 2.0)::DOUBLE AS u FROM u)"""
@@ -110,7 +101,7 @@ def group_summary(spark, d):
     return _rounded(st.group_summary(x))
 
 
-_GROUP_OF = """CASE WHEN feature IN ('n_words') THEN 'surface' WHEN feature = 'type_count' THEN 'lexical' WHEN feature LIKE 'punct%' THEN 'punctuation' ELSE 'discourse' END"""
+_GROUP_OF = "CASE " + " ".join(f"WHEN regexp_matches(feature, {s.q('^(?:' + '|'.join(p) + ')')}) THEN '{g}'" for g, p in lx.FEATURE_GROUPS) + " ELSE 'other' END"
 _GSUM = f'WITH {_DS} SELECT {_GROUP_OF} AS "group", round(avg(abs(cohens_d)), 4) AS mean_abs_d, round(max(abs(cohens_d)), 4) AS max_abs_d, count(*) AS features FROM d GROUP BY 1'
 
 
@@ -130,7 +121,7 @@ def profile_bands(spark, d):
     return _rounded(st.profile(labelled(spark, d)))
 
 
-_PROFILE = f"""{_LONG}, pr AS (SELECT feature, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, quantile_cont(value, [0.05, 0.25, 0.5, 0.75, 0.95]) AS p FROM f WHERE label = 'human' GROUP BY feature HAVING count(*) >= 5)"""
+_PROFILE = f"""{_LONG}, pr AS (SELECT feature, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, quantile_cont(value, [0.05, 0.25, 0.5, 0.75, 0.95]) AS p FROM f WHERE label = 'human' GROUP BY feature HAVING count(value) >= 5)"""
 _BANDS = f"WITH {_PROFILE} SELECT feature, n, round(mean, 4) AS mean, round(sd, 4) AS sd, " + ", ".join(f"round(p[{i}], 4) AS p{q}" for i, q in enumerate(("05", "25", "50", "75", "95"), 1)) + " FROM pr"
 
 
@@ -142,15 +133,28 @@ def zscore_ranking(spark, d):
 
 
 _Z = f"""WITH {_PROFILE}, g AS (SELECT feature, {_SIDES} FROM f GROUP BY feature), d AS (SELECT feature, {_D} AS cohens_d FROM g),
-z AS (SELECT doc_id, f.feature, value, (value - p[3]) / sd AS z, abs(cohens_d) AS weight FROM f JOIN pr USING (feature) JOIN d USING (feature) WHERE source = 'draft' AND sd > 0 AND f.feature NOT IN {s.values(lx.LENGTH_FEATURES)})
+z AS (SELECT doc_id, f.feature, value, (value - p[3]) / sd AS z, abs(cohens_d) AS weight FROM f JOIN pr USING (feature) JOIN d USING (feature) WHERE source = 'draft' AND value IS NOT NULL AND sd > 0 AND f.feature NOT IN {s.values(lx.LENGTH_FEATURES)})
 SELECT doc_id, feature, round(value, 4) AS value, round(z, 4) AS z, round(abs(z) * (0.25 + weight), 4) AS priority FROM z"""
 
 
+def zscore_length_gap(spark, d):
+    """The same without measures that drift with length, for drafts less than half or more than twice as long as the median paper."""
+    long = labelled(spark, d)
+    drafts = long.filter("source = 'draft'")
+    median = st.percentiles(long.filter("label = 'human' AND feature = 'n_words'"), "feature", "value", {"m": 0.5}).first()
+    x = sc.length_gap(sc.z_scores(drafts, st.profile(long), st.cohens_d(long)), drafts.filter("feature = 'n_words'").select("doc_id", F.col("value").alias("n_words")), median["m"] if median else None)
+    return _rounded(x.select("doc_id", "feature", "z"))
+
+
 def within_one_sd(spark, d):
     long = labelled(spark, d)
     return sc.within_one(sc.z_scores(long.filter("source = 'draft'"), st.profile(long), st.cohens_d(long)))
 
 
+_ZGAP = f"""WITH {_PROFILE}, g AS (SELECT feature, {_SIDES} FROM f GROUP BY feature),
+n AS (SELECT doc_id, value AS n_words, (SELECT p[3] FROM pr WHERE feature = 'n_words') AS median FROM f WHERE source = 'draft' AND feature = 'n_words')
+SELECT doc_id, feature, round((value - p[3]) / sd, 4) AS z FROM f JOIN pr USING (feature) JOIN g USING (feature) JOIN n USING (doc_id) WHERE source = 'draft' AND value IS NOT NULL AND sd > 0
+  AND feature NOT IN {s.values(lx.LENGTH_FEATURES)} AND (n_words / median BETWEEN 0.5 AND 2 OR feature NOT IN {s.values(lx.LENGTH_SENSITIVE)})"""
 _WITHIN = f"SELECT doc_id, count(*) FILTER (abs(z) <= 1) AS inside, count(*) AS features FROM ({_Z}) GROUP BY doc_id"
 
 
@@ -171,7 +175,7 @@ def constant_features(spark, d):
     return v.groupBy("feature").agg(F.count_distinct("value").alias("n_distinct"))
 
 
-_VARY = f"WITH {_LONG} SELECT feature, count(DISTINCT value) AS n_distinct FROM f GROUP BY feature HAVING count(DISTINCT value) > 1"
+_VARY = f"WITH {_LONG} SELECT feature, count(DISTINCT value) AS n_distinct FROM f GROUP BY feature HAVING count(DISTINCT value) + max((value IS NULL)::INT) > 1"
 
 
 def discriminative_model(spark, d):
@@ -185,6 +189,6 @@ def permutation_null(spark, d):
 QUERIES = {
     "cohens_d": (cohens_d, _COHEN), "rank_sum_u": (rank_sum_u, _RANK), "roc_auc": (roc_auc, _AUC), "bh_adjust": (bh_adjust, _BH), "separation": (separation, None),
     "separation_stats": (separation_stats, _SEP), "separation_top": (separation_top, _TOP), "group_summary": (group_summary, _GSUM), "policy_rules": (policy_rules, None), "length_balance": (length_balance, _BALANCE),
-    "profile_bands": (profile_bands, _BANDS), "zscore_ranking": (zscore_ranking, _Z), "within_one_sd": (within_one_sd, _WITHIN), "replication": (replication, _REPL),
+    "profile_bands": (profile_bands, _BANDS), "zscore_ranking": (zscore_ranking, _Z), "zscore_length_gap": (zscore_length_gap, _ZGAP), "within_one_sd": (within_one_sd, _WITHIN), "replication": (replication, _REPL),
     "constant_features": (constant_features, _VARY), "discriminative_model": (discriminative_model, None), "permutation_null": (permutation_null, None),
 }

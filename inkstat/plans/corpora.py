@@ -110,10 +110,69 @@ SELECT bin::BIGINT AS bin, label, least(c, k)::BIGINT AS n FROM n JOIN k USING (
 
 
 def usable_titles(spark, d):
-    """Papers of 150 words or more with a title, as prompts."""
-    c = table(spark, d, "corpus").filter("lower(trim(source)) = 'pmc' AND title IS NOT NULL AND text IS NOT NULL")
-    x = pr.word_floor(c, 150).select("doc_id", tx.clean_title(F.col("title")).alias("title")).dropDuplicates(["doc_id"])
-    return x.filter("title <> ''")
+    """Papers with a title, as prompts. The corpus has no text of 800 words, the floor of the operator, so 150 is asked for."""
+    return pr.usable_titles(table(spark, d, "corpus").filter("lower(trim(source)) = 'pmc'"), 150)
+
+
+def length_ratios(spark, d):
+    """Words of generated texts over the words asked for."""
+    c = table(spark, d, "corpus").filter("lower(label) = 'ai' AND text IS NOT NULL")
+    t = F.coalesce(F.try_variant_get(F.try_parse_json("meta"), "$.target_words", "int"), F.lit(0))
+    return _rounded(pr.length_ratios(c.select("doc_id", "text", t.alias("target_words")).distinct()))
+
+
+_RATIOS = f"""WITH c AS (SELECT DISTINCT doc_id, text, coalesce(CASE WHEN json_valid(meta) THEN try_cast(meta->>'$.target_words' AS INT) END, 0) AS t FROM corpus WHERE lower(label) = 'ai' AND text IS NOT NULL),
+r AS (SELECT list_sort(list(len({s.WORDS})::DOUBLE / t)) AS r FROM c WHERE t > 0)
+SELECT len(r)::BIGINT AS n, round(r[len(r) // 10 + 1], 4) AS p10, round(r[len(r) // 2 + 1], 4) AS median, round(r[9 * len(r) // 10 + 1], 4) AS p90, r[len(r) // 2 + 1] < 0.7 AS short FROM r WHERE len(r) > 0"""
+
+
+def draft_registers(spark, d):
+    """Drafts by the register they are read in."""
+    r = F.try_variant_get(F.try_parse_json("meta"), "$.register", "string")
+    t = table(spark, d, "corpus").filter("lower(trim(source)) = 'draft'").select("doc_id", pr.draft_register(r).alias("register")).distinct()
+    return t.groupBy("register").agg(F.count("*").alias("n"))
+
+
+_REGISTERS = """SELECT CASE WHEN r IN ('paper', 'letter', 'docs') THEN r ELSE 'paper' END AS register, count(DISTINCT doc_id) AS n
+FROM (SELECT doc_id, CASE WHEN json_valid(meta) THEN meta->>'$.register' END AS r FROM corpus WHERE lower(trim(source)) = 'draft') GROUP BY 1"""
+
+
+def vocabulary_guard(spark, d):
+    """The vocabulary numbered twice, the second time without its rare words: two models of these could not be compared."""
+    v = table(spark, d, "vocabulary").filter("word IS NOT NULL").groupBy("word").agg(F.max("n").alias("n"))
+    return pa.same_vocabulary(v.select("word", F.xxhash64("word").alias("id")), v.filter("n >= 20").select("word", F.xxhash64("word").alias("id")))
+
+
+_GUARD = """WITH v AS (SELECT word, max(n) AS n FROM vocabulary WHERE word IS NOT NULL GROUP BY word)
+SELECT count(*) FILTER (n < 20 OR n IS NULL) = 0 AS same, count(*) FILTER (n < 20 OR n IS NULL) AS only_observer, 0::BIGINT AS only_performer FROM v"""
+
+
+def detector_fan_out(spark, d):
+    """Two stand-in detectors over all documents; the second fails on texts without a full stop."""
+    return pa.fan_out(table(spark, d, "documents"), {"length": lambda t: len(t) / 1000, "stops": lambda t: 1 / t.count(".")}).transform(_rounded)
+
+
+_FAN = """SELECT doc_id, round(CASE WHEN length(text) > 0 THEN length(text) / 1000 END, 4) AS det_length, NULL::DOUBLE AS det_length_error,
+  round(CASE WHEN k > 0 THEN 1.0::DOUBLE / k END, 4) AS det_stops, CASE WHEN length(text) > 0 AND k = 0 THEN 1.0::DOUBLE END AS det_stops_error
+FROM (SELECT doc_id, text, length(text) - length(replace(text, '.', '')) AS k FROM documents)"""
+
+
+def token_curvature(spark, d):
+    """Curvature of each document against the mean and variance of its own tokens' neighbourhood of rank, which stand in for those of a
+    model's distribution."""
+    t = pa.token_rows(table(spark, d, "token_lm")).filter("lp IS NOT NULL AND rk IS NOT NULL")
+    return _rounded(pa.curvature(t.select("doc_id", F.col("lp").alias("logprob"), (-F.ln("rk")).alias("mu"), F.ln(F.col("rk") + 1).alias("var"))))
+
+
+def token_ratio(spark, d):
+    """Mean surprise over the mean surprise by rank, which stands in for a second model's."""
+    t = pa.token_rows(table(spark, d, "token_lm")).filter("lp IS NOT NULL AND rk IS NOT NULL")
+    return _rounded(pa.cross_ratio(t.select("doc_id", F.col("lp").alias("logprob"), F.ln(F.col("rk") + 1).alias("cross_entropy"))))
+
+
+def seeded_sample(spark, d):
+    """Twenty documents, the same on every engine that has the hash."""
+    return pr.sampled(table(spark, d, "documents"), 20).select("doc_id")
 
 
 def accepted_generations(spark, d):
@@ -180,21 +239,23 @@ SELECT doc_id, round(exp(-m), 6) AS lm_ppl, round(m, 6) AS lm_logprob_mean, roun
 
 
 def context_windows(spark, d):
-    x = pa.context_windows(table(spark, d, "token_lm"), 32, 16)
+    x = pa.context_windows(table(spark, d, "token_lm"))
     return x.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in x.columns if c != "doc_id"])
 
 
-_CTX = f"""WITH {_TOK}, n AS (SELECT doc_id, max(tok_pos) + 1 AS n FROM t GROUP BY doc_id HAVING n >= 2), w AS (SELECT doc_id, n, unnest(range((greatest(ceil((n - 32) / 16.0), 0) + 1)::BIGINT)) AS win FROM n),
-x AS (SELECT doc_id, win, win * 16 AS start, least(win * 16 + 32, n)::BIGINT AS "end", (CASE WHEN win = 0 THEN 1 ELSE least((win - 1) * 16 + 32, n) END)::BIGINT AS first_scored FROM w)
+_CURVATURE = f"""WITH {_TOK} SELECT doc_id, round(sum(lp + ln(rk)) / sqrt(greatest(sum(ln(rk + 1)), 1e-9)), 4) AS det_curvature FROM t WHERE lp IS NOT NULL AND rk IS NOT NULL GROUP BY doc_id"""
+_RATIO = f"""WITH {_TOK} SELECT doc_id, round(avg(-lp) / nullif(avg(ln(rk + 1)), 0), 4) AS det_ratio FROM t WHERE lp IS NOT NULL AND rk IS NOT NULL GROUP BY doc_id"""
+_CTX = f"""WITH {_TOK}, n AS (SELECT doc_id, max(tok_pos) + 1 AS n FROM t GROUP BY doc_id HAVING n >= 2), w AS (SELECT doc_id, n, unnest(range((greatest(ceil((n - 512) / 256.0), 0) + 1)::BIGINT)) AS win FROM n),
+x AS (SELECT doc_id, win, win * 256 AS start, least(win * 256 + 512, n)::BIGINT AS "end", (CASE WHEN win = 0 THEN 1 ELSE least((win - 1) * 256 + 512, n) END)::BIGINT AS first_scored FROM w)
 SELECT doc_id, win, start, "end", first_scored, "end" - first_scored AS n_scored FROM x"""
 
 
 def chunk_scores(spark, d):
-    return _rounded(pa.chunk_scores(table(spark, d, "token_lm"), 16, 8))
+    return _rounded(pa.chunk_scores(table(spark, d, "token_lm")))
 
 
-_CHUNK = f"""WITH {_TOK}, c AS (SELECT doc_id, tok_pos // 16 AS chunk, count(*) AS n, avg(lp) AS m FROM t WHERE lp IS NOT NULL GROUP BY ALL), k AS (SELECT *, max((n >= 8)::INT) OVER (PARTITION BY doc_id) AS l FROM c)
-SELECT doc_id, round(avg(1 / (1 + exp(-(m + 3)))), 4) AS det_chunks FROM k WHERE n >= 8 OR (l = 0 AND chunk = 0) GROUP BY doc_id"""
+_CHUNK = f"""WITH {_TOK}, c AS (SELECT doc_id, tok_pos // 512 AS chunk, count(*) AS n, avg(lp) AS m FROM t WHERE lp IS NOT NULL GROUP BY ALL), k AS (SELECT *, max((n >= 16)::INT) OVER (PARTITION BY doc_id) AS l FROM c)
+SELECT doc_id, round(avg(1 / (1 + exp(-(m + 3)))), 4) AS det_chunks FROM k WHERE n >= 16 OR (l = 0 AND chunk = 0) GROUP BY doc_id"""
 
 
 def detector_answers(spark, d):
@@ -275,6 +336,22 @@ def citation_before(spark, d):
     return ci.top_before(table(spark, d, "corpus"))
 
 
+def citation_after(spark, d):
+    return ci.top_after(table(spark, d, "corpus"))
+
+
+def citation_named(spark, d):
+    return _rounded(ci.named_with_verb(table(spark, d, "corpus")))
+
+
+def citation_introducers(spark, d):
+    return ci.introducers(table(spark, d, "corpus"))
+
+
+def citation_examples(spark, d):
+    return ci.citing_examples(table(spark, d, "corpus"))
+
+
 QUERIES = {
     "corpus_census": (corpus_census, _CENSUS), "paired_semi": (paired_semi, _PAIRED), "resume_anti": (resume_anti, _RESUME), "upsert": (upsert, _UPSERT),
     "source_filter": (source_filter, f"WITH {_META} SELECT doc_id, source FROM m WHERE source IN ('pmc', 'arxiv')"), "held_out_sources": (held_out_sources, f"WITH {_META} SELECT DISTINCT source FROM m WHERE source IS NOT NULL AND source NOT IN ('pmc', 'generated')"), "word_floor": (word_floor, _FLOOR), "group_cap": (group_cap, _CAP),
@@ -282,5 +359,7 @@ QUERIES = {
     "repeat_guard": (repeat_guard, None), "draft_limits": (draft_limits, _LIMITS), "quota_daily": (quota_daily, _QUOTA), "quota_summary": (quota_summary, _QSUM), "word_budget": (word_budget, None),
     "lm_features": (lm_features, _LM), "context_windows": (context_windows, _CTX), "chunk_scores": (chunk_scores, _CHUNK), "detector_answers": (detector_answers, _DET), "detector_medians": (detector_medians, _MED),
     "syntax_block": (syntax_block, _SYN), "citation_density": (citation_density, _DENS), "citation_bands": (citation_bands, None), "citation_markers": (citation_markers, None),
-    "citation_positions": (citation_positions, None), "citation_before": (citation_before, None),
+    "citation_positions": (citation_positions, None), "citation_before": (citation_before, None), "citation_after": (citation_after, None), "citation_named": (citation_named, None), "citation_introducers": (citation_introducers, None), "citation_examples": (citation_examples, None),
+    "length_ratios": (length_ratios, _RATIOS), "draft_registers": (draft_registers, _REGISTERS), "vocabulary_guard": (vocabulary_guard, _GUARD), "detector_fan_out": (detector_fan_out, _FAN),
+    "token_curvature": (token_curvature, _CURVATURE), "token_ratio": (token_ratio, _RATIO), "seeded_sample": (seeded_sample, None),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +86,14 @@ def surface_block(spark, d):
     return _rounded(bl.block(_docs(spark, d), "surface"))
 
 
+_PARAS = f"list_filter(list_transform(regexp_split_to_array(text, {s.q(chr(92) + 'n' + tx.WS + '*' + chr(92) + 'n')}), lambda p: {s.strip('p')}), lambda p: {s.n_tokens('p')} >= 3)"
+_SURFACE = f"""WITH {s.DOCS}, y AS (SELECT doc_id, text, toks, {_PARAS} AS ps, list_transform({s.sentences('text')}, lambda t: {s.n_tokens('t')}) AS l FROM docs),
+x AS (SELECT *, list_transform(ps, lambda p: greatest(1, len({s.sentences('p')}))) AS pn, list_transform(ps, lambda p: {s.n_tokens('p')}) AS pw FROM y)
+SELECT doc_id, {s.list_stats('l', 'sent_len')}, {s.list_stats('pn', 'para_sents', 'len(ps) >= 2')}, {s.list_stats('pw', 'para_words', 'len(ps) >= 2')},
+  (len(ps) >= 2)::INT::DOUBLE AS has_paragraph_breaks, len(l)::DOUBLE AS n_sentences, len(toks)::DOUBLE AS n_words,
+  round(len(list_filter(l, lambda v: v <= 8))::DOUBLE / greatest(len(l), 1), 4) AS short_sent_frac, round(len(list_filter(l, lambda v: v >= 35))::DOUBLE / greatest(len(l), 1), 4) AS long_sent_frac FROM x"""
+
+
 def lexical_profile(spark, d):
     return _rounded(bl.block(_docs(spark, d), "lexical").drop("mtld"))
 
@@ -102,6 +112,9 @@ def mtld(spark, d):
     return _rounded(bl.prepared(_docs(spark, d)).select("doc_id", nu.mtld(F.col("low")).alias("mtld")))
 
 
+_MTLD = f"WITH {s.DOCS} SELECT doc_id, round(mtld, 4) AS mtld FROM ({s.mtld('low', 'docs')})"
+
+
 def punctuation_rates(spark, d):
     return _rounded(bl.block(_docs(spark, d), "punctuation"))
 
@@ -174,6 +187,7 @@ def specificity(spark, d):
     return _rounded(bl.block(_docs(spark, d), "specificity"))
 
 
+_UNITS_DOUBLED = "|".join("".join(re.escape(c) if c.isalnum() or c == "_" else 2 * re.escape(c) for c in u) for u in lx.UNITS if u != "%")
 _SPEC = f"""WITH {s.DOCS}, x AS (SELECT doc_id, text, len({s.WORDS}) AS n FROM docs) SELECT doc_id, """ + ", ".join(
     f"round(CASE WHEN n > 0 THEN 1000.0 * {v} / n END, 4) AS {k}"
     for k, v in {
@@ -181,11 +195,13 @@ _SPEC = f"""WITH {s.DOCS}, x AS (SELECT doc_id, text, len({s.WORDS}) AS n FROM d
         "decimal_rate": s.count(s.doubled("text"), rf"[^{tx.WORD_CHARS}][0-9]+\.\.[0-9]+[^{tx.WORD_CHARS}]"),
         "acronym_rate": s.count(s.doubled("text"), rf"[^{tx.WORD_CHARS}][A-Z]{{2,}}[0-9]*[^{tx.WORD_CHARS}]"),
         "digit_char_rate": s.count("text", r"\p{Nd}"),
+        "quantity_rate": s.count(s.doubled("text"), rf"[^{tx.WORD_CHARS}][0-9]+(?:\.\.[0-9]+)?{tx.WS}*(?:(?:{_UNITS_DOUBLED})[^{tx.WORD_CHARS}]|%%{tx.WC})"),
     }.items()
 ) + " FROM x"
 
 
 def specificity_rates(spark, d):
+    """Without quantities."""
     return specificity(spark, d).drop("quantity_rate")
 
 
@@ -202,6 +218,19 @@ SELECT doc_id, round(CASE WHEN n > 0 THEN 1000.0 * {s.count_bounded('u', '(?i)(?
     OR regexp_matches({s.drop_quoted('t')}, {s.q('(?i)' + lx.COUNTERWEIGHT)})))::DOUBLE / greatest(len(ss), 1) END, 4) AS balanced_sentence_frac FROM x"""
 
 
+def _unrounded(q: str) -> str:
+    return q.replace("round(", "(").replace(", 4) AS", ") AS")
+
+
+def _melted(q: str) -> str:
+    return f"SELECT * FROM (SELECT doc_id, COLUMNS(* EXCLUDE doc_id)::DOUBLE FROM ({_unrounded(q)})) UNPIVOT INCLUDE NULLS (value FOR feature IN (COLUMNS(* EXCLUDE doc_id)))"
+
+
+#: ``(doc_id, feature, value)`` of all blocks, over the table ``documents``.
+ALL_MEASURES = " UNION ALL ".join([_unrounded(_FUNCTION), *map(_melted, (_SURFACE, _LEXICAL, _MTLD, _PUNCT, _GROUPS, _OPENERS, _PHRASES, _SPEC, _REGISTER))])
+_FEATURES = f"SELECT doc_id, feature, round(value, 4) AS value FROM ({ALL_MEASURES})"
+
+
 def features_long(spark, d):
     """All blocks in long form."""
     return _rounded(bl.features_long(_docs(spark, d)))
@@ -286,10 +315,10 @@ SELECT doc_id, line_no::BIGINT AS line_no, round(CASE WHEN {s.strip('line')} = '
 
 QUERIES = {
     "doc_word_counts": (doc_word_counts, _WORD_COUNTS), "tokens": (tokens, _TOKENS), "sentences": (sentences, _SENTENCES), "paragraphs": (paragraphs, _PARAGRAPHS),
-    "sentence_stats": (sentence_stats, _STATS), "surface_block": (surface_block, None), "lexical_profile": (lexical_profile, _LEXICAL), "mtld": (mtld, None),
+    "sentence_stats": (sentence_stats, _STATS), "surface_block": (surface_block, _SURFACE), "lexical_profile": (lexical_profile, _LEXICAL), "mtld": (mtld, _MTLD),
     "punctuation_rates": (punctuation_rates, _PUNCT), "function_word_rates": (function_word_rates, _FUNCTION), "group_rates": (group_rates, _GROUPS),
-    "opener_stats": (opener_stats, _OPENERS), "phrase_rates": (phrase_rates, _PHRASES), "specificity": (specificity, None), "specificity_rates": (specificity_rates, _SPEC),
-    "register": (register, _REGISTER), "features_long": (features_long, None), "feature_group_counts": (feature_group_counts, None), "quoted_drop": (quoted_drop, _QUOTED),
+    "opener_stats": (opener_stats, _OPENERS), "phrase_rates": (phrase_rates, _PHRASES), "specificity": (specificity, _SPEC), "specificity_rates": (specificity_rates, f"SELECT * EXCLUDE quantity_rate FROM ({_SPEC})"),
+    "register": (register, _REGISTER), "features_long": (features_long, _FEATURES), "feature_group_counts": (feature_group_counts, None), "quoted_drop": (quoted_drop, _QUOTED),
     "excerpts": (excerpts, _EXCERPTS), "first_excerpt": (first_excerpt, _FIRST), "char_truncation": (char_truncation, f"SELECT doc_id, length(substr(text, 1, {bl.MAX_CHARS}))::BIGINT AS n FROM documents WHERE text IS NOT NULL"),
     "clean_text": (clean_text, None), "clean_titles": (clean_titles, None), "markdown_strip": (markdown_strip, None), "pdf_clean": (pdf_clean, None), "line_ratios": (line_ratios, _LINES),
 }

@@ -62,9 +62,15 @@ def feature_gloss(spark, d):
     return x.join(F.broadcast(g), "feature", "left").select("feature", F.coalesce("gloss", "feature").alias("gloss"))
 
 
+_GLOSS = f"""WITH {co._LONG}, g AS (SELECT unnest([{', '.join(map(s.q, lx.GLOSS))}]) AS feature, unnest([{', '.join(map(s.q, lx.GLOSS.values()))}]) AS gloss)
+SELECT feature, coalesce(gloss, feature) AS gloss FROM (SELECT DISTINCT feature FROM f) LEFT JOIN g USING (feature)"""
+
+
 def feature_table(spark, d):
     """The wide table of features of the corpus."""
-    return _rounded(fi.wide(co.labelled(spark, d), sorted(co._VALUES)))
+    long = co.labelled(spark, d)
+    names = sorted(r[0] for r in long.select("feature").distinct().collect())  # one row a measure
+    return _rounded(fi.wide(long, names))
 
 
 def _xml(spark, d):
@@ -129,7 +135,7 @@ def generation_rows(spark, d):
 
 def ligature_repair(spark, d):
     """Torn ligatures in the corpus, joined by the vocabulary of at most some thousand words."""
-    v = table(spark, d, "vocabulary").limit(100_000).collect()
+    v = table(spark, d, "vocabulary").select("word", "n").dropna().limit(1_000_001).collect()  # a larger one is refused
     total = sum(r["n"] for r in v)
     rates = {r["word"]: 1e6 * r["n"] / total for r in v}
     t = _corpus(spark, d).filter("text IS NOT NULL")
@@ -143,7 +149,7 @@ _REQUEST = "seq bigint, visitor_key string, ts timestamp, received_at timestamp,
 def quota_stream(spark, d):
     """Requests of each key and day, counted by a stream with a watermark; read back as a batch."""
     r = spark.readStream.schema(_REQUEST).parquet(d, pathGlobFilter="quota_requests.parquet", recursiveFileLookup=True)
-    out = qu.run_once(spark, qu.daily_counts(r, "40 days"), _path(spark, "checkpoint"), "quota_" + uuid.uuid4().hex, "complete")
+    out = qu.run_once(spark, qu.daily_counts(r, "40 days"), _path(spark, "checkpoint"), _path(spark, "quota"), "complete")
     return out.select(F.col("day").cast("string").alias("day"), "visitor_key", "n")
 
 
@@ -152,6 +158,6 @@ _QSTREAM = """SELECT ts::DATE::VARCHAR AS day, coalesce(visitor_key, 'unknown')
 
 QUERIES = {
     "jsonl_round_trip": (jsonl_round_trip, _JSONL), "csv_round_trip": (csv_round_trip, co._COHEN), "profile_round_trip": (profile_round_trip, co._BANDS), "policy_markdown": (policy_markdown, None),
-    "feature_gloss": (feature_gloss, None), "feature_table": (feature_table, None), "jats_articles": (jats_articles, None), "jats_cited": (jats_cited, None), "article_split": (article_split, _SPLIT), "licence_strip": (licence_strip, _LICENCE),
+    "feature_gloss": (feature_gloss, _GLOSS), "feature_table": (feature_table, None), "jats_articles": (jats_articles, None), "jats_cited": (jats_cited, None), "article_split": (article_split, _SPLIT), "licence_strip": (licence_strip, _LICENCE),
     "answer_rows": (answer_rows, None), "generation_rows": (generation_rows, None), "ligature_repair": (ligature_repair, None), "quota_stream": (quota_stream, _QSTREAM),
 }

@@ -64,6 +64,10 @@ def uniform_passages(spark, d):
     return _rounded(wi.most_uniform(_docs(spark, d)).select("doc_id", "place", "win_start", "preview", "w_sent_len_mean"))
 
 
+_PASSAGES = f"""WITH {_SENT}, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w_sent_len_cv, win_start) AS place FROM m)
+SELECT doc_id, place::INTEGER AS place, win_start, preview, round(w_sent_len_mean, 4) AS w_sent_len_mean FROM p WHERE place <= 3"""
+
+
 _GRAMS = f"""w AS (SELECT doc_id, {s.lower_tokens('text')} AS low FROM documents WHERE text IS NOT NULL),
 g1 AS (SELECT unnest(low) AS gram FROM w), g2 AS (SELECT unnest(list_transform(range(1, len(low)), lambda i: low[i] || ' ' || low[i + 1])) AS gram FROM w),
 g3 AS (SELECT unnest(list_transform(range(1, len(low) - 1), lambda i: low[i] || ' ' || low[i + 1] || ' ' || low[i + 2])) AS gram FROM w),
@@ -98,6 +102,14 @@ _COVERAGE = f"""WITH {_GRAMS}, c AS (SELECT doc_id, (60 - count(gram)) / 60.0 AS
 SELECT doc_id, round(coverage::DOUBLE, 4) AS coverage, CASE WHEN coverage < 0.07 THEN 'low' ELSE 'in range' END AS verdict FROM c"""
 
 
+def missing_shown(spark, d):
+    return _rounded(ng.missing_shown(_drafts(spark, d), _docs(spark, d), low=0.5))
+
+
+_SHOWN = f"""WITH {_GRAMS}, m AS (SELECT doc_id, gram, per_million FROM dt, forms WHERE NOT list_contains(has, gram)), l AS (SELECT doc_id FROM m GROUP BY doc_id HAVING (60 - count(*)) / 60.0 < 0.5)
+SELECT doc_id, place, gram, round(per_million, 4) AS per_million FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY per_million DESC, gram DESC) AS place FROM m SEMI JOIN l USING (doc_id)) WHERE place <= 8"""
+
+
 def unattested_pairs(spark, d):
     return ng.unattested_pairs(_drafts(spark, d), _docs(spark, d))
 
@@ -152,8 +164,8 @@ def phrase_locations(spark, d):
 
 
 QUERIES = {
-    "window_metrics": (window_metrics, _METRICS), "window_tails": (window_tails, _TAILS), "uniform_runs": (uniform_runs, _RUNS), "uniform_passages": (uniform_passages, None),
-    "ngram_reference": (ngram_reference, _REFERENCE), "missing_formulas": (missing_formulas, _MISSING), "formula_coverage": (formula_coverage, _COVERAGE),
+    "window_metrics": (window_metrics, _METRICS), "window_tails": (window_tails, _TAILS), "uniform_runs": (uniform_runs, _RUNS), "uniform_passages": (uniform_passages, _PASSAGES),
+    "ngram_reference": (ngram_reference, _REFERENCE), "missing_formulas": (missing_formulas, _MISSING), "formula_coverage": (formula_coverage, _COVERAGE), "missing_shown": (missing_shown, _SHOWN),
     "unattested_pairs": (unattested_pairs, _PAIRS), "oov_words": (oov_words, _OOV), "oov_report": (oov_report, _OOV_REPORT), "continuations": (continuations, _CONT),
     "phrase_locations": (phrase_locations, None),
 }

@@ -82,3 +82,39 @@ DOCS = f"""docs AS (
   SELECT doc_id, text, {tokens('text')} AS toks, {lower_tokens('text')} AS low FROM documents WHERE length(text) > 0)"""
 WORDS = f"regexp_extract_all(text, {q(f'{NOT_WS}+')})"
 WORD_RUN = f"{WC}+"
+
+
+def list_stats(items: str, prefix: str, null_unless: str = "true") -> str:
+    """Nine statistics of a list of lengths in its order, as selected columns; all 0 of an empty one."""
+    sd = f"coalesce(list_stddev_samp({items}), 0)"
+    m = f"coalesce(list_avg({items}), 0)"
+    p = {q: f"coalesce(list_aggregate({items}, 'quantile_cont', {q}), 0)" for q in (0.1, 0.25, 0.5, 0.75, 0.9)}
+    values_ = {
+        "mean": m, "sd": sd, "cv": f"CASE WHEN {m} > 0 THEN {sd} / {m} ELSE 0 END", "burstiness": f"CASE WHEN {sd} + {m} > 0 THEN ({sd} - {m}) / ({sd} + {m}) ELSE 0 END",
+        "p10": p[0.1], "p50": p[0.5], "p90": p[0.9], "iqr": f"{p[0.75]} - {p[0.25]}",
+        "neighbour_delta": f"coalesce(list_avg(list_transform(range(1, len({items})), lambda i: abs({items}[i + 1] - {items}[i]))), 0)",
+    }
+    return ", ".join(f"round(CASE WHEN {null_unless} THEN ({v})::DOUBLE END, 4) AS {prefix}_{k}" for k, v in values_.items())
+
+
+_NEXT = "CASE WHEN list_contains(a.s, x) THEN a.s ELSE list_append(a.s, x) END"
+_FULL = f"len({_NEXT}) <= 0.72::DOUBLE * (a.n + 1)"
+
+
+def _one_way(tokens_: str) -> str:
+    """The fold of lexical diversity over a list of tokens: words seen, their number, and runs so far."""
+    return (
+        f"list_reduce({tokens_}, lambda a, x: {{'s': CASE WHEN {_FULL} THEN []::VARCHAR[] ELSE {_NEXT} END, 'n': CASE WHEN {_FULL} THEN 0 ELSE a.n + 1 END, "
+        f"'r': CASE WHEN {_FULL} THEN a.r + 1 ELSE a.r END}}, {{'s': []::VARCHAR[], 'n': 0, 'r': 0.0::DOUBLE}})"
+    )
+
+
+def mtld(low: str, docs: str) -> str:
+    """``(doc_id, mtld)`` over a table with a list of lower-case tokens."""
+    runs = "(r{0}.r + CASE WHEN r{0}.n > 0 THEN (1 - len(r{0}.s)::DOUBLE / r{0}.n) / (1 - 0.72::DOUBLE) ELSE 0 END)"
+    one = "CASE WHEN {0} > 0 THEN n / {0} ELSE n END"
+    a, b = (one.format(runs.format(i)) for i in (1, 2))
+    return (
+        f"SELECT doc_id, CASE WHEN n < 50 THEN 0.0 ELSE (({a}) + ({b})) / 2 END AS mtld FROM "
+        f"(SELECT doc_id, len({low})::DOUBLE AS n, {_one_way(low)} AS r1, {_one_way(f'list_reverse({low})')} AS r2 FROM {docs})"
+    )

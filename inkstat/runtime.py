@@ -43,10 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a local master) a temporary folder is made and set.
+    Only where the session names none and runs on a local master (tests) a temporary folder is made and set; on a cluster each
+    executor would write its part to a disk of its own, so that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="inkstat-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where

@@ -129,17 +129,23 @@ def answers(rows: DataFrame, per_label: int, least_words: int = 50) -> DataFrame
     return capped(word_floor(sides[0].unionByName(sides[1]), least_words), per_label, "label", order="row").select("doc_id", "label", "domain", "text")
 
 
-def generations(rows: DataFrame, domain: str, per_label: int, most: int = 400_000) -> DataFrame:
-    """Documents of ``(id, domain, attack, model, generation)``: rows of one domain without attack, capped a label, of the first
-    ``most`` rows."""
+def generations(rows: DataFrame, domain: str, per_label: int) -> DataFrame:
+    """Documents of ``(id, domain, attack, model, generation)``: rows of one domain without attack, capped a label by id."""
     from inkstat.operators.preparation import capped
 
     label = F.when(F.col("model") == "human", "human").otherwise("ai")
-    r = rows.limit(most).filter((F.col("domain") == domain) & (F.coalesce("attack", F.lit("none")) == "none"))
+    r = rows.filter((F.col("domain") == domain) & (F.coalesce("attack", F.lit("none")) == "none"))
     r = r.select(F.concat(F.lit("raid:"), "id").alias("doc_id"), label.alias("label"), F.col("generation").alias("text"))
     return capped(r, per_label, "label")
 
 
+def books(texts: DataFrame, least: int = 1_000, most: int = 5_000) -> DataFrame:
+    """``(doc_id, title, text)`` of fetched books ``(id, title, text)``: without licence, of at least ``least`` words, cut to the first
+    ``most``, titles to 200 characters."""
+    x = texts.filter("text IS NOT NULL").select(F.concat(F.lit("gutenberg:"), F.col("id").cast("string")).alias("doc_id"), F.substring("title", 1, 200).alias("title"), tx.excerpt(strip_licence(F.col("text")), most, least).alias("text"))
+    return x.filter("text IS NOT NULL")
+
+
 def book_urls(index: DataFrame) -> DataFrame:
     """``(id, url)`` of an index ``(id, formats map<string, string>)``: the first plain text that is no archive."""
     e = F.filter(F.map_entries("formats"), lambda z: z["key"].startswith("text/plain") & ~z["value"].endswith(".zip"))

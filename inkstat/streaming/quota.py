@@ -45,21 +45,30 @@ def admitted(requests: DataFrame, per_key: int = 3) -> DataFrame:
     return r.groupBy("day", "visitor_key").applyInPandasWithState(step, "day date, visitor_key string, seq bigint", "used int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def run_once(spark: SparkSession, df: DataFrame, checkpoint: str, table: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return its result as a table in memory.
+def run_once(spark: SparkSession, df: DataFrame, checkpoint: str, target: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there and return its result, which its batches write to the folder ``target``.
 
     Batches without data are switched off meanwhile: a processing-time timeout would ask for them for ever, and such a run would
-    never end.
+    never end. A batch run again writes over its own folder; in complete mode the last batch has everything.
     """
     key = "spark.sql.streaming.noDataMicroBatches.enabled"
     before = spark.conf.get(key, "true")
     spark.conf.set(key, "false")
+    last = {"n": -1}
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        last["n"] = number
+
     try:
-        q = df.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
         spark.conf.set(key, before)
-    return spark.table(table)
+    if last["n"] < 0:
+        return spark.createDataFrame([], df.schema)
+    out = spark.read.schema(df.schema)
+    return out.parquet(f"{target}/batch={last['n']}") if mode == "complete" else out.parquet(*[f"{target}/batch={i}" for i in range(last["n"] + 1)])
 
 
 def arriving(spark: SparkSession, folder: str, schema: str) -> DataFrame:

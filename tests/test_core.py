@@ -302,9 +302,9 @@ def test_streams(spark, tmp_path):
     rows = [(i, f"k{i % 2}", datetime.datetime(2020, 1, 1 + i // 8), True, 1) for i in range(16)]
     spark.createDataFrame(rows, "seq bigint, visitor_key string, ts timestamp, upstream_ok boolean, pass_no int").write.parquet(str(tmp_path / "r"))
     s = spark.readStream.schema("seq bigint, visitor_key string, ts timestamp, upstream_ok boolean, pass_no int").parquet(str(tmp_path / "r"))
-    got = qu.run_once(spark, qu.admitted(s, 3), str(tmp_path / "c1"), "admitted_t").collect()
+    got = qu.run_once(spark, qu.admitted(s, 3), str(tmp_path / "c1"), str(tmp_path / "t1")).collect()
     assert len(got) == 12
-    n = qu.run_once(spark, qu.daily_counts(s, "9 days"), str(tmp_path / "c2"), "counts_t", "complete")
+    n = qu.run_once(spark, qu.daily_counts(s, "9 days"), str(tmp_path / "c2"), str(tmp_path / "t2"), "complete")
     assert {r["n"] for r in n.collect()} == {4}
     docs_ = spark.createDataFrame([("a", "h1"), ("b", "h2")], "doc_id string, mirrors string")
     docs_.write.json(str(tmp_path / "in"))
@@ -336,3 +336,115 @@ def test_permutation_null_of_separate_groups(spark):
     dealt = spark.createDataFrame(dealt, ["doc_id", "label", *names])
     assert abs(mo.null_aucs(wide, names, 1, 3)[0] - np.mean(mo.cross_validated(dealt, names, 3, 0))) < 1e-3
     assert mo.permutation_null(long.filter("label = 'ai'")).count() == 0
+
+
+# ---- places of values, places of citations, what was added since ----
+
+
+def test_exact_percentiles_of_uneven_groups(spark):
+    rng = np.random.default_rng(5)
+    sides = {"a": [*rng.normal(size=400).round(2), 1e9], "b": [3.0], "c": [1.0, 1.0, 2.0], None: [5.0, 7.0]}
+    d = spark.createDataFrame([(k, float(v)) for k, vs in sides.items() for v in vs] + [("a", None)], "g string, value double")
+    got = {r["g"]: r for r in st.percentiles(d, "g", "value", {"lo": 0.1, "mid": 0.5, "hi": 0.95}).collect()}
+    for k, vs in sides.items():
+        assert [got[k][c] for c in ("lo", "mid", "hi")] == pytest.approx([np.percentile(vs, q) for q in (10, 50, 95)])
+    o = {r["g"]: r["x"] for r in st.order_statistics(d, "g", "value", {"x": 0.5}).collect()}
+    assert all(o[k] == sorted(vs)[int(0.5 * (len(vs) - 1))] for k, vs in sides.items())
+    assert st.percentiles(d.limit(0), "g", "value", {"x": 0.5}).count() == 0
+
+
+def test_percentile_ranges_hold_where_one_value_is_far_off(spark):
+    """An outlier does not draw all other values into one range."""
+    d = spark.range(5000).select(F.lit("g").alias("g"), F.when(F.col("id") == 0, 1e12).otherwise(F.rand(3)).alias("v"), F.lit(1).alias("n"))
+    r = st.counted_before(d, "g", "v", "n").orderBy("v").select("before").collect()
+    assert [x["before"] for x in r] == list(range(5000))
+
+
+def test_windows_by_hand(spark):
+    d = docs(spark, *[" ".join(f"{'A' * (i + 1)} two, {'three ' * (i % 4)}words here." .capitalize() for i in range(n)) for n in (1, 8, 12)], "", "Hm.")
+    rows = wi.window_metrics(d).orderBy("doc_id", "win_start").collect()
+    assert [(r["doc_id"], r["win_start"], r["n_sentences"]) for r in rows] == [(0, 0, 1), (1, 0, 8), *[(2, i, 8) for i in range(5)]]
+    lens = [4 + i % 4 for i in range(12)]
+    for r in rows[2:]:
+        w = lens[r["win_start"] : r["win_start"] + 8]
+        assert r["w_n_words"] == sum(w) and r["w_sent_len_sd"] == pytest.approx(np.std(w, ddof=1)) and r["w_sent_len_range"] == max(w) - min(w)
+    t = wi.window_tails(d).filter("doc_id = 2").first()
+    assert t["n_windows"] == 5 and t["w_n_words_mean"] == pytest.approx(np.mean([sum(lens[i : i + 8]) for i in range(5)]))
+    runs = {r["doc_id"]: (r["n_windows"], r["longest_uniform_run"]) for r in wi.uniform_runs(d).collect()}
+    assert runs[2][0] == 5 and len(runs) == 3
+
+
+def test_all_measures_agree_with_their_blocks(spark):
+    d = docs(spark, "The cold pore was open. However, we saw 4.2 K of it; perhaps this fell.\n\nThis second block of words may be short.", "Words.", "")
+    long = {(r["doc_id"], r["feature"]): r["value"] for r in bl.features_long(d).collect()}
+    for name in bl.BLOCKS:
+        for r in bl.block(d, name).collect():
+            for c, v in r.asDict().items():
+                if c != "doc_id":
+                    got = long[r["doc_id"], c]
+                    assert (got is None and (v is None or v != v)) or got == pytest.approx(v), c
+    assert {k for k, _ in long} == {0, 1} and long[0, "fw_the"] > 0 == long[0, "fw_with"]
+
+
+def test_ligature_vocabulary_and_ratios(spark):
+    d = spark.createDataFrame([("a", "one two three", 6), ("b", "one two", 1), ("c", "one", 0), ("d", "w " * 9, 10)], "doc_id string, text string, target_words int")
+    r = pr.length_ratios(d).first()
+    assert (r["n"], r["p10"], r["median"], r["p90"], r["short"]) == (3, 0.5, 0.9, 2.0, False)
+    assert pr.length_ratios(d.limit(0)).count() == 0
+    assert [one(spark, pr.draft_register(F.col("x")), x=x) for x in ("letter", "poem")] == ["letter", "paper"]
+
+
+def test_detectors(spark):
+    d = spark.createDataFrame([(1, "a b."), (2, None), (3, ""), (4, "boom")], "doc_id bigint, text string")
+
+    def fails(t):
+        if t == "boom":
+            raise ValueError
+        return float("nan")
+
+    got = {r["doc_id"]: tuple(r)[1:] for r in pa.fan_out(d, {"n": len, "f": fails}).collect()}
+    assert got == {1: (4.0, None, None, None), 2: (None,) * 4, 3: (None,) * 4, 4: (4.0, None, None, 1.0)}
+    v = spark.createDataFrame([("a", 1), ("b", 2)], "word string, id bigint")
+    w = spark.createDataFrame([("a", 1), ("b", 3), ("c", 4)], "word string, id bigint")
+    assert tuple(pa.same_vocabulary(v, v).first()) == (True, 0, 0) and tuple(pa.same_vocabulary(v, w).first()) == (False, 1, 2)
+    t = spark.createDataFrame([("a", -1.0, -2.0, 4.0, 2.0), ("a", -3.0, -2.0, 5.0, 2.0)], "doc_id string, logprob double, mu double, var double, cross_entropy double")
+    assert pa.curvature(t).first()["det_curvature"] == 0.0 and pa.cross_ratio(t).first()["det_ratio"] == 1.0
+
+
+def test_how_authors_are_cited(spark):
+    t = ["Smith et al. [3] reported that pores were open here. As shown by Li and coworkers it fell [4]. It has been shown often [5, 6].", None, ""]
+    d = docs(spark, *t)
+    r = ci.named_with_verb(d).first()
+    assert (r["named"], r["named_with_verb"], r["markers"]) == (2, 1, 3) and r["share"] == 0.25
+    got = {r["introducer"]: r["n"] for r in ci.introducers(d).collect()}
+    assert got["as shown by"] == 1 and got["has been shown"] == 1 and got["often"] == 1
+    assert [tuple(r) for r in ci.top_after(d).collect()] == [("reported", 1)]
+    assert ci.citing_examples(d).count() == 2 and ci.introducers(d.limit(0)).count() == 0
+
+
+def test_books_queries_and_urls(spark):
+    b = spark.createDataFrame([(7, "T" * 300, "*** START OF THE PROJECT GUTENBERG EBOOK X ***\n" + "word " * 30), (8, "S", "word"), (9, None, None)], "id int, title string, text string")
+    r = ar.books(b, 10, 20).collect()
+    assert len(r) == 1 and r[0]["doc_id"] == "gutenberg:7" and len(r[0]["title"]) == 200 and len(r[0]["text"].split()) == 20
+    u = spark.createDataFrame([(1, {"text/html": "h", "text/plain; charset=utf-8": "a.txt", "text/plain": "a.zip"}), (2, {"text/html": "h"})], "id int, formats map<string,string>")
+    assert [tuple(r) for r in ar.book_urls(u).collect()] == [(1, "a.txt")]
+    q = ar.topic_query(["pore", "cold film"], 1990, 2000)
+    assert '"pore"[Title/Abstract] OR "cold film"[Title/Abstract]' in q and '("1990"[pdat] : "2000"[pdat])' in q
+    pages = {0: ["a", "b"], 2: ["c"]}
+    assert ar.ids(lambda q, at, n: (3, pages.get(at, [])), "q", 10) == ["a", "b", "c"]
+
+
+def test_pdf_folder(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"good")
+    (tmp_path / "b.pdf").write_bytes(b"bad")
+    got = ar.pdf_texts(spark, str(tmp_path), lambda b: {b"good": "text"}[b]).collect()
+    assert [r["text"] for r in got] == ["text"]
+
+
+def test_samples_and_lengths(spark):
+    d = spark.createDataFrame([(f"d{i}", "w " * i, "T*") for i in range(10)], "doc_id string, text string, title string")
+    assert {r["doc_id"] for r in pr.sampled(d, 4).collect()} == {r["doc_id"] for r in pr.sampled(d.repartition(3), 4).collect()}
+    assert {(r["doc_id"], r["title"]) for r in pr.usable_titles(d, 8).collect()} == {("d8", "T"), ("d9", "T")}
+    x = spark.createDataFrame([("a", "mtld", 1.0), ("a", "hedge_rate", 1.0), ("b", "mtld", 1.0)], "doc_id string, feature string, z double")
+    n = spark.createDataFrame([("a", 100.0), ("b", 900.0)], "doc_id string, n_words double")
+    assert {(r["doc_id"], r["feature"]) for r in sc.length_gap(x, n, 1000.0).collect()} == {("a", "hedge_rate"), ("b", "mtld")}
