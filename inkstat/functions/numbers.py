@@ -113,6 +113,11 @@ def mtld_of(tokens: list[str], threshold: float = 0.72) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def mtld(tokens: pd.Series) -> pd.Series:
-    """The fold keeps a set as it goes, which no built-in expression does well: an Arrow function over token arrays."""
-    return tokens.map(lambda a: mtld_of(list(a)) if a is not None else None)
+def _mtld(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: mtld_of(w.split(" ")) if w is not None else None)
+
+
+def mtld(tokens: Column) -> Column:
+    """The fold keeps a set as it goes, which no built-in expression does well: an Arrow function, to which the words of a
+    document, none of which has a space, go as one string."""
+    return _mtld(F.array_join(tokens, " "))
