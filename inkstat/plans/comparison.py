@@ -186,8 +186,17 @@ def permutation_null(spark, d):
     return _rounded(mo.permutation_null(labelled(spark, d)))
 
 
+def feature_group_counts(spark, d):
+    """Measures and values by group."""
+    f = bl.features_long(table(spark, d, "documents"))
+    return f.groupBy(bl.feature_group(F.col("feature")).alias("feature_group")).agg(F.count_distinct("feature").alias("features"), F.count("value").alias("n_values"))
+
+
+_GCOUNT = f"SELECT {_GROUP_OF} AS feature_group, count(DISTINCT feature) AS features, count(value) AS n_values FROM ({dc.ALL_MEASURES}) GROUP BY 1"
+
+
 QUERIES = {
-    "cohens_d": (cohens_d, _COHEN), "rank_sum_u": (rank_sum_u, _RANK), "roc_auc": (roc_auc, _AUC), "bh_adjust": (bh_adjust, _BH), "separation": (separation, None),
+    "feature_group_counts": (feature_group_counts, _GCOUNT), "cohens_d": (cohens_d, _COHEN), "rank_sum_u": (rank_sum_u, _RANK), "roc_auc": (roc_auc, _AUC), "bh_adjust": (bh_adjust, _BH), "separation": (separation, None),
     "separation_stats": (separation_stats, _SEP), "separation_top": (separation_top, _TOP), "group_summary": (group_summary, _GSUM), "policy_rules": (policy_rules, None), "length_balance": (length_balance, _BALANCE),
     "profile_bands": (profile_bands, _BANDS), "zscore_ranking": (zscore_ranking, _Z), "zscore_length_gap": (zscore_length_gap, _ZGAP), "within_one_sd": (within_one_sd, _WITHIN), "replication": (replication, _REPL),
     "constant_features": (constant_features, _VARY), "discriminative_model": (discriminative_model, None), "permutation_null": (permutation_null, None),

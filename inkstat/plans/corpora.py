@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkstat.functions import lexicons as lx
 from inkstat.functions import text as tx
 from inkstat.operators import citations as ci
 from inkstat.operators import payloads as pa
@@ -352,14 +353,32 @@ def citation_examples(spark, d):
     return ci.citing_examples(table(spark, d, "corpus"))
 
 
+_BEFORE_HIT = "array_to_string(list_transform(range(0, nth + 1), lambda i: (CASE WHEN i > 0 THEN hits[i] ELSE '' END) || rest[i + 1]), '')"
+_BEHIND_HIT = "array_to_string(list_transform(range(nth + 1, len(rest)), lambda i: (CASE WHEN i > nth + 1 THEN hits[i] ELSE '' END) || rest[i + 1]), '')"
+_CMARKS = f"""{_CSENT}, cr AS (SELECT doc_id, pos, regexp_split_to_array(sent, {s.q(_MARK)}) AS rest, regexp_extract_all(sent, {s.q(_MARK)}) AS hits FROM se WHERE markers > 0),
+cn AS (SELECT *, unnest(range(len(hits))) AS nth FROM cr), ct AS (SELECT doc_id, pos, nth, hits[nth + 1] AS hit, {_BEFORE_HIT} AS head, {s.strip(_BEHIND_HIT)} AS tail FROM cn),
+cp AS (SELECT *, CASE WHEN regexp_replace(tail, '^[ .]+|[ .]+$', '', 'g') = '' THEN 'sentence-final' WHEN left(tail, 1) IN (',', ';', ')') THEN 'before , ; or )' ELSE 'mid-sentence' END AS position FROM ct),
+cm AS (SELECT doc_id, pos::BIGINT AS pos, nth::BIGINT AS nth, least(len(regexp_extract_all(hit, '[0-9]+')), 5)::BIGINT AS cluster, position,
+  array_to_string(({s.lower_tokens('head')})[-2:], ' ') AS before, CASE WHEN position = 'mid-sentence' THEN coalesce({s.lower_tokens('tail')}[1], '') END AS after FROM cp)"""
+_MARKS = f"WITH {_CMARKS} SELECT * FROM cm"
+_POSITIONS = f"WITH {_CMARKS} SELECT position, cluster, count(*) AS n FROM cm GROUP BY ALL"
+_BEFORE = f"WITH {_CMARKS} SELECT before, count(*) AS n FROM cm GROUP BY before ORDER BY n DESC, before LIMIT 40"
+_AFTER = f"WITH {_CMARKS} SELECT after, count(*) AS n FROM cm WHERE after IS NOT NULL GROUP BY after ORDER BY n DESC, after LIMIT 20"
+_INTRO = f"""WITH {_CSENT} SELECT lower(i) AS introducer, count(*) AS n FROM (SELECT unnest(regexp_extract_all(sent, {s.q(chr(92) + 'b(?i:' + '|'.join(lx.INTRODUCERS) + ')' + chr(92) + 'b')})) AS i FROM se WHERE markers > 0)
+GROUP BY 1 ORDER BY n DESC, introducer LIMIT 40"""
+_GUARDED = f"""WITH t AS (SELECT DISTINCT ON (doc_id) doc_id, string_split(text, chr(10) || chr(10)) AS p FROM corpus WHERE text IS NOT NULL),
+w AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(array_to_string(p[:-2], chr(10) || chr(10))), {s.q(f'{tx.NOT_WS}+')}), ' ') AS a, array_to_string(regexp_extract_all(lower(p[-1]), {s.q(f'{tx.NOT_WS}+')})[1:12], ' ') AS h FROM t WHERE len(p) > 1)
+SELECT doc_id, h <> '' AND contains(a, h) AS repeats FROM w"""
+
+
 QUERIES = {
     "corpus_census": (corpus_census, _CENSUS), "paired_semi": (paired_semi, _PAIRED), "resume_anti": (resume_anti, _RESUME), "upsert": (upsert, _UPSERT),
     "source_filter": (source_filter, f"WITH {_META} SELECT doc_id, source FROM m WHERE source IN ('pmc', 'arxiv')"), "held_out_sources": (held_out_sources, f"WITH {_META} SELECT DISTINCT source FROM m WHERE source IS NOT NULL AND source NOT IN ('pmc', 'generated')"), "word_floor": (word_floor, _FLOOR), "group_cap": (group_cap, _CAP),
     "strided_shards": (strided_shards, _STRIDE), "length_matched": (length_matched, _MATCH), "usable_titles": (usable_titles, None), "accepted_generations": (accepted_generations, _ACCEPTED),
-    "repeat_guard": (repeat_guard, None), "draft_limits": (draft_limits, _LIMITS), "quota_daily": (quota_daily, _QUOTA), "quota_summary": (quota_summary, _QSUM), "word_budget": (word_budget, None),
+    "repeat_guard": (repeat_guard, _GUARDED), "draft_limits": (draft_limits, _LIMITS), "quota_daily": (quota_daily, _QUOTA), "quota_summary": (quota_summary, _QSUM), "word_budget": (word_budget, None),
     "lm_features": (lm_features, _LM), "context_windows": (context_windows, _CTX), "chunk_scores": (chunk_scores, _CHUNK), "detector_answers": (detector_answers, _DET), "detector_medians": (detector_medians, _MED),
-    "syntax_block": (syntax_block, _SYN), "citation_density": (citation_density, _DENS), "citation_bands": (citation_bands, None), "citation_markers": (citation_markers, None),
-    "citation_positions": (citation_positions, None), "citation_before": (citation_before, None), "citation_after": (citation_after, None), "citation_named": (citation_named, None), "citation_introducers": (citation_introducers, None), "citation_examples": (citation_examples, None),
+    "syntax_block": (syntax_block, _SYN), "citation_density": (citation_density, _DENS), "citation_bands": (citation_bands, None), "citation_markers": (citation_markers, _MARKS),
+    "citation_positions": (citation_positions, _POSITIONS), "citation_before": (citation_before, _BEFORE), "citation_after": (citation_after, _AFTER), "citation_named": (citation_named, None), "citation_introducers": (citation_introducers, _INTRO), "citation_examples": (citation_examples, None),
     "length_ratios": (length_ratios, _RATIOS), "draft_registers": (draft_registers, _REGISTERS), "vocabulary_guard": (vocabulary_guard, _GUARD), "detector_fan_out": (detector_fan_out, _FAN),
     "token_curvature": (token_curvature, _CURVATURE), "token_ratio": (token_ratio, _RATIO), "seeded_sample": (seeded_sample, None),
 }

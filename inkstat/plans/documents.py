@@ -236,12 +236,6 @@ def features_long(spark, d):
     return _rounded(bl.features_long(_docs(spark, d)))
 
 
-def feature_group_counts(spark, d):
-    """Features and values by group."""
-    f = bl.features_long(_docs(spark, d))
-    return f.groupBy(bl.feature_group(F.col("feature")).alias("feature_group")).agg(F.count_distinct("feature").alias("features"), F.count("value").alias("n_values"))
-
-
 def quoted_drop(spark, d):
     x = _docs(spark, d).filter(F.length("text") > 0)
     return x.select("doc_id", F.length(tx.drop_quoted(F.col("text"))).cast("bigint").alias("chars_left"), F.md5(F.encode(tx.drop_quoted(F.col("text")), "utf-8")).alias("digest"))
@@ -318,7 +312,7 @@ QUERIES = {
     "sentence_stats": (sentence_stats, _STATS), "surface_block": (surface_block, _SURFACE), "lexical_profile": (lexical_profile, _LEXICAL), "mtld": (mtld, _MTLD),
     "punctuation_rates": (punctuation_rates, _PUNCT), "function_word_rates": (function_word_rates, _FUNCTION), "group_rates": (group_rates, _GROUPS),
     "opener_stats": (opener_stats, _OPENERS), "phrase_rates": (phrase_rates, _PHRASES), "specificity": (specificity, _SPEC), "specificity_rates": (specificity_rates, f"SELECT * EXCLUDE quantity_rate FROM ({_SPEC})"),
-    "register": (register, _REGISTER), "features_long": (features_long, _FEATURES), "feature_group_counts": (feature_group_counts, None), "quoted_drop": (quoted_drop, _QUOTED),
+    "register": (register, _REGISTER), "features_long": (features_long, _FEATURES), "quoted_drop": (quoted_drop, _QUOTED),
     "excerpts": (excerpts, _EXCERPTS), "first_excerpt": (first_excerpt, _FIRST), "char_truncation": (char_truncation, f"SELECT doc_id, length(substr(text, 1, {bl.MAX_CHARS}))::BIGINT AS n FROM documents WHERE text IS NOT NULL"),
     "clean_text": (clean_text, None), "clean_titles": (clean_titles, None), "markdown_strip": (markdown_strip, None), "pdf_clean": (pdf_clean, None), "line_ratios": (line_ratios, _LINES),
 }

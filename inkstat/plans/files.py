@@ -97,6 +97,9 @@ def jats_cited(spark, d):
     return x.select("doc_id", tx.count(F.col("a.body"), r"\[12\]").cast("bigint").alias("markers"))
 
 
+_CITED = "SELECT doc_id, 1 + len(regexp_extract_all(text, '[[]12[]]')) AS markers FROM documents WHERE length(text) > 0"
+
+
 def article_split(spark, d):
     """Answers of two articles each, split again; the year of each."""
     x = _xml(spark, d).select(F.explode(ar.split_articles(F.concat(F.lit("<set>"), "xml", "xml", F.lit("</set>")))).alias("xml"))
@@ -126,6 +129,10 @@ def answer_rows(spark, d):
     return ar.answers(r, 20, 50).groupBy("label").agg(F.count("*").alias("n"))
 
 
+_ANSWERS = f"""SELECT label, least(count(*), 20) AS n FROM (SELECT DISTINCT ON (doc_id) CASE WHEN contains(doc_id, ':h:') THEN 'human' ELSE 'ai' END AS label
+  FROM corpus WHERE lower(trim(source)) = 'hc3' AND len({s.WORDS}) >= 50) GROUP BY label"""
+
+
 def generation_rows(spark, d):
     t = _corpus(spark, d).filter("lower(trim(source)) = 'raid' AND text IS NOT NULL")
     m = F.try_parse_json("meta")
@@ -133,6 +140,11 @@ def generation_rows(spark, d):
     return ar.generations(r, "abstracts", 10).select("doc_id", "label")
 
 
+_GENERATIONS = """WITH t AS (SELECT DISTINCT ON (doc_id) 'raid:' || doc_id AS doc_id, CASE WHEN json_valid(meta) THEN meta->>'$.domain' END AS domain, CASE WHEN json_valid(meta) THEN meta->>'$.model' END AS model
+  FROM corpus WHERE lower(trim(source)) = 'raid' AND text IS NOT NULL)
+SELECT doc_id, label FROM (SELECT doc_id, CASE WHEN coalesce(model, 'human') = 'human' THEN 'human' ELSE 'ai' END AS label FROM t WHERE domain = 'abstracts') QUALIFY row_number() OVER (PARTITION BY label ORDER BY doc_id) <= 10"""
+
+
 def ligature_repair(spark, d):
     """Torn ligatures in the corpus, joined by the vocabulary of at most some thousand words."""
     v = table(spark, d, "vocabulary").select("word", "n").dropna().limit(1_000_001).collect()  # a larger one is refused
@@ -158,6 +170,6 @@ _QSTREAM = """SELECT ts::DATE::VARCHAR AS day, coalesce(visitor_key, 'unknown')
 
 QUERIES = {
     "jsonl_round_trip": (jsonl_round_trip, _JSONL), "csv_round_trip": (csv_round_trip, co._COHEN), "profile_round_trip": (profile_round_trip, co._BANDS), "policy_markdown": (policy_markdown, None),
-    "feature_gloss": (feature_gloss, _GLOSS), "feature_table": (feature_table, None), "jats_articles": (jats_articles, None), "jats_cited": (jats_cited, None), "article_split": (article_split, _SPLIT), "licence_strip": (licence_strip, _LICENCE),
-    "answer_rows": (answer_rows, None), "generation_rows": (generation_rows, None), "ligature_repair": (ligature_repair, None), "quota_stream": (quota_stream, _QSTREAM),
+    "feature_gloss": (feature_gloss, _GLOSS), "feature_table": (feature_table, None), "jats_articles": (jats_articles, None), "jats_cited": (jats_cited, _CITED), "article_split": (article_split, _SPLIT), "licence_strip": (licence_strip, _LICENCE),
+    "answer_rows": (answer_rows, _ANSWERS), "generation_rows": (generation_rows, _GENERATIONS), "ligature_repair": (ligature_repair, None), "quota_stream": (quota_stream, _QSTREAM),
 }
