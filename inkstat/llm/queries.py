@@ -129,6 +129,7 @@ FROM (SELECT DISTINCT item_id, suite FROM eval_items WHERE item_id IS NOT NULL)
 def oracle_sql() -> dict[str, str]:
     return {
         "p7_found": _P7,
+        "p7_items": _P7_ITEMS,
         "p9_found": _P9_WINDOWS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id",
         "p9_copies": _P9_COPIES,
         "p9_passages": _P9_PASSAGES,
