@@ -21,10 +21,9 @@ WC = f"[{WORD_CHARS}]"
 TOKEN = "[A-Za-z][A-Za-z'-]*"
 
 _ABBR = "|".join(re.escape(a) for a in lx.ABBREVIATIONS)
+_GAP = rf"[\"')\]]*{WS}+(?=[A-Z0-9(\"'])"
 #: The place between two sentences: after a stop that closes no abbreviation and no initial.
-SENTENCE_GAP = (
-    rf"(?<=[.!?])(?<!(?:^|{WS})(?i:{_ABBR})\.)(?<!(?:^|{WS})[A-Z]\.)[\"')\]]*{WS}+(?=[A-Z0-9(\"'])"
-)
+SENTENCE_GAP = rf"(?<=[.!?])(?<!(?:^|{WS})(?i:{_ABBR})\.)(?<!(?:^|{WS})[A-Z]\.){_GAP}"
 QUOTED = "\"[^\"]{1,120}\"|'[^']{1,120}'|“[^”]{1,120}”"
 
 
@@ -83,6 +82,11 @@ def sentences_with_tokens(text: Column, least: int = 3) -> Column:
     return F.filter(F.transform(pieces(text), lambda s: F.struct(s.alias("s"), tokens(s).alias("t"))), lambda p: F.size(p["t"]) >= least)
 
 
+def rejoined(sentence: Column) -> Column:
+    """A sentence with one space at each gap within it; such gaps are those after its abbreviations and initials."""
+    return F.regexp_replace(sentence, rf"(?<=[.!?]){_GAP}", " ")
+
+
 def simple_sentences(text: Column) -> Column:
     """Sentences split at a stop before a capital, without guards."""
     return F.split(F.regexp_replace(text, rf"{WS}*\n{WS}*", " "), rf"(?<=[.!?]){WS}+(?=[A-Z])", -1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstat.functions import numbers as nu
+from inkstat.functions import text as tx
 from inkstat.operators import blocks as bl
 
 WIDTH, STRIDE, UNIFORM_CV = 8, 1, 0.35
@@ -17,8 +18,9 @@ METRICS = ("w_sent_len_mean", "w_sent_len_sd", "w_sent_len_cv", "w_sent_len_rang
 
 
 def _variation(ln: Column) -> Column:
-    """Spread of lengths over their mean; 0 without words."""
-    return nu.moments(ln, lambda n, m, m2: F.when(m > 0, F.when(n > 1, F.sqrt(m2 / (n - 1))).otherwise(0.0) / m).otherwise(0.0))
+    """Spread of lengths over their mean; 0 without words. The mean is the sum over the number, not the running one of the fold, which
+    is off in its last places. What the fold of squares rounds is left, as in SQL: it can rank windows of equal spread."""
+    return nu.moments(ln, lambda n, m, m2: F.when(m > 0, F.when(n > 1, F.sqrt(m2 / (n - 1))).otherwise(0.0) / (nu.total(ln) / n)).otherwise(0.0))
 
 
 def _field(c: str) -> Callable[[Column], Column]:
@@ -38,7 +40,7 @@ def _measures(i: Column, width: int) -> Column:
 
     ln, words = cut("lens"), nu.total(cut("lens"))
     tokens = F.flatten(cut("sent_toks"))
-    first = F.get("all.sents", i)
+    first = F.get("all.shown", i)
     values = {
         "w_sent_len_mean": nu.mean(ln), "w_sent_len_sd": nu.moments(ln, lambda n, m, m2: F.when(n > 1, F.sqrt(m2 / (n - 1))).otherwise(0.0)), "w_sent_len_cv": _variation(ln),
         "w_sent_len_range": (F.array_max(ln) - F.array_min(ln)).cast("double"), "w_neighbour_delta": nu.steps(ln),
@@ -53,7 +55,8 @@ def windows(docs: DataFrame, width: int = WIDTH, stride: int = STRIDE) -> DataFr
     """``(doc_id, ws)``: the measures of all windows of a document as one array, made inside its row, so that nothing is shuffled."""
     d = bl.prepared(docs).withColumn("commas", F.transform("sents", lambda s: F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))))
     # one struct that is named many times: arrays named once would be made anew for every window
-    d = d.filter(F.size("parts") > 0).select("doc_id", "lens", F.struct("sents", "lens", "sent_toks", "heads", "commas").alias("all"))
+    d = d.withColumn("shown", F.transform("sents", tx.rejoined))
+    d = d.filter(F.size("parts") > 0).select("doc_id", "lens", F.struct("shown", "lens", "sent_toks", "heads", "commas").alias("all"))
     return d.select("doc_id", F.transform(_starts(d, width, stride), lambda i: _measures(i, width)).alias("ws"))
 
 

@@ -374,6 +374,31 @@ def test_windows_by_hand(spark):
     assert runs[2][0] == 5 and len(runs) == 3
 
 
+@pytest.mark.parametrize("lens", [(20, 15, 14, 6, 21, 21, 9, 15, 20), (16, 16, 19, 22, 13, 19, 9, 28, 16), (9, 14, 3, 3, 17, 17, 13, 10, 9)])
+def test_windows_of_the_same_lengths_in_turn_rank_by_their_start(spark, lens):
+    d = docs(spark, " ".join("Word" + " word" * (n - 1) + "." for n in lens))
+    assert [(r["place"], r["win_start"]) for r in wi.most_uniform(d).orderBy("place").collect()] == [(1, 0), (2, 1)]
+
+
+def test_preview_has_one_space_after_an_abbreviation(spark):
+    d = docs(spark, "The bed of No.\u2002 2 by J.  Smith, see (as in Fig.) 3, was\u2009open. Then it went away.")
+    assert wi.most_uniform(d).first()["preview"] == "The bed of No. 2 by J. Smith, see (as in Fig. 3, was\u2009open."
+
+
+def test_uniform_passages_agree_with_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from inkstat.plans import sequences as sq
+
+    rng = random.Random(5)
+    words = ["pore", "was", "here", "Fig.  3", "al.\u2002(a)", "J.  Smith"]
+    text = [" ".join("The " + " ".join(rng.choices(words, k=rng.randint(2, 6))) + "." for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    docs(spark, *text).write.parquet(str(tmp_path / "documents.parquet"))
+    run, sql = sq.QUERIES["uniform_passages"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, run(spark, str(tmp_path)).collect())) == sorted(con.execute(sql).fetchall())
+
+
 def test_all_measures_agree_with_their_blocks(spark):
     d = docs(spark, "The cold pore was open. However, we saw 4.2 K of it; perhaps this fell.\n\nThis second block of words may be short.", "Words.", "")
     long = {(r["doc_id"], r["feature"]): r["value"] for r in bl.features_long(d).collect()}
